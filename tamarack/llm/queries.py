@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import table
-from . import copies, grouping, lookalike, mixing, overlap, percentiles, sampling
+from . import copies, encoding, grouping, leakage, lookalike, mixing, overlap, percentiles, sampling
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,11 +84,31 @@ def p7_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.clip_forms(table(spark, sf_dir, "manifest"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.encoded(table(spark, sf_dir, "documents"))
+
+
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.round_trip(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_spans(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.clean_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_percentiles, p1_day_pieces, p2_found, p2_clips, p2_lines, p3_found, p3_sample, p3_report, p4_found, p4_mix,
-        p4_report, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_forms,
+        p4_report, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_found, p9_spans, p9_clean,
     )
 }
 
