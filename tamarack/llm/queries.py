@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import table
-from . import copies, encoding, grouping, leakage, lookalike, mixing, overlap, percentiles, sampling
+from . import copies, encoding, grouping, leakage, lookalike, mixing, overlap, percentiles, sampling, sentences
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,11 +104,15 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.clean_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_percentiles, p1_day_pieces, p2_found, p2_clips, p2_lines, p3_found, p3_sample, p3_report, p4_found, p4_mix,
-        p4_report, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_found, p9_spans, p9_clean,
+        p4_report, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_found, p9_spans, p9_clean, p10_found,
     )
 }
 
