@@ -14,7 +14,7 @@ from ..plans.staging import broadcast_if_small, stage
 from .letters import letters_of
 
 #: Letters of a shingle, bands, and minhashes in each band.
-SHINGLE, BANDS, ROWS = 4, 24, 4
+SHINGLE, BANDS, ROWS = 4, 32, 4
 #: Exact Jaccard similarity of the shingle sets from which a candidate is looked at further.
 JACCARD = 0.3
 #: Edits allowed, as a share of the longer text.
@@ -70,10 +70,11 @@ def _band_batches(bands: int, rows: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):  # the working set stays in the processor's cache
                 part = batch.slice(at, 1000)
-                keys = band_keys(part.column(3).to_pylist(), part.column(4).to_numpy(zero_copy_only=False), bands, rows)
-                length = pa.array([len(t) for t in part.column(3).to_pylist()], pa.int32())
+                texts = part.column(1).to_pylist()
+                keys = band_keys(texts, part.column(2).to_numpy(zero_copy_only=False), bands, rows)
+                length = pa.array([len(t) for t in texts], pa.int32())
                 lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), length, lists], names=["rep", "train", "held", "length", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), length, lists], names=["rep", "length", "keys"])
 
     return run
 
@@ -144,12 +145,13 @@ def near_classes(classes: DataFrame, bands: int = BANDS, rows: int = ROWS, jacca
     those whose lengths alone exceed the edits are dropped at once, and the rest
     is verified on whole texts.
     """
-    keys = classes.select("rep", "train", "held", "text", "salt").mapInArrow(
-        _band_batches(bands, rows), "rep long, train boolean, held boolean, length int, keys array<long>"
-    )
-    banded = keys.select("rep", "train", "held", "length", F.explode("keys").alias("key"))
-    left = banded.where("train").select("key", F.col("rep").alias("a"), F.col("length").alias("m"))
-    right = banded.where("held").select("key", F.col("rep").alias("b"), F.col("length").alias("n"))
+    def banded(side: str, rep: str, length: str) -> DataFrame:
+        own = classes.where(side).select("rep", "text", "salt").mapInArrow(
+            _band_batches(bands, rows), "rep long, length int, keys array<long>"
+        )
+        return own.select(F.explode("keys").alias("key"), F.col("rep").alias(rep), F.col("length").alias(length))
+
+    left, right = banded("train", "a", "m"), banded("held", "b", "n")
     cand = left.join(right, "key").where("a <> b")
     if edits is not None:
         cand = cand.where(F.abs(F.col("m") - F.col("n")) <= F.greatest("m", "n") * F.lit(edits))
