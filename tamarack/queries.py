@@ -196,7 +196,7 @@ _REASON = f"""CASE WHEN lower(trim(coalesce(regexp_replace(language, '^[{_S}]+|[
   WHEN {_norm('transcription')} = '' THEN 'empty transcription'
   WHEN coalesce(trim(source_id), '') = '' THEN 'source_id is required' WHEN coalesce(trim(audio_path), '') = '' THEN 'audio_path is required'
   WHEN duration <= 0 THEN 'duration must be positive' END"""
-_CHECKED = f"""checked AS (SELECT row_id, coalesce(nullif(trim(id), ''), lower(trim(language)) || '-' || substr(sha1(trim(source_id) || chr(0) || trim(audio_path) || chr(0) || {_norm('transcription')}), 1, 16)) AS id,
+_CHECKED = f"""checked AS (SELECT row_id, coalesce(nullif(trim(id), ''), lower(trim(regexp_replace(language, '^[{_S}]+|[{_S}]+$', '', 'g'))) || '-' || substr(sha1(trim(source_id) || chr(0) || trim(audio_path) || chr(0) || {_norm('transcription')}), 1, 16)) AS id,
   source_id, speaker_id, lower(trim(regexp_replace(language, '^[{_S}]+|[{_S}]+$', '', 'g'))) AS language, {_label('subtype')} AS subtype, duration, {_norm('transcription')} AS transcription, {_REASON} AS reason FROM manifest),
   accepted AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY row_id) AS rn FROM checked WHERE reason IS NULL)"""
 
