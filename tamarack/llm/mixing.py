@@ -22,7 +22,7 @@ BUCKET_ROWS = 50_000
 
 
 def source_plan(supply: DataFrame, targets: DataFrame, keys: list[str], ramp: float = 0.5) -> DataFrame:
-    """One row per target source: supply, demand, use, repeats, shortfall and its weight schedule.
+    """One row per target source: supply, demand, use and its weight schedule.
 
     ``total`` is the size of the whole supply, targets or not. A source that must
     repeat itself ramps up linearly over the curriculum (``start`` to 2 - start,
@@ -37,7 +37,6 @@ def source_plan(supply: DataFrame, targets: DataFrame, keys: list[str], ramp: fl
     plan = plan.withColumn("supply", F.coalesce("size", F.lit(0.0))).withColumn("records", F.coalesce("records", F.lit(0)))
     plan = plan.withColumn("demand", F.col("target_share") * F.col("total"))
     plan = plan.withColumn("used", F.least(F.col("demand"), F.col("supply") * F.col("max_repeats")))
-    plan = plan.withColumn("short", F.col("supply") * F.col("max_repeats") < F.col("demand"))
     scarce = F.col("supply") < F.col("demand")
     everyone = Window.partitionBy()
     late = F.sum(F.when(scarce, F.col("used")).otherwise(0.0)).over(everyone)
@@ -110,7 +109,11 @@ def clip_mix(manifest: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix_report(manifest: DataFrame, targets: DataFrame) -> DataFrame:
-    """Target and really reached shares of each source, from the mix itself."""
+    """Target and really reached shares of each source, from the mix itself.
+
+    A source is ``short`` if all its deliveries give less than its demand; one
+    that is not overshoots by less than its last record.
+    """
     keys = ["dataset", "language"]
     rows, plan = clip_sources(manifest, targets)
     got = mix(rows, "row_id", keys, "seconds", plan).groupBy(*keys).agg(
@@ -121,11 +124,11 @@ def mix_report(manifest: DataFrame, targets: DataFrame) -> DataFrame:
     return out.select(
         *keys, "target_share", "max_repeats", "supply", "demand", "seconds",
         F.coalesce("deliveries", F.lit(0)).alias("deliveries"), F.coalesce("repeats", F.lit(0)).alias("repeats"),
-        (F.col("seconds") / F.col("total")).alias("share_of_demanded"), F.try_divide("seconds", whole).alias("actual_share"), "short",
+        (F.col("seconds") / F.col("total")).alias("share_of_demanded"), F.try_divide("seconds", whole).alias("actual_share"),
+        (F.col("seconds") < F.col("demand") * (1 - 1e-9)).alias("short"),
     )
 
 
 def unmet_sources(manifest: DataFrame, targets: DataFrame) -> DataFrame:
     """Sources that can't give their share even with all repeats."""
-    _, plan = clip_sources(manifest, targets)
-    return plan.where("short").select("dataset", "language")
+    return mix_report(manifest, targets).where("short").select("dataset", "language")

@@ -155,5 +155,25 @@ def clip_pieces(manifest: DataFrame, mantissa_bits: int = 52) -> DataFrame:
     )
 
 
+def piece_percentiles(manifest: DataFrame) -> DataFrame:
+    """Percentiles of every shard piece and, with a null ``piece``, of the pieces combined.
+
+    Both come from one set of pieces in one bisection. Shards are taken as they
+    are spelled; rows without a shard form the piece ``unknown``.
+    """
+    groups = ["language", "subtype", "piece"]
+    pieces = stage(
+        piece_profile(
+            manifest,
+            {"language": label("language"), "subtype": label("subtype")},
+            F.coalesce("source_shard", F.lit("unknown")),
+            usable_seconds("duration"),
+        ),
+        "pieces",
+    )
+    both = pieces.unionByName(pieces.withColumn("piece", F.lit(None).cast("string")))
+    return percentiles(both, groups).withColumn("value", F.round("value", 6))
+
+
 def clip_percentiles(manifest: DataFrame) -> DataFrame:
     return percentiles(clip_pieces(manifest), ["language", "subtype"]).withColumn("value", F.round("value", 6))

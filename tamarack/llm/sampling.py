@@ -22,13 +22,11 @@ def draw(key: Column, seed: int) -> Column:
 
 
 def goals(observed: DataFrame, targets: DataFrame, categories: list[str], fraction: float) -> DataFrame:
-    """One row per target: what it needs, what it gets and what is missing.
+    """One row per target: what it needs and what it can get.
 
     ``need`` is the larger of ``min_rows`` and target_share x the sample size;
     ``goal`` is the whole number of rows aimed at (largest remainders make the
-    shares add up), ``taken`` the rows available for it, ``deficit`` what is
-    missing. A category is short when its observed rows are fewer than ``need``.
-    ``observed`` has ``categories``, ``rows`` and is summed over all categories.
+    shares add up) and ``taken`` the rows available for it. ``observed`` has ``categories``, ``rows`` and is summed over all categories.
     """
     total = observed.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("_total"))
     bare = targets.groupBy(*categories).agg(
@@ -46,9 +44,7 @@ def goals(observed: DataFrame, targets: DataFrame, categories: list[str], fracti
     plan = plan.withColumn("goal", F.greatest(whole, F.col("min_rows")))
     plan = plan.withColumn("taken", F.least("goal", "observed"))
     return plan.select(
-        *categories, "target_share", "min_rows", "observed", "need", "goal", "taken",
-        (F.col("goal") - F.col("taken")).alias("deficit"),
-        (F.col("observed") < F.col("need")).alias("short"),
+        *categories, "target_share", "min_rows", "observed", "need", "goal", "taken"
     )
 
 
@@ -102,15 +98,20 @@ def clip_sample(manifest: DataFrame, targets: DataFrame, fraction: float = 0.5)
 
 
 def sample_report(manifest: DataFrame, targets: DataFrame, fraction: float = 0.5) -> DataFrame:
-    """Targets beside what the drawn sample really holds, deficits included."""
+    """Targets beside what the drawn sample really holds.
+
+    A target is ``short`` if the sample used up all rows of its category and still holds fewer than it needs.
+    """
     cats = ["language", "subtype"]
     rows, plan = clip_goals(manifest, targets, fraction)
     got = draw_sample(rows, "row_id", cats, plan).groupBy(*cats).agg(F.count(F.lit(1)).alias("sampled"))
     out = plan.join(got, cats, "left").withColumn("sampled", F.coalesce("sampled", F.lit(0)))
-    return out.select(*cats, "target_share", "min_rows", "observed", "goal", "sampled", "deficit", "short")
+    short = (F.col("sampled") == F.col("observed")) & (F.col("sampled") < F.col("need"))
+    return out.select(
+        *cats, "target_share", "min_rows", "observed", "goal", "sampled", (F.col("goal") - F.col("sampled")).alias("deficit"), short.alias("short")
+    )
 
 
 def unmet_targets(manifest: DataFrame, targets: DataFrame, fraction: float = 0.5) -> DataFrame:
-    """Targets whose drawn sample can't reach what they ask for."""
-    rows, plan = clip_goals(manifest, targets, fraction)
-    return plan.where("short").select("language", "subtype")
+    """Targets that the drawn sample can't meet."""
+    return sample_report(manifest, targets, fraction).where("short").select("language", "subtype")
