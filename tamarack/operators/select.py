@@ -91,3 +91,26 @@ def quota_harvest(df: DataFrame, keys: list[str], order: list[str], target: int,
     uses = (F.col("_p") <= target).cast("long") + F.lit(factors) * (F.col("_p") <= each).cast("long")
     uses = uses + (F.col("_bonus") & (F.col("_x") <= bonus_quota)).cast("long")
     return rows.withColumn("uses", uses).where("uses > 0").drop("_bonus", "_p", "_x")
+
+
+def shard_budget(df: DataFrame, keys: list[str], shard: str, valid: Column, target: int) -> DataFrame:
+    """Shards in order until the valid rows before them reach the target, with their counts."""
+    counts = df.where(F.col(shard).isNotNull()).groupBy(*keys, shard).agg(F.count_if(valid).alias("valid_rows"))
+    kept = running_before(counts, keys, [shard], F.substring(shard, 1, 16), F.col("valid_rows"), "before")
+    return kept.where(F.col("before") < target).select(*keys, shard, "valid_rows")
+
+
+def choose_for(column: Column, overrides: dict[str, str], default: str) -> Column:
+    """The override of a key, else the default."""
+    table = F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, column), F.lit(default)) if overrides else F.lit(default)
+
+
+def count_matching(df: DataFrame, equal: dict[str, str], prefix: dict[str, str]) -> DataFrame:
+    """Rows that equal the given values and begin with the given prefixes."""
+    cond = F.lit(True)
+    for c, v in equal.items():
+        cond = cond & (F.col(c) == v)
+    for c, v in prefix.items():
+        cond = cond & F.startswith(F.col(c), F.lit(v))
+    return df.where(cond).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -6,7 +6,9 @@ of an executor, cuts the lineage and lets several consumers share one pass.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,7 @@ def stage_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "tamarack-stages")
+        atexit.register(shutil.rmtree, f"{root}/tamarack-{spark.sparkContext.applicationId}", ignore_errors=True)
     return root.rstrip("/")
 
 

@@ -866,3 +866,36 @@ def unfinished_shards(spark, d):
 def first_rows(spark, d):
     rows = table(spark, d, "manifest").where("transcription IS NOT NULL").orderBy("transcription", "row_id").limit(100)  # a top-k report
     return rows.select("row_id", F.row_number().over(Window.orderBy("transcription", "row_id")).cast("long").alias("place"))
+
+
+@query(
+    f"""WITH {_CLIPS}, v AS (SELECT language, source_shard, count(*) FILTER (duration IS NOT NULL AND {_norm('transcription')} <> '') AS valid_rows FROM clips WHERE source_shard IS NOT NULL GROUP BY ALL),
+  b AS (SELECT *, coalesce(sum(valid_rows) OVER (PARTITION BY language ORDER BY source_shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v)
+  SELECT language, source_shard, valid_rows FROM b WHERE before < 250"""
+)
+def shard_budget(spark, d):
+    ok = F.col("duration").isNotNull() & (tx.normalize_text(F.col("transcription")) != "")
+    rows = clips(spark, d).withColumn("ok", ok)
+    return select.shard_budget(rows, ["language"], "source_shard", F.col("ok"), 250)
+
+
+@query(f"WITH {_CLIPS} SELECT row_id, CASE language WHEN 'som' THEN 'ckpt-som' WHEN 'mas' THEN 'ckpt-mas' ELSE 'ckpt-all' END AS checkpoint FROM clips")
+def language_checkpoint(spark, d):
+    return clips(spark, d).select("row_id", select.choose_for(F.col("language"), {"som": "ckpt-som", "mas": "ckpt-mas"}, "ckpt-all").alias("checkpoint"))
+
+
+@query(f"WITH {_CLIPS} SELECT count(*) AS n_rows FROM clips WHERE language = 'swa' AND subtype = 'scripted' AND dataset LIKE 'voices%'")
+def count_matching(spark, d):
+    return select.count_matching(clips(spark, d), {"language": "swa", "subtype": "scripted"}, {"dataset": "voices"})
+
+
+@query(
+    f"""WITH w AS (SELECT row_id, row_id // 32 AS batch, list_transform({_WORDS}, lambda x: length(x)::BIGINT) AS ids FROM manifest), m AS (SELECT batch, max(len(ids)) AS width FROM w GROUP BY batch)
+  SELECT row_id, list_concat(ids, list_transform(range(0, width - len(ids)), lambda i: -100::BIGINT)) AS labels FROM w JOIN m USING (batch)"""
+)
+def batch_padding(spark, d):
+    """Label lists filled up to the longest of their batch of 32 rows."""
+    w = tx.words(tx.normalize_text(F.col("transcription")))
+    rows = table(spark, d, "manifest").select("row_id", F.floor(F.col("row_id") / 32).alias("batch"), F.transform(w, lambda x: F.length(x).cast("long")).alias("ids"))
+    width = F.max(F.size("ids")).over(Window.partitionBy("batch"))
+    return rows.select("row_id", vocab.padded(F.col("ids"), width, -100).alias("labels"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import io
 import math
+import os
+import uuid
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def probe(content: bytes | None) -> tuple[int, int, int] | None:
@@ -104,3 +107,64 @@ def probe_column(df: DataFrame, key: str, content: str) -> DataFrame:
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, content).mapInPandas(run, f"{key} {kind}, frames long, sample_rate long, channels long, duration double")
+
+
+def decode_column(df: DataFrame, key: str, content: str, rate: int) -> DataFrame:
+    """Mono samples at ``rate`` of each row's WAV bytes, or the ``reason`` why there are none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for k, c in zip(frame[key], frame[content], strict=True):
+                try:
+                    rows.append((k, to_mono(c, rate), None))
+                except (ValueError, TypeError, EOFError, wave.Error) as e:
+                    rows.append((k, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=[key, "samples", "reason"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, content).mapInPandas(run, f"{key} {kind}, samples array<float>, reason string")
+
+
+def stretch(samples: np.ndarray, factor: float, longest: int = 480_000, frame: int = 1024) -> np.ndarray:
+    """Faster (factor above 1) or slower audio of the same pitch, by overlapping windows, cut at ``longest`` samples."""
+    hop = frame // 2
+    if len(samples) < frame or factor <= 0:
+        return samples[:longest].astype(np.float32)
+    count = max(1, int((len(samples) - frame) / (hop * factor)) + 1)
+    out, weight, window = np.zeros(count * hop + frame), np.zeros(count * hop + frame), np.hanning(frame)
+    at = 0
+    for i in range(count):
+        want = int(i * hop * factor)
+        if i:  # the nearby offset whose start agrees best with what follows the last window
+            tail = samples[at + hop : at + hop + hop]
+            lows = range(max(0, want - 128), min(len(samples) - frame, want + 128) + 1, 8)
+            want = max(lows, key=lambda o: float(np.dot(samples[o : o + len(tail)], tail)), default=want)
+        at = min(want, len(samples) - frame)
+        out[i * hop : i * hop + frame] += samples[at : at + frame] * window
+        weight[i * hop : i * hop + frame] += window
+    return (out / np.maximum(weight, 1e-3))[:longest].astype(np.float32)
+
+
+def write_clips(df: DataFrame, path: str, samples: str, rate: int) -> None:
+    """One WAV file per row under its ``path``, on storage all executors share; complete files are left alone."""
+
+    def write(rows) -> None:
+        for r in rows:
+            target = r[path]
+            if os.path.exists(target):
+                continue
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            part = f"{target}.{uuid.uuid4().hex}"
+            with open(part, "wb") as f:
+                f.write(encode_wav(np.asarray(r[samples], np.float32), rate))
+            os.replace(part, target)
+
+    df.select(path, samples).foreachPartition(write)
+
+
+def missing_files(df: DataFrame, path: str, folder: str) -> DataFrame:
+    """Rows whose audio file does not lie under ``folder``; only names are listed, no content is read."""
+    listed = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    names = listed.select(F.regexp_replace("path", "^[a-z]+:/+", "/").alias("_path"))
+    return df.join(names, F.regexp_replace(F.col(path), "^[a-z]+:/+", "/") == F.col("_path"), "left_anti")

@@ -12,7 +12,7 @@ from tamarack.operators.align import align_utterances, forced_alignment
 from tamarack.operators.validate import LANGUAGES, resolve_aliases
 from tamarack.plans import pipeline
 from tamarack.plans.staging import broadcast_if_small, fresh, small, stage, sweep
-from tamarack.sources import archive, audio, records
+from tamarack.sources import archive, audio, fetch, records
 from tamarack.streaming.resume import run_available
 
 SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.LongType())])
@@ -171,3 +171,48 @@ def test_staging(spark):
     assert "broadcast" in broadcast_if_small(df)._jdf.queryExecution().logical().toString().lower()
     assert fresh("u", ["U", "_u"]) == "__u"
     sweep(spark)
+
+
+def test_clips_on_disk(spark, tmp_path):
+    rows = [(f"{tmp_path}/wav/a.wav", [0.0, 0.5] * 400), (f"{tmp_path}/wav/b.wav", [0.1] * 800)]
+    df = spark.createDataFrame(rows, "path string, samples array<float>")
+    for _ in range(2):
+        audio.write_clips(df, "path", "samples", 8000)
+    files = spark.read.format("binaryFile").load(f"{tmp_path}/wav")
+    out = audio.decode_column(files.selectExpr("path", "content"), "path", "content", 8000).orderBy("path").collect()
+    assert [len(r.samples) for r in out] == [800, 800] and abs(out[0].samples[1] - 0.5) < 1e-3
+    bad = spark.createDataFrame([("x", b"junk"), ("y", None)], "path string, content binary")
+    assert all(r.samples is None and r.reason for r in audio.decode_column(bad, "path", "content", 8000).collect())
+    more = df.select("path").unionByName(spark.createDataFrame([(f"{tmp_path}/wav/c.wav",)], "path string"))
+    assert [r.path[-5:] for r in audio.missing_files(more, "path", f"{tmp_path}/wav").collect()] == ["c.wav"]
+
+
+def test_stretch():
+    tone = np.sin(2 * np.pi * 220 * np.arange(16000) / 16000)
+    for factor in (0.9, 1.1):
+        assert abs(len(audio.stretch(tone, factor)) / (16000 / factor) - 1) < 0.1
+    assert len(audio.stretch(np.zeros(10), 1.1)) == 10
+
+
+def test_fetch(tmp_path):
+    calls = []
+
+    def flaky(force):
+        calls.append(force)
+        if len(calls) < 3:
+            raise OSError("gone")
+        return "ok"
+
+    assert fetch.with_retries(flaky, pause=0) == "ok" and calls == [False, True, True]
+    with pytest.raises(ManifestError):
+        fetch.with_retries(lambda force: 1 / 0, attempts=2, pause=0)
+    (tmp_path / "in").write_text("x")
+    assert not fetch.fresh(tmp_path / "out", tmp_path / "in")
+    (tmp_path / "out").write_text("x")
+    assert fetch.fresh(tmp_path / "out", tmp_path / "in")
+    for d in ("step-1", "step-2", "step-3"):
+        (tmp_path / "ck" / d).mkdir(parents=True)
+    assert fetch.prune(tmp_path / "ck", {"step-3", "step-1"}) == ["step-2"]
+    fetch.require_policy({"a": ("swa",)}, {"a": ["swa"]})
+    with pytest.raises(ManifestError):
+        fetch.require_policy({"a": ("swa",)}, {"a": ["swa", "som"]})
