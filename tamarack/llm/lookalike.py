@@ -37,9 +37,9 @@ def same_look_pairs(df: DataFrame, key: str, group: str, text: str) -> DataFrame
     blanks mapped, ignorables removed) and are kept if their visible form is
     equal too. Only distinct strings are paired, then joined to their rows, so
     many rows with one and the same string are never paired with each other.
-    Null texts and texts without letters are no case.
+    Null texts and keys and texts without letters are no case.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(group).alias("grp"), F.col(text).alias("text")).where("text IS NOT NULL")
+    rows = df.select(F.col(key).alias("key"), F.col(group).alias("grp"), F.col(text).alias("text")).where("text IS NOT NULL AND key IS NOT NULL")
     rows = rows.withColumn("f", forms_of("text")).where("f.form IS NOT NULL")
     rows = rows.select(
         "key", "grp", F.xxhash64("grp", "f.form").alias("form"), F.xxhash64(F.lit(1), "grp", "f.seen").alias("seen"),

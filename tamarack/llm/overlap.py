@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distance import edit_distance
 from ..functions.labels import label
 from ..plans.staging import broadcast_if_small, stage
 from .letters import letters_of
@@ -79,40 +80,6 @@ def _band_batches(bands: int, rows: int):
     return run
 
 
-def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance, or ``most`` + 1 as soon as it must exceed ``most`` (bit-parallel, whole texts)."""
-    if len(a) < len(b):
-        a, b = b, a
-    if len(a) - len(b) > most:
-        return most + 1
-    if not b:
-        return len(a)
-    where: dict[str, int] = {}
-    for i, ch in enumerate(b):
-        where[ch] = where.get(ch, 0) | (1 << i)
-    full = (1 << len(b)) - 1
-    top, plus, minus, distance = 1 << (len(b) - 1), full, 0, len(b)
-    left = len(a)
-    for ch in a:
-        match = where.get(ch, 0)
-        down = match | minus
-        across = (((match & plus) + plus) ^ plus) | match
-        up = minus | (~(across | plus) & full)
-        same = plus & across
-        if up & top:
-            distance += 1
-        elif same & top:
-            distance -= 1
-        left -= 1
-        if distance - left > most:
-            return most + 1
-        up = (up << 1) | 1
-        same <<= 1
-        plus = (same | ~(down | up)) & full
-        minus = up & down & full
-    return distance
-
-
 def _verify(jaccard: float, edits: float | None):
     def shingles(t: str) -> set[str]:
         return {t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1)} or {t}
@@ -166,12 +133,12 @@ def split_overlaps(df: DataFrame, key: str, split: str, group: str, text: str, *
     """Pairs ``row_a`` < ``row_b`` of one group, one in train, one held out, with the same or nearly the same letters.
 
     Rows are folded to distinct letters per group first, so that a text that
-    holds a third of all rows meets the buckets once. Null texts, texts without
+    holds a third of all rows meets the buckets once. Null texts and keys, texts without
     letters and other splits take no part.
     """
     kind = label(split)
     rows = df.select(F.col(key).alias("key"), F.col(group).alias("grp"), kind.alias("split"), F.col(text).alias("raw"))
-    rows = rows.where(F.col("split").isin("train", *EVALUATION) & F.col("raw").isNotNull())
+    rows = rows.where(F.col("split").isin("train", *EVALUATION) & F.col("raw").isNotNull() & F.col("key").isNotNull())
     rows = rows.select("key", "grp", (F.col("split") == "train").alias("train"), letters_of("raw").alias("text")).where("length(text) > 0")
     rows = stage(rows, "letters")
     classes = rows.groupBy("grp", "text").agg(F.min("key").alias("rep"), F.bool_or("train").alias("train"), F.bool_or(~F.col("train")).alias("held"))
