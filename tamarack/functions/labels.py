@@ -6,13 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Blanks trimmed at the ends of a label, the non-breaking ones included.
-BLANKS = r"[\s\x{00A0}\x{2007}\x{202F}\x{3000}\x{FEFF}\x{200B}]+"
+BLANKS = " \t\n\x0b\f\r\u00a0\u2007\u202f\u3000\ufeff\u200b"
+
+
+def stripped(col: Column, blanks: str = BLANKS) -> Column:
+    """Without blanks at either end."""
+    return F.trim(col, F.lit(blanks))
 
 
 def label(col: Column | str, unknown: str = "unknown") -> Column:
     """Trimmed, lower-cased label; null or blank becomes ``unknown``."""
     col = F.col(col) if isinstance(col, str) else col
-    bare = F.lower(F.regexp_replace(col, f"^{BLANKS}|{BLANKS}$", ""))
+    bare = F.lower(stripped(col))
     return F.coalesce(F.nullif(bare, F.lit("")), F.lit(unknown))
 
 

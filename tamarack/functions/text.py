@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 # Characters the punctuation rules keep beside letters, digits,
 # underscore and white space. The escapes spell the ranges out for the JVM.
 SPACE = r"\p{IsWhite_Space}\x{1C}-\x{1F}"
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _WORD = r"\p{L}\p{N}_" + SPACE
 _LATIN = r"\x{C0}-\x{24F}\x{300}-\x{36F}\x{1E00}-\x{1EFF}"
 PUNCTUATION = f"[^{_WORD}{_LATIN}'\\x{{2019}}\\x{{14B}}\\x{{14A}}]"
@@ -85,7 +86,7 @@ def submission_text(col: Column) -> Column:
 
 def present(col: Column) -> Column:
     """The value itself unless it is null or blank."""
-    return F.when(F.regexp_replace(col, f"[{SPACE}]+", "") != "", col)
+    return F.when(F.rlike(col, F.lit(f"[^{SPACE}]")), col)
 
 
 def first_present(*cols: Column) -> Column:

@@ -14,14 +14,19 @@ RATE, SEGMENT_SECONDS, MIN_SECONDS, MIN_WORDS, LONGER_THAN, UP_TO, MOST = 16_000
 
 def word_slices(words: Column, n: Column, least: int = MIN_WORDS) -> Column:
     """``n`` proportional slices of an array of words; short slices are empty, too few words give none at all."""
-    size = F.size(words)
 
-    def slice_of(i: Column) -> Column:
-        a, b = F.bround(i * size / n, 0).cast("int"), F.bround((i + 1) * size / n, 0).cast("int")
-        return F.when(b - a >= least, F.array_join(F.slice(words, a + 1, F.greatest(b - a, F.lit(0))), " ")).otherwise("")
+    def slices(own: Column) -> Column:
+        w, k = own["w"], own["n"]
+        size = F.size(w)
 
-    whole = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), slice_of)
-    return F.when((n > 0) & (size >= n * least), whole).otherwise(F.array().cast("array<string>"))
+        def slice_of(i: Column) -> Column:
+            a, b = F.bround(i * size / k, 0).cast("int"), F.bround((i + 1) * size / k, 0).cast("int")
+            return F.when(b - a >= least, F.array_join(F.slice(w, a + 1, F.greatest(b - a, F.lit(0))), " ")).otherwise("")
+
+        whole = F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), slice_of)
+        return F.when((k > 0) & (size >= k * least), whole).otherwise(F.array().cast("array<string>"))
+
+    return tx.let(F.struct(words.alias("w"), n.alias("n")), slices)
 
 
 def time_windows(samples: Column, n: Column, rate: int = RATE, least: float = MIN_SECONDS) -> Column:
@@ -44,10 +49,10 @@ def segment_rows(df: DataFrame, key: str, duration: str, text: str) -> DataFrame
     samples = F.floor(F.col(duration) * RATE)
     rows = df.where((F.col(duration) > LONGER_THAN) & (F.col(duration) <= UP_TO))
     n = F.least(F.ceil(F.col(duration) / SEGMENT_SECONDS), F.lit(MOST)).cast("int")
-    rows = rows.select(key, n.alias("n"), samples.alias("samples"), tx.words(F.col(text)).alias("w"))
-    rows = rows.select(key, word_slices(F.col("w"), F.col("n")).alias("slices"), time_windows(F.col("samples"), F.col("n")).alias("windows"))
-    rows = rows.where(F.size("slices") == F.size("windows"))
-    out = rows.select(key, F.posexplode(F.arrays_zip("slices", "windows"))).select(
+    made = F.struct(word_slices(tx.words(F.col(text)), n).alias("slices"), time_windows(samples, n).alias("windows"))
+    # The rule on their numbers stays beside the explode: as a filter it would be pushed down and work the arrays out twice.
+    agree = tx.let(made, lambda m: F.when(F.size(m["slices"]) == F.size(m["windows"]), F.arrays_zip(m["slices"].alias("slices"), m["windows"].alias("windows"))))
+    out = rows.select(key, F.posexplode(agree)).toDF(key, "pos", "col").select(
         key, F.col("pos").cast("long").alias("segment"), F.col("col.windows.first").alias("first_sample"),
         F.col("col.windows.last").alias("last_sample"), F.col("col.slices").alias("text"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..functions.labels import stripped
 
 # The languages accepted and the field names looked at, in order.
 LANGUAGES = ("swa", "som", "kik", "luo", "mas", "kln")
@@ -51,7 +52,7 @@ def check_records(fields: DataFrame, languages=LANGUAGES) -> DataFrame:
     a number, duration not positive. NaN and infinite durations pass.
     """
     def bare(c: str) -> Column:
-        return tx.squeeze(F.col(c)) if c in ("language", "dialect", "subtype") else F.trim(F.regexp_replace(F.col(c), f"^[{tx.SPACE}]+|[{tx.SPACE}]+$", ""))
+        return stripped(F.col(c), tx.SPACES)
 
     rows = fields.withColumn("transcription", tx.normalize_text(F.col("transcription")))
     rows = rows.withColumn("language", F.lower(F.coalesce(bare("language"), F.lit(""))))
@@ -78,7 +79,8 @@ def reject_duplicates(checked: DataFrame, order: str) -> DataFrame:
     """Later valid rows of an id already taken get a reason; null-safe and free of per-group gathering.
 
     The first valid row of each id is a minimum combined on the map side, so a
-    heavily repeated id costs one row per partition.
+    heavily repeated id costs one row per partition. ``checked`` is read twice:
+    hand in a stage.
     """
     first = checked.where("reason IS NULL").groupBy(F.col("id").alias("_id")).agg(F.min(order).alias("_first"))
     joined = checked.join(first, checked["id"] == first["_id"], "left")

@@ -69,7 +69,8 @@ class Stages:
 
 def build_splits(fields: DataFrame, order: str, out: str, fraction: float = 0.1, seed: int = 42, languages=validate.LANGUAGES) -> dict:
     """Scan, canonicalise, reject, split and write manifest, rejects, vocabulary and report as tables."""
-    checked = stage(validate.reject_duplicates(validate.check_records(fields, languages), order), "checked")
+    records = stage(validate.check_records(fields, languages), "records")  # read twice below, worked out once
+    checked = stage(validate.reject_duplicates(records, order), "checked")
     accepted = checked.where("reason IS NULL").drop("reason")
     if accepted.isEmpty():
         raise ManifestError("no record was accepted")

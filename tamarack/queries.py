@@ -203,7 +203,7 @@ _CHECKED = f"""checked AS (SELECT row_id, coalesce(nullif(trim(id), ''), lower(t
 
 def _checked(spark, d) -> DataFrame:
     fields = validate.resolve_aliases(table(spark, d, "manifest"), ["row_id"])
-    return validate.reject_duplicates(validate.check_records(fields), "row_id")
+    return validate.reject_duplicates(stage(validate.check_records(fields), "records"), "row_id")
 
 
 @query(
