@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -16,42 +17,40 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The published pattern that splits a text into words before the merges (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes of distinct words in one recursive query.
-CHUNK_BYTES = 150_000
+#: Rows that the steps of one recursive query may come to (half the squared length of each of its words).
+CHUNK_ROWS = 3_000_000
 
 _WORDS = regex.compile(PATTERN)
 
-# Each step contracts, in every word that still has a pair of the merge table, the
-# pair of least rank: its leftmost place, and every further place that does not
-# touch the one before. A word leaves the recursion when no pair is left.
+# A seat is word << 32 | position. Each step contracts, in every word that still has a
+# pair of the merge table, the pair of least rank: its leftmost place and, where
+# places can't overlap (two different tokens), every further one too, which changes
+# nothing, as a contracted pair never brings a pair of lower rank about. A word
+# leaves the recursion when no pair is left.
 _CONTRACT = """
 WITH RECURSIVE step AS (
-    SELECT word, pos, token, 0 AS n FROM start
+    SELECT seat, token, 0 AS n FROM start
     UNION ALL
-    SELECT word, pos, CASE WHEN here THEN made ELSE token END, n + 1
-    FROM (
-        SELECT *, lag(here, 1, false) OVER seat AS taken
-        FROM (
-            SELECT *, hit AND (row_number() OVER run - 1) % 2 = 0 AS here
-            FROM (
-                SELECT *, place - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS island
-                FROM (
-                    SELECT *, coalesce(rank = best, false) AS hit, row_number() OVER (PARTITION BY word ORDER BY pos) AS place
-                    FROM (
-                        SELECT p.word, p.pos, p.token, p.n, m.made, m.rank, min(m.rank) OVER (PARTITION BY p.word) AS best
-                        FROM (SELECT word, pos, token, n, lead(token) OVER (PARTITION BY word ORDER BY pos) AS after FROM step) p
-                        LEFT JOIN merges m ON m.token = p.token AND m.after = p.after
-                    ) WHERE best IS NOT NULL
-                )
-            )
-            WINDOW run AS (PARTITION BY word, hit, island ORDER BY pos)
+    (
+        WITH pair AS MATERIALIZED (
+            SELECT seat, token, n, lead(token) OVER line AS after, lead(seat) OVER line AS next FROM step WINDOW line AS (ORDER BY seat)
+        ),
+        ranked AS MATERIALIZED (
+            SELECT p.seat, p.next, p.token = p.after AS twin, m.rank, m.made FROM pair p JOIN merges m ON m.token = p.token AND m.after = p.after
+            WHERE p.seat >> 32 = p.next >> 32
+        ),
+        best AS MATERIALIZED (SELECT seat >> 32 AS word, min((rank::BIGINT << 32) + (seat & 4294967295)) AS least FROM ranked GROUP BY seat >> 32),
+        hit AS MATERIALIZED (
+            SELECT r.seat, r.next, r.made FROM ranked r JOIN best b ON b.word = r.seat >> 32 AND b.least >> 32 = r.rank
+            WHERE NOT r.twin OR r.seat & 4294967295 = b.least & 4294967295
         )
-        WINDOW seat AS (PARTITION BY word ORDER BY pos)
-    ) WHERE NOT taken
+        SELECT p.seat, coalesce(h.made, p.token), p.n + 1
+        FROM pair p SEMI JOIN best b ON b.word = p.seat >> 32 LEFT JOIN hit h ON h.seat = p.seat ANTI JOIN hit g ON g.next = p.seat
+    )
 )
-SELECT word, list(token ORDER BY pos) AS ids
-FROM (SELECT word, pos, token, n, max(n) OVER (PARTITION BY word) AS last FROM step)
-WHERE n = last GROUP BY word ORDER BY word
+SELECT s.seat >> 32 AS word, list(s.token ORDER BY s.seat) AS ids
+FROM step s JOIN (SELECT seat >> 32 AS word, max(n) AS last FROM step GROUP BY 1) f ON f.word = s.seat >> 32 AND f.last = s.n
+GROUP BY 1 ORDER BY 1
 """
 
 
@@ -91,7 +90,8 @@ class Encoder:
     """Encodes texts through one DuckDB connection; words met before are looked up."""
 
     def __init__(self, path: str = VOCABULARY, keep_words: int = 200_000):
-        merges, self.single, self.raw = vocabulary(path)
+        merges, single, self.raw = vocabulary(path)
+        self.first = np.array([single[b] for b in range(256)], np.int32)
         self.db = duckdb.connect(":memory:")
         self.db.execute("SET threads = 1")
         self.db.execute("SET memory_limit = '400MB'")
@@ -101,13 +101,12 @@ class Encoder:
         self.keep_words = keep_words
 
     def _words(self, words: list[str]) -> list[list[int]]:
-        word, pos, token = [], [], []
-        for k, w in enumerate(words):
-            own = w.encode("utf-8", "surrogatepass")
-            word += [k] * len(own)
-            pos += range(len(own))
-            token += [self.single[b] for b in own]
-        start = pa.table({"word": pa.array(word, pa.int32()), "pos": pa.array(pos, pa.int32()), "token": pa.array(token, pa.int32())})
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        word = np.repeat(np.arange(len(raw), dtype=np.int64), sizes)
+        pos = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        token = self.first[np.frombuffer(b"".join(raw), np.uint8)]
+        start = pa.table({"seat": (word << 32) + pos, "token": token})
         self.db.register("start", start)
         out = self.db.execute(_CONTRACT).fetchall()
         self.db.unregister("start")
@@ -117,15 +116,17 @@ class Encoder:
         split = [_WORDS.findall(t) if t else [] for t in texts]
         if len(self.known) > self.keep_words:
             self.known = {}
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in self.known))
-        chunk, size = [], 0
-        for w in [*new, None]:
-            if chunk and (w is None or size > CHUNK_BYTES):
+        new = {w for ws in split for w in ws if w not in self.known}
+        sized = sorted((len(w.encode("utf-8", "surrogatepass")), w) for w in new)  # words of one length take as many steps
+        chunk, rows = [], 0
+        for size, w in sized:
+            if chunk and rows + size * size // 2 > CHUNK_ROWS:
                 self.known.update(zip(chunk, self._words(chunk), strict=True))
-                chunk, size = [], 0
-            if w is not None:
-                chunk.append(w)
-                size += len(w)
+                chunk, rows = [], 0
+            chunk.append(w)
+            rows += size * size // 2 + 1
+        if chunk:
+            self.known.update(zip(chunk, self._words(chunk), strict=True))
         known = self.known
         return [[i for w in ws for i in known[w]] for ws in split]
 
