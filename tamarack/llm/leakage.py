@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +17,9 @@ HELD, CHANGED = 0.5, 0.1
 LONG_GRAM, FINE_GRAM = 8, 3
 #: Letters of items in one broadcast set; more items are scanned in several blocks.
 BLOCK_LETTERS = 4_000_000
-_NO_LETTER = np.uint64(0xFFFFFFFF)
+_NO_LETTER = np.uint32(0xFFFFFFFF)
+#: Neighbouring slots of diagonals looked at together.
+_MERGED = 3
 
 
 def edits_of(letters_held: int) -> int:
@@ -36,16 +37,20 @@ def gram_of(least: int) -> int:
     return 1
 
 
-def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
-    h = np.zeros(max(len(codes) - n + 1, 0), np.uint64)
-    for i in range(n):
+def _rolling(codes: np.ndarray, sizes) -> dict[int, np.ndarray]:
+    """Hashes of the n-grams of each wanted n, from one pass that lengthens them letter by letter."""
+    out, h = {}, np.zeros(len(codes), np.uint64)
+    for i in range(max(sizes, default=0)):
+        h = h[: max(len(codes) - i, 0)]
         h = (h ^ codes[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
-    return h
+        if i + 1 in sizes:
+            out[i + 1] = h
+    return out
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 class ItemSet:
@@ -57,38 +62,44 @@ class ItemSet:
         self.least = [max(1, -(-len(c) // 2)) for c in self.codes]
         self.changes = [edits_of(m) + 1 for m in self.least]
         self.by_gram = {}
-        for n in sorted({gram_of(m) for m in self.least}):
-            grams, owner, place = [], [], []
-            for k, c in enumerate(self.codes):
-                if gram_of(self.least[k]) == n and len(c) >= n:
-                    g = _rolling(c, n)
-                    grams.append(g)
-                    owner.append(np.full(len(g), k))
-                    place.append(np.arange(len(g)))
-            if grams:
-                g, o, p = (np.concatenate(x) for x in (grams, owner, place))
-                order = np.argsort(g, kind="stable")
-                self.by_gram[n] = (g[order], o[order], p[order])
+        self.sizes = {gram_of(m) for m in self.least}
+        hashed = [_rolling(c, self.sizes) for c in self.codes]
+        for n in sorted(self.sizes):
+            owners = [k for k, c in enumerate(self.codes) if gram_of(self.least[k]) == n and len(c) >= n]
+            if not owners:
+                continue
+            grams = np.concatenate([hashed[k][n] for k in owners])
+            owner = np.repeat(owners, [len(hashed[k][n]) for k in owners])
+            place = np.concatenate([np.arange(len(hashed[k][n])) for k in owners])
+            order = np.argsort(grams, kind="stable")
+            distinct, first, count = np.unique(grams[order], return_index=True, return_counts=True)
+            maybe = np.zeros(1 << 20, bool)  # rules most n-grams of a document out before they are searched for
+            maybe[(distinct >> np.uint64(44)).astype(np.int64)] = True
+            self.by_gram[n] = (maybe, distinct, first, count, owner[order].astype(np.int64), place[order])
         self.width = np.array([c + 1 for c in self.changes], np.int64)
         kept = [m + 1 - gram_of(m) * (edits_of(m) + 1) for m in self.least]
         self.kept = np.array([max(1, k) for k in kept], np.int64)
 
     def candidates(self, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Items and diagonals (place in the document minus place in the item) at which they may stand."""
-        for n, (grams, owner, place) in self.by_gram.items():
-            own = _rolling(doc, n)
-            first = np.searchsorted(grams, own, "left")
-            count = np.searchsorted(grams, own, "right") - first
-            hit = np.flatnonzero(count)
+        hashed = _rolling(doc, self.sizes)
+        for n, (maybe, distinct, first, count, owner, place) in self.by_gram.items():
+            own = hashed[n]
+            hit = np.flatnonzero(maybe[(own >> np.uint64(44)).astype(np.int64)])
+            if not len(hit):
+                continue
+            entry = np.minimum(np.searchsorted(distinct, own[hit]), len(distinct) - 1)
+            there = distinct[entry] == own[hit]
+            hit, entry = hit[there], entry[there]
             if not len(hit):
                 continue
-            count, first = count[hit], first[hit]
-            at = np.repeat(hit, count)
-            ends = np.cumsum(count)
-            entry = np.arange(ends[-1]) - np.repeat(ends - count, count) + np.repeat(first, count)
+            times = count[entry]
+            at = np.repeat(hit, times)
+            ends = np.cumsum(times)
+            entry = np.arange(ends[-1]) - np.repeat(ends - times, times) + np.repeat(first[entry], times)
             item, diagonal = owner[entry], at - place[entry]
             slot = diagonal // self.width[item]
-            key, hits = np.unique((item.astype(np.int64) << 40) + (slot + (1 << 30)), return_counts=True)
+            key, hits = np.unique((item << 40) + (slot + (1 << 30)), return_counts=True)
             # The diagonals of a true stretch lie in two neighbouring slots, which hold what it keeps of its n-grams.
             spread = np.unique(np.concatenate([key, key - 1]))
             both = np.zeros(len(spread), np.int64)
@@ -96,10 +107,13 @@ class ItemSet:
                 where = np.searchsorted(key, spread + shift)
                 there = np.minimum(where, len(key) - 1)
                 both += np.where(key[there] == spread + shift, hits[there], 0)
-            for k in spread[both >= self.kept[spread >> 40]].tolist():
-                i = k >> 40
-                width = int(self.width[i])
-                yield i, ((k & ((1 << 40) - 1)) - (1 << 30)) * width, 2 * width
+            keep = spread[both >= self.kept[spread >> 40]]
+            for run in np.split(keep, np.flatnonzero(np.diff(keep) > 1) + 1) if len(keep) else ():
+                for k in range(0, len(run), _MERGED):
+                    i, last = int(run[k] >> 40), int(run[min(k + _MERGED, len(run)) - 1])
+                    width = int(self.width[i])
+                    slot = (int(run[k]) & ((1 << 40) - 1)) - (1 << 30)
+                    yield i, slot * width, (last - int(run[k]) + 2) * width
 
     def plausible(self, doc: np.ndarray, item: int, diagonal: int, width: int) -> bool:
         """Whether enough letters of the item stand in common runs near the diagonal; drops no true case."""
@@ -110,7 +124,7 @@ class ItemSet:
         part = doc[max(low, 0) : high + len(own)]
         if before or after:
             part = np.concatenate([np.full(before, _NO_LETTER), part, np.full(after, _NO_LETTER)])
-        same = sliding_window_view(part, len(own))[: high - low] == own
+        same = np.ndarray((high - low, len(own)), part.dtype, np.ascontiguousarray(part), strides=(part.itemsize, part.itemsize)) == own
         run = same[:, : len(own) - n + 1].copy()
         for k in range(1, n):
             run &= same[:, k : len(own) - n + 1 + k]
