@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.labels import BLANKS, label
+from ..functions.labels import label, stripped
 from ..plans.staging import broadcast_if_small, stage
 from .sampling import draw
 
 
 def file_name_key(path: Column) -> Column:
     """A file path in one spelling: outer blanks, letter case, the kind of slash, ``.``, ``..`` and doubled slashes aside."""
-    bare = F.lower(F.translate(F.regexp_replace(path, f"^{BLANKS}|{BLANKS}$", ""), "\\", "/"))
+    bare = F.lower(F.translate(stripped(path), "\\", "/"))
     steps = F.filter(F.split(bare, "/"), lambda x: ~x.isin("", "."))
     up = F.aggregate(
         steps,
@@ -30,7 +30,7 @@ def file_name_key(path: Column) -> Column:
 
 def real_id(value: Column) -> Column:
     """An id that joins rows; null or blank ones join nothing."""
-    return F.when(F.regexp_replace(value, BLANKS, "") != "", value)
+    return F.when(stripped(value) != "", value)
 
 
 def coin(vertex: Column, turn: int) -> Column:
@@ -56,8 +56,9 @@ def contract(edges: DataFrame) -> DataFrame:
         move = both.where(~coin(F.col("a"), turn) & coin(F.col("b"), turn)).groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("into"))
         move = stage(move, "moves")
         moves.append(move)
-        into_a = broadcast_if_small(move).select(F.col("vertex").alias("a"), F.col("into").alias("na"))
-        into_b = broadcast_if_small(move).select(F.col("vertex").alias("b"), F.col("into").alias("nb"))
+        known = broadcast_if_small(move)
+        into_a = known.select(F.col("vertex").alias("a"), F.col("into").alias("na"))
+        into_b = known.select(F.col("vertex").alias("b"), F.col("into").alias("nb"))
         renamed = edges.join(into_a, "a", "left").join(into_b, "b", "left")
         renamed = renamed.select(F.coalesce("na", "a").alias("x"), F.coalesce("nb", "b").alias("y")).where("x <> y")
         edges = stage(renamed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
