@@ -43,8 +43,8 @@ def contract(edges: DataFrame) -> DataFrame:
     Each round a coin is thrown for every vertex; one that shows tails moves
     into its smallest neighbour that shows heads, and edges are renamed and made
     distinct. A constant share of the vertices vanishes each round, so the rounds
-    are logarithmic. Moves are kept as a written table per round and unwound in
-    reverse. A vertex with very many edges is never gathered: its choice is a
+    are logarithmic. Moves are kept as a written table per round; at the end every
+    vertex follows them. A vertex with very many edges is never gathered: its choice is a
     minimum combined on the map side.
     """
     moves, turn = [], 0
@@ -55,24 +55,20 @@ def contract(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         move = both.where(~coin(F.col("a"), turn) & coin(F.col("b"), turn)).groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("into"))
         move = stage(move, "moves")
-        moves.append(move)
         known = broadcast_if_small(move)
+        moves.append(known)
         into_a = known.select(F.col("vertex").alias("a"), F.col("into").alias("na"))
         into_b = known.select(F.col("vertex").alias("b"), F.col("into").alias("nb"))
         renamed = edges.join(into_a, "a", "left").join(into_b, "b", "left")
         renamed = renamed.select(F.coalesce("na", "a").alias("x"), F.coalesce("nb", "b").alias("y")).where("x <> y")
         edges = stage(renamed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-    labels = None
-    for move in reversed(moves):  # the last moves name final vertices; earlier ones look theirs up
-        if labels is None:
-            labels = move.select("vertex", F.col("into").alias("component"))
-            continue
-        known = labels.select(F.col("vertex").alias("into"), "component")
-        found = move.join(known, "into", "left").select("vertex", F.coalesce("component", "into").alias("component"))
-        labels = stage(labels.unionByName(found), "labels")
-    if labels is None:
-        return vertices.select("vertex", F.col("vertex").alias("component"))
-    return vertices.join(labels, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
+    labels = vertices.select("vertex", F.col("vertex").alias("component"))
+    for number, move in enumerate(moves, 1):  # a vertex follows the moves in the order in which they were made
+        step = move.select(F.col("vertex").alias("component"), "into")
+        labels = labels.join(step, "component", "left").select("vertex", F.coalesce("into", "component").alias("component"))
+        if number % 8 == 0:
+            labels = stage(labels, "labels")
+    return stage(labels, "labels")
 
 
 def related_rows(df: DataFrame, key: str, shard: Column, ident: Column, carry: list[str]) -> DataFrame:
