@@ -58,7 +58,8 @@ class ItemSet:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
-        self.codes = [_codes(t) for _, t in items]
+        self.texts = [t for _, t in items]
+        self.codes = [_codes(t) for t in self.texts]
         self.least = [max(1, -(-len(c) // 2)) for c in self.codes]
         self.changes = [edits_of(m) + 1 for m in self.least]
         self.by_gram = {}
@@ -188,14 +189,19 @@ def _align(item: np.ndarray, window: np.ndarray) -> list[tuple[int, int, int]]:
 
 def leaks_in(text: str, items: ItemSet) -> list[tuple[int, int, int, int]]:
     """(index of the item, letters start, letters end, letters of the item held) for each item a text leaks."""
-    doc = _codes(letters(text) or "")
+    own = letters(text) or ""
+    doc = _codes(own)
     found: dict[int, tuple[int, int, int]] = {}
     if len(doc):
         for item, diagonal, width in items.candidates(doc):
-            if item not in found and items.plausible(doc, item, diagonal, width):
-                hit = items.stretch(doc, item, diagonal, width)
-                if hit:
-                    found[item] = hit
+            if item in found or not items.plausible(doc, item, diagonal, width):
+                continue
+            whole = own.find(items.texts[item])
+            if whole >= 0:  # the item stands there unchanged
+                length = len(items.texts[item])
+                found[item] = (whole, whole + length, length)
+            elif hit := items.stretch(doc, item, diagonal, width):
+                found[item] = hit
     return [(i, *v) for i, v in sorted(found.items())]
 
 
