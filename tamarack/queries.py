@@ -187,7 +187,7 @@ def lr_schedule(spark, d):
 )
 def label_build(spark, d):
     rows = table(spark, d, "manifest").select("row_id", tx.normalize_text(F.col("transcription")).alias("t"))
-    return rows.select("row_id", vocab.label_ids(F.col("t"), [50258, 50359, 50363], [50257], 224).alias("ids")).where("ids IS NOT NULL")
+    return rows.select("row_id", vocab.label_ids(F.col("t"), [50258, 50359, 50363], [50257], 448).alias("ids")).where("ids IS NOT NULL")
 
 
 # ---------------------------------------------------------------- validation

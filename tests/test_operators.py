@@ -7,6 +7,7 @@ from tamarack.errors import ManifestError
 from tamarack.functions.labels import label, usable_seconds
 from tamarack.operators import audit, decode, gate, lookup, segment, select, splits, validate, vocab
 from tamarack.plans.ordered import rank_in_group, running_before
+from tamarack.queries import QUERIES
 
 FIELDS = "row int, record_id string, recording_id string, path string, lang string, actualSentence string, seconds string"
 
@@ -189,6 +190,14 @@ def test_padding(spark):
     assert row.p == [1, 2, -100, -100]
 
 
+def test_labels_up_to_the_decoder_limit(spark, tmp_path):
+    rows = [(1, "a" * 220), (2, "a" * 221), (3, "a" * 444), (4, "a" * 445), (5, ""), (6, None)]
+    spark.createDataFrame(rows, "row_id long, transcription string").write.parquet(str(tmp_path / "manifest.parquet"))
+    got = {r.row_id: r.ids for r in QUERIES["label_build"](spark, str(tmp_path)).collect()}
+    assert {k: len(v) for k, v in got.items()} == {1: 224, 2: 225, 3: 448}
+    assert got[2] == [50258, 50359, 50363, *[ord("a")] * 221, 50257]
+
+
 GATE = ["swa", "som", "kik", "luo", "mas", "kln"]
 
 
