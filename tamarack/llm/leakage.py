@@ -26,6 +26,11 @@ def edits_of(letters_held: int) -> int:
     return int(letters_held * CHANGED + 1e-9)
 
 
+def lengths_of(least: int, most: int) -> list[int]:
+    """The lengths from ``least`` to ``most`` at which a stretch keeps least: the first, and each that allows one more edit."""
+    return [least, *(m for m in range(least + 1, most + 1) if edits_of(m) > edits_of(m - 1))]
+
+
 def gram_of(least: int) -> int:
     """The longest n-gram of which a stretch of at least ``least`` letters keeps one whatever its changes.
 
@@ -61,7 +66,7 @@ class ItemSet:
         self.texts = [t for _, t in items]
         self.codes = [_codes(t) for t in self.texts]
         self.least = [max(1, -(-len(c) // 2)) for c in self.codes]
-        self.changes = [edits_of(m) + 1 for m in self.least]
+        self.lengths = [lengths_of(m, len(c)) for m, c in zip(self.least, self.codes, strict=True)]
         self.by_gram = {}
         self.sizes = {gram_of(m) for m in self.least}
         hashed = [_rolling(c, self.sizes) for c in self.codes]
@@ -77,9 +82,15 @@ class ItemSet:
             maybe = np.zeros(1 << 20, bool)  # rules most n-grams of a document out before they are searched for
             maybe[(distinct >> np.uint64(44)).astype(np.int64)] = True
             self.by_gram[n] = (maybe, distinct, first, count, owner[order].astype(np.int64), place[order])
-        self.width = np.array([c + 1 for c in self.changes], np.int64)
-        kept = [m + 1 - gram_of(m) * (edits_of(m) + 1) for m in self.least]
+        # A stretch may be as long as the item; its edits shift its diagonals, and a longer one may keep fewer n-grams.
+        self.width = np.array([edits_of(len(c)) + 1 for c in self.codes], np.int64)
+        kept = [min(m + 1 - gram_of(own[0]) * (edits_of(m) + 1) for m in own) for own in self.lengths]
         self.kept = np.array([max(1, k) for k in kept], np.int64)
+        self.bounds = []
+        for own in self.lengths:
+            n = min(FINE_GRAM, own[0])
+            runs = [(m, edits_of(m), m - edits_of(m) - (n - 1) * (edits_of(m) + 1)) for m in own]
+            self.bounds.append((own[0], runs, min(min(r - m for m, _, r in runs) + own[0], runs[0][2] - n)))
 
     def candidates(self, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Items and diagonals (place in the document minus place in the item) at which they may stand."""
@@ -116,10 +127,12 @@ class ItemSet:
                     slot = (int(run[k]) & ((1 << 40) - 1)) - (1 << 30)
                     yield i, slot * width, (last - int(run[k]) + 2) * width
 
-    def plausible(self, doc: np.ndarray, item: int, diagonal: int, width: int) -> bool:
-        """Whether enough letters of the item stand in common runs near the diagonal; drops no true case."""
-        own, e = self.codes[item], self.changes[item]
-        m, n = self.least[item], min(FINE_GRAM, self.least[item])
+    def plausible(self, doc: np.ndarray, item: int, diagonal: int, width: int) -> tuple[np.ndarray, bool]:
+        """The most edits that a stretch may hold from each place of the item, by the letters in common runs near the diagonal.
+
+        -1 where no stretch begins, so it drops no true case; and whether a stretch of half the item with one edit more is possible.
+        """
+        own, n = self.codes[item], min(FINE_GRAM, self.least[item])
         low, high = max(diagonal, -len(own)), min(diagonal + width, len(doc))
         before, after = max(0, -low), max(0, high + len(own) - len(doc))
         part = doc[max(low, 0) : high + len(own)]
@@ -134,11 +147,17 @@ class ItemSet:
         for k in range(n):
             covered[k : k + len(starts)] |= starts
         total = np.concatenate([[0], np.cumsum(covered)])
-        return bool((total[m:] - total[:-m]).max() >= m - e - (n - 1) * (e + 1))
+        least, bounds, floor = self.bounds[item]
+        most, held = np.full(len(own), -1), (total[least:] - total[:-least]).max()
+        if held < floor:
+            return most, False
+        for m, e, runs in bounds:
+            most[: len(own) - m + 1][total[m:] - total[:-m] >= runs] = e
+        return most, bool(held >= bounds[0][2] - n)
 
     def stretch(self, doc: np.ndarray, item: int, diagonal: int, width: int) -> tuple[int, int, int] | None:
         """The longest stretch (document start, end, letters of the item) with few enough changes, by whole alignment."""
-        own, e = self.codes[item], max(self.changes[item], edits_of(len(self.codes[item])) + 1)
+        own, e = self.codes[item], edits_of(len(self.codes[item])) + 1
         low = max(0, diagonal - 2 * e)
         window = doc[low : max(low, diagonal + width + len(own) + 2 * e)]
         steps = _align(own, window)
@@ -159,6 +178,45 @@ class ItemSet:
         return best
 
 
+    def any_stretch(self, doc: np.ndarray, item: int, diagonal: int, width: int, most: np.ndarray) -> tuple[int, int, int] | None:
+        """As ``stretch``, for those that are not on the whole item's cheapest path: from each start by itself."""
+        own, least = self.codes[item], self.least[item]
+        e = edits_of(len(own))
+        starts = np.flatnonzero(most >= 0)
+        low = max(0, diagonal - 2 * e)
+        window = doc[low : max(low, diagonal + width + len(own) + 2 * e)]
+        table, best = np.zeros((len(starts), len(window) + 1), np.int32), None
+        for held in range(1, len(own) + 1):
+            inside = starts + held <= len(own)
+            starts, table = starts[inside], table[inside]
+            if not len(starts):
+                break
+            table = _longer(table, own[starts + held - 1], window, held)
+            edits = table.min(axis=1)
+            if held >= least and edits.min() <= edits_of(held):
+                k = int(edits.argmin())
+                best = (int(starts[k]), held, int(table[k].argmin()))
+            going = edits <= most[starts]
+            starts, table = starts[going], table[going]
+        if best is None:
+            return None
+        start, held, end = best
+        back, table = window[:end][::-1], np.zeros((1, end + 1), np.int32)
+        table[0] = np.arange(end + 1)  # the stretch ends just there
+        for k in range(1, held + 1):
+            table = _longer(table, own[start + held - k : start + held - k + 1], back, k)
+        return low + end - int(table[0].argmin()), low + end, held
+
+
+def _longer(table: np.ndarray, last: np.ndarray, window: np.ndarray, held: int) -> np.ndarray:
+    """Edits up to each place of the window, a row for each start, for stretches longer by the letters ``last``."""
+    ramp = np.arange(len(window) + 1, dtype=np.int32)
+    row = np.empty_like(table)
+    row[:, 0] = held
+    row[:, 1:] = np.minimum(table[:, :-1] + (window != last[:, None]), table[:, 1:] + 1)
+    return np.minimum.accumulate(row - ramp, axis=1) + ramp
+
+
 def _align(item: np.ndarray, window: np.ndarray) -> list[tuple[int, int, int]]:
     """Cheapest edit path of the whole item into any place of the window: (change, item place, window place) per step."""
     m, n = len(item), len(window)
@@ -194,13 +252,16 @@ def leaks_in(text: str, items: ItemSet) -> list[tuple[int, int, int, int]]:
     found: dict[int, tuple[int, int, int]] = {}
     if len(doc):
         for item, diagonal, width in items.candidates(doc):
-            if item in found or not items.plausible(doc, item, diagonal, width):
+            if item in found:
+                continue
+            most, near = items.plausible(doc, item, diagonal, width)
+            if not near and most.max() < 0:
                 continue
             whole = own.find(items.texts[item])
             if whole >= 0:  # the item stands there unchanged
                 length = len(items.texts[item])
                 found[item] = (whole, whole + length, length)
-            elif hit := items.stretch(doc, item, diagonal, width):
+            elif hit := (near and items.stretch(doc, item, diagonal, width)) or items.any_stretch(doc, item, diagonal, width, most):
                 found[item] = hit
     return [(i, *v) for i, v in sorted(found.items())]
 

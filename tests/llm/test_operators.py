@@ -413,6 +413,22 @@ def test_gram_length_loses_nothing(least):
         assert runs >= n
 
 
+@pytest.mark.parametrize("size,held", [(90, 50), (58, 30), (40, 40), (99, 60)])
+def test_evenly_spread_edits_are_found(size, held):
+    rng = random.Random(size)
+    for turn in range(12):
+        item, around = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (size, 60))
+        at = rng.randrange(size - held + 1)
+        for edits, want in ((held // 10, True), (held // 10 + 2, False)):
+            piece = list(item[at : at + held])
+            for k in range(edits):
+                piece[(k + 1) * held // (edits + 1)] = "0"
+            doc = around[:30] + "".join(piece) + around[30:]
+            assert bool(leakage.leaks_in(doc, leakage.ItemSet([(0, item)]))) == want
+            if not turn and size < 60:
+                assert leak_brute(doc, item) == want
+
+
 # ------------------------------------------------------------------ sentences
 
 
