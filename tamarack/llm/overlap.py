@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,12 @@ from .letters import letters_of
 
 #: Letters of a shingle, bands, and minhashes in each band.
 SHINGLE, BANDS, ROWS = 4, 32, 4
-#: Exact Jaccard similarity of the shingle sets from which a candidate is looked at further.
+#: Exact Jaccard similarity of the shingle sets that a candidate needs where no edit rule is given.
 JACCARD = 0.3
 #: Edits allowed, as a share of the longer text.
 EDITS = 0.15
+#: Letters up to which candidates are found without loss, by blocks of which an edit rule leaves one whole.
+SHORT = 32
 EVALUATION = ("validation", "test")
 
 _SEEDS = np.random.default_rng(20240917).integers(1, 2**32, (2, 512), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -66,7 +69,29 @@ def band_keys(texts: list[str], salt: np.ndarray, bands: int = BANDS, rows: int
     return keys.T.astype(np.int64)
 
 
-def _band_batches(bands: int, rows: int):
+def most_edits(longer: int, edits: float) -> int:
+    return int(edits * longer + 1e-9)
+
+
+def block_keys(text: str, salt: int, edits: float, indexed: bool) -> set[int]:
+    """Keys of which two short texts with few enough edits share one; ``indexed`` texts give their blocks, others all that may equal one.
+
+    Of e + 1 blocks e edits leave one whole, moved by at most e places.
+    """
+    n, keys = len(text), set()
+    for own in [n] if indexed else range(1, SHORT + 1):
+        if abs(own - n) > most_edits(max(own, n), edits):
+            continue
+        e = max(most_edits(m, edits) for m in range(1, SHORT + 1) if abs(m - own) <= most_edits(max(m, own), edits))
+        for i in range(e + 1):
+            x, y = own * i // (e + 1), own * (i + 1) // (e + 1)
+            for at in [x] if indexed else range(max(0, x - e), min(n - (y - x), x + e) + 1):
+                word = f"{salt} {own} {i} {text[at : at + y - x]}".encode("utf-8", "surrogatepass")
+                keys.add(int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True))
+    return keys
+
+
+def _band_batches(bands: int, rows: int, edits: float | None, indexed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):  # the working set stays in the processor's cache
@@ -74,7 +99,13 @@ def _band_batches(bands: int, rows: int):
                 texts = part.column(1).to_pylist()
                 keys = band_keys(texts, part.column(2).to_numpy(zero_copy_only=False), bands, rows)
                 length = pa.array([len(t) for t in texts], pa.int32())
-                lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, bands, dtype=np.int32), pa.array(keys.ravel()))
+                each = list(keys)
+                for i, t in enumerate(texts):
+                    if edits is not None and len(t) <= SHORT:
+                        blocks = block_keys(t, part.column(2)[i].as_py(), edits, indexed)
+                        each[i] = np.concatenate([each[i], np.fromiter(blocks, np.int64, len(blocks))])
+                offsets = np.cumsum([0, *map(len, each)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(each)))
                 yield pa.RecordBatch.from_arrays([part.column(0), length, lists], names=["rep", "length", "keys"])
 
     return run
@@ -84,6 +115,13 @@ def _verify(jaccard: float, edits: float | None):
     def shingles(t: str) -> set[str]:
         return {t[i : i + SHINGLE] for i in range(len(t) - SHINGLE + 1)} or {t}
 
+    def near(s: str, own: set[str], t: str) -> bool:
+        most = most_edits(max(len(s), len(t)), edits)
+        least = len(t) - SHINGLE + 1 - SHINGLE * most  # shingles that the edits leave whole
+        if least > 0 and sum(t[i : i + SHINGLE] in own for i in range(len(t) - SHINGLE + 1)) < least:
+            return False
+        return edit_distance(s, t, most) <= most
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
@@ -91,13 +129,12 @@ def _verify(jaccard: float, edits: float | None):
             for i, (s, t) in enumerate(zip(x, y, strict=True)):
                 if s != last:
                     last, own = s, shingles(s)
+                if edits is not None:
+                    keep.append(near(s, own, t))
+                    continue
                 other = shingles(t)
                 both = len(own & other)
-                ok = both >= jaccard * (len(own) + len(other) - both)
-                if ok and edits is not None:
-                    most = int(edits * max(len(s), len(t)) + 1e-9)
-                    ok = edit_distance(s, t, most) <= most
-                keep.append(ok)
+                keep.append(both >= jaccard * (len(own) + len(other) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(mask), pa.array(b, pa.int64()).filter(mask)], names=["a", "b"])
 
@@ -110,18 +147,19 @@ def near_classes(classes: DataFrame, bands: int = BANDS, rows: int = ROWS, jacca
     ``classes``: rep (long), train, held (booleans), text, salt (long): one row
     per distinct text of a group. Only buckets with both sides give candidates,
     those whose lengths alone exceed the edits are dropped at once, and the rest
-    is verified on whole texts.
+    is verified on whole texts: by edit distance, or by ``jaccard`` if ``edits``
+    is None. Pairs of at most ``SHORT`` letters are all found if ``edits`` is given.
     """
     def banded(side: str, rep: str, length: str) -> DataFrame:
         own = classes.where(side).select("rep", "text", "salt").mapInArrow(
-            _band_batches(bands, rows), "rep long, length int, keys array<long>"
+            _band_batches(bands, rows, edits, side == "train"), "rep long, length int, keys array<long>"
         )
         return own.select(F.explode("keys").alias("key"), F.col("rep").alias(rep), F.col("length").alias(length))
 
     left, right = banded("train", "a", "m"), banded("held", "b", "n")
     cand = left.join(right, "key").where("a <> b")
     if edits is not None:
-        cand = cand.where(F.abs(F.col("m") - F.col("n")) <= F.greatest("m", "n") * F.lit(edits))
+        cand = cand.where(F.abs(F.col("m") - F.col("n")) <= F.greatest("m", "n") * F.lit(edits) + F.lit(1e-9))
     cand = cand.select("a", "b").distinct()
     texts = classes.select("rep", "text")
     pairs = cand.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")

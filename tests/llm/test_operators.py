@@ -265,6 +265,35 @@ def test_jaccard_is_verified_exactly(spark):
     assert overlap.near_classes(classes, bands=60, rows=1, jaccard=jaccard + 0.01, edits=None).count() == 0
 
 
+def test_short_overlaps_are_all_found(spark):
+    rng = random.Random(8)
+    rows, want, texts = [], set(), []
+    for n in range(7, 29):  # at most 32 letters with the insertions
+        for turn in range(6):
+            texts.append(t := "".join(rng.choice("abcdefgh") for _ in range(n)))
+            other = list(t)
+            most = int(0.15 * n + 1e-9)
+            for k in range(most):
+                at = (k + 1) * n // (most + 1)
+                other[at] = ("z", "", other[at] + "z")[turn % 3]
+            texts.append("".join(other))
+    for k, t in enumerate(texts):
+        rows.append({"row_id": k, "language": "swa", "split": ("train", "test")[k % 2], "transcription": t})
+    for k, m in itertools.combinations(range(len(texts)), 2):
+        most = int(0.15 * max(len(texts[k]), len(texts[m])) + 1e-9)
+        if (k + m) % 2 and overlap.edit_distance(texts[k], texts[m]) <= most:
+            want.add((k, m))
+    got = [(r.row_a, r.row_b) for r in overlap.clip_overlaps(clips(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_spread_edits_pass_whatever_their_jaccard(spark):
+    a = "".join(random.Random(2).choice("abcdefghijklmnop") for _ in range(100))
+    b = "".join("z" if i % 7 == 3 else x for i, x in enumerate(a))
+    classes = spark.createDataFrame([(1, True, False, a, 5), (2, False, True, b, 5)], "rep long, train boolean, held boolean, text string, salt long")
+    assert overlap.near_classes(classes, bands=60, rows=1).count() == 1
+
+
 def test_minhash_agreement_estimates_jaccard():
     a, b = "abcdefghijklmnopqrstuvwxyz" * 2, "abcdefghijklmnopqrstuvwxyz0123456789"
     keys = overlap.band_keys([a, b], np.zeros(2, np.int64), bands=512, rows=1)
