@@ -494,6 +494,20 @@ def test_units(text, lang, want):
     assert cut(text, lang) == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Foo. 2. Bar. Baz", ["Foo.", "2. Bar.", "Baz"]),
+        ("1. One. 2. Two. 2.1. Sub. 3. Three", ["1. One.", "2. Two.", "2.1. Sub.", "3. Three"]),
+        ("1.2. Foo. Bar", ["1.2. Foo.", "Bar"]),
+        ("1. How old? 42. And", ["1. How old?", "42.", "And"]),
+        ("Foo. 2.", ["Foo.", "2."]),
+    ],
+)
+def test_list_numbers_open_units(text, want):
+    assert cut(text, "eng") == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("aB.!?\" “”()\n\r 1:-กข。", max_size=40))
 def test_units_cover_all_but_blanks(text):
