@@ -22,10 +22,11 @@ def run_available(
 
     The checkpoint remembers files, the join with earlier results remembers ids,
     so a rerun after a loss repeats nothing that was committed.
+    Rows without an id are all kept, as in ``not_done``.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        new = rows.dropDuplicates([key])
+        new = rows.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(rows.where(F.col(key).isNull()))
         try:
             new = not_done(new, spark.read.parquet(results), key)
         except Exception as e:  # noqa: BLE001 - there are no results before the first batch

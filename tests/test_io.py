@@ -165,6 +165,14 @@ def test_stream_resumes(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(results).collect()) == ["a", "b", "c"]
 
 
+def test_stream_keeps_rows_without_id(spark, tmp_path):
+    source, results, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.LongType())])
+    spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 3)], schema).write.parquet(source)
+    run_available(spark, source, schema, lambda df: df, results, mark, "id")
+    assert sorted(r.n for r in spark.read.parquet(results).collect()) == [1, 2, 3]
+
+
 def test_staging(spark):
     df = spark.range(10)
     assert stage(df).count() == 10 and small(df, 10) and not small(df, 9)
