@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .letters import letters
+from .letters import letter_places, letters
 
 #: Share of an item's letters that one stretch must hold, and changes allowed in the stretch.
 HELD, CHANGED = 0.5, 0.1
-#: Longest n-gram looked up, and n of the grams that a candidate's diagonals are filled with.
-LONG_GRAM, FINE_GRAM = 8, 3
+#: Longest n-gram looked up.
+LONG_GRAM = 5
 #: Letters of items in one broadcast set; more items are scanned in several blocks.
 BLOCK_LETTERS = 4_000_000
+#: Letters of documents scanned together, and cells of one alignment table; both bound memory, not results.
+SCANNED_LETTERS, TABLE_CELLS = 200_000, 2_000_000
 _NO_LETTER = np.uint32(0xFFFFFFFF)
 #: Neighbouring slots of diagonals looked at together.
 _MERGED = 3
@@ -44,11 +47,11 @@ def gram_of(least: int) -> int:
 
 def _rolling(codes: np.ndarray, sizes) -> dict[int, np.ndarray]:
     """Hashes of the n-grams of each wanted n, from one pass that lengthens them letter by letter."""
-    out, h = {}, np.zeros(len(codes), np.uint64)
+    out, h = {}, np.zeros(len(codes), np.uint32)
     for i in range(max(sizes, default=0)):
         h = h[: max(len(codes) - i, 0)]
-        h = (h ^ codes[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
+        h = (h ^ codes[i : i + len(h)]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
         if i + 1 in sizes:
             out[i + 1] = h
     return out
@@ -58,15 +61,27 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def going_on(least: int, most: int) -> list[int]:
+    """For each number of edits, the length that a stretch with so many must have if one with more can still be long enough.
+
+    A stretch with more edits falls into pieces of at most e edits each, parted by one edit.
+    """
+    ends = [(edits_of(m), m) for m in lengths_of(least, most)]
+    out = []
+    for e in range(min(ends[-1][0], 60) + 1):
+        pieces = [(-(-(f + 1) // (e + 1)), m) for f, m in ends if f >= e]
+        out.append(min(-(-(m - q + 1) // q) for q, m in pieces))
+    return out
+
+
 class ItemSet:
     """The n-grams of a block of test items, sorted for look-up."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
-        self.texts = [t for _, t in items]
-        self.codes = [_codes(t) for t in self.texts]
+        self.codes = [_codes(t) for _, t in items]
         self.least = [max(1, -(-len(c) // 2)) for c in self.codes]
-        self.lengths = [lengths_of(m, len(c)) for m, c in zip(self.least, self.codes, strict=True)]
+        self.go = [going_on(m, len(c)) for m, c in zip(self.least, self.codes, strict=True)]
         self.by_gram = {}
         self.sizes = {gram_of(m) for m in self.least}
         hashed = [_rolling(c, self.sizes) for c in self.codes]
@@ -80,24 +95,22 @@ class ItemSet:
             order = np.argsort(grams, kind="stable")
             distinct, first, count = np.unique(grams[order], return_index=True, return_counts=True)
             maybe = np.zeros(1 << 20, bool)  # rules most n-grams of a document out before they are searched for
-            maybe[(distinct >> np.uint64(44)).astype(np.int64)] = True
+            maybe[distinct >> np.uint32(12)] = True
             self.by_gram[n] = (maybe, distinct, first, count, owner[order].astype(np.int64), place[order])
         # A stretch may be as long as the item; its edits shift its diagonals, and a longer one may keep fewer n-grams.
         self.width = np.array([edits_of(len(c)) + 1 for c in self.codes], np.int64)
-        kept = [min(m + 1 - gram_of(own[0]) * (edits_of(m) + 1) for m in own) for own in self.lengths]
-        self.kept = np.array([max(1, k) for k in kept], np.int64)
-        self.bounds = []
-        for own in self.lengths:
-            n = min(FINE_GRAM, own[0])
-            runs = [(m, edits_of(m), m - edits_of(m) - (n - 1) * (edits_of(m) + 1)) for m in own]
-            self.bounds.append((own[0], runs, min(min(r - m for m, _, r in runs) + own[0], runs[0][2] - n)))
-
-    def candidates(self, doc: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Items and diagonals (place in the document minus place in the item) at which they may stand."""
-        hashed = _rolling(doc, self.sizes)
+        own = [(gram_of(m), lengths_of(m, len(c))) for m, c in zip(self.least, self.codes, strict=True)]
+        self.kept = np.array([max(1, min(m + 1 - n * (edits_of(m) + 1) for m in ms)) for n, ms in own], np.int64)
+
+    def candidates(self, docs: np.ndarray, number: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first diagonal, diagonals) at which an item may stand; a diagonal is the place in the document minus that in the item.
+
+        ``docs`` are the letters of many documents, ``number`` the document of each letter, ``begin`` where each begins.
+        """
+        hashed = _rolling(docs, self.sizes)
         for n, (maybe, distinct, first, count, owner, place) in self.by_gram.items():
             own = hashed[n]
-            hit = np.flatnonzero(maybe[(own >> np.uint64(44)).astype(np.int64)])
+            hit = np.flatnonzero(maybe[own >> np.uint32(12)])
             if not len(hit):
                 continue
             entry = np.minimum(np.searchsorted(distinct, own[hit]), len(distinct) - 1)
@@ -109,190 +122,172 @@ class ItemSet:
             at = np.repeat(hit, times)
             ends = np.cumsum(times)
             entry = np.arange(ends[-1]) - np.repeat(ends - times, times) + np.repeat(first[entry], times)
-            item, diagonal = owner[entry], at - place[entry]
-            slot = diagonal // self.width[item]
-            key, hits = np.unique((item << 40) + (slot + (1 << 30)), return_counts=True)
+            item, doc = owner[entry], number[at]
+            pair = doc * len(self.codes) + item
+            enough = np.bincount(pair)[pair] >= self.kept[item]  # most pairs share a phrase only
+            at, entry, item, doc = at[enough], entry[enough], item[enough], doc[enough]
+            if not len(at):
+                continue
+            slot = (at - begin[doc] - place[entry]) // self.width[item]
+            pair, here = np.unique(doc * len(self.codes) + item, return_inverse=True)
+            key, hits = np.unique((here << 32) + (slot + (1 << 30)), return_counts=True)
             # The diagonals of a true stretch lie in two neighbouring slots, which hold what it keeps of its n-grams.
             spread = np.unique(np.concatenate([key, key - 1]))
             both = np.zeros(len(spread), np.int64)
             for shift in (0, 1):
-                where = np.searchsorted(key, spread + shift)
-                there = np.minimum(where, len(key) - 1)
-                both += np.where(key[there] == spread + shift, hits[there], 0)
-            keep = spread[both >= self.kept[spread >> 40]]
-            for run in np.split(keep, np.flatnonzero(np.diff(keep) > 1) + 1) if len(keep) else ():
-                for k in range(0, len(run), _MERGED):
-                    i, last = int(run[k] >> 40), int(run[min(k + _MERGED, len(run)) - 1])
-                    width = int(self.width[i])
-                    slot = (int(run[k]) & ((1 << 40) - 1)) - (1 << 30)
-                    yield i, slot * width, (last - int(run[k]) + 2) * width
-
-    def plausible(self, doc: np.ndarray, item: int, diagonal: int, width: int) -> tuple[np.ndarray, bool]:
-        """The most edits that a stretch may hold from each place of the item, by the letters in common runs near the diagonal.
-
-        -1 where no stretch begins, so it drops no true case; and whether a stretch of half the item with one edit more is possible.
-        """
-        own, n = self.codes[item], min(FINE_GRAM, self.least[item])
+                where = np.minimum(np.searchsorted(key, spread + shift), len(key) - 1)
+                both += np.where(key[where] == spread + shift, hits[where], 0)
+            doc, item = np.divmod(pair[spread >> 32], len(self.codes))
+            keep = both >= self.kept[item]
+            spread, doc, item = spread[keep], doc[keep], item[keep]
+            if not len(spread):
+                continue
+            begins = np.flatnonzero(np.diff(spread, prepend=-9) > 1)
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(spread)], strict=True):
+                for k in range(a, b, _MERGED):
+                    width = int(self.width[item[k]])
+                    slot = (int(spread[k]) & 0xFFFFFFFF) - (1 << 30)
+                    yield int(doc[k]), int(item[k]), slot * width, (min(k + _MERGED, b) - k + 1) * width
+
+    def stretch(self, doc: np.ndarray, item: int, diagonal: int, width: int) -> tuple[int, int, int] | None:
+        """The longest stretch (document start, end, letters of the item) with few enough changes on these diagonals."""
+        own = self.codes[item]
         low, high = max(diagonal, -len(own)), min(diagonal + width, len(doc))
-        before, after = max(0, -low), max(0, high + len(own) - len(doc))
-        part = doc[max(low, 0) : high + len(own)]
+        if high <= low:
+            return None
+        before, after = max(0, -low), max(0, high + len(own) - 1 - len(doc))
+        part = doc[max(low, 0) : high + len(own) - 1]
         if before or after:
             part = np.concatenate([np.full(before, _NO_LETTER), part, np.full(after, _NO_LETTER)])
-        same = np.ndarray((high - low, len(own)), part.dtype, np.ascontiguousarray(part), strides=(part.itemsize, part.itemsize)) == own
-        run = same[:, : len(own) - n + 1].copy()
-        for k in range(1, n):
-            run &= same[:, k : len(own) - n + 1 + k]
-        starts = run.any(axis=0)
-        covered = np.zeros(len(own), bool)
-        for k in range(n):
-            covered[k : k + len(starts)] |= starts
-        total = np.concatenate([[0], np.cumsum(covered)])
-        least, bounds, floor = self.bounds[item]
-        most, held = np.full(len(own), -1), (total[least:] - total[:-least]).max()
-        if held < floor:
-            return most, False
-        for m, e, runs in bounds:
-            most[: len(own) - m + 1][total[m:] - total[:-m] >= runs] = e
-        return most, bool(held >= bounds[0][2] - n)
+        found = longest_stretch(own, part, self.least[item], self.go[item])
+        return found and (max(low + found[0], 0), min(low + found[1], len(doc)), found[2])
 
-    def stretch(self, doc: np.ndarray, item: int, diagonal: int, width: int) -> tuple[int, int, int] | None:
-        """The longest stretch (document start, end, letters of the item) with few enough changes, by whole alignment."""
-        own, e = self.codes[item], edits_of(len(self.codes[item])) + 1
-        low = max(0, diagonal - 2 * e)
-        window = doc[low : max(low, diagonal + width + len(own) + 2 * e)]
-        steps = _align(own, window)
-        if not steps:
-            return None
-        best = None
-        changed = np.concatenate([[0], np.cumsum([s != 0 for s, _, _ in steps])])
-        length = np.arange(len(changed))
-        score = length * CHANGED - changed + 1e-9  # a stretch qualifies if its score does not fall
-        low_score = np.minimum.accumulate(score)
-        for end in range(1, len(score)):
-            start = int(np.searchsorted(-low_score[: end + 1], -score[end], "left"))
-            if start < end:
-                a, b = steps[start], steps[end - 1]
-                held = b[1] - a[1] + 1
-                if held >= len(own) * HELD and (best is None or held > best[2]):
-                    best = (low + a[2], low + b[2] + 1, held)
-        return best
-
-
-    def any_stretch(self, doc: np.ndarray, item: int, diagonal: int, width: int, most: np.ndarray) -> tuple[int, int, int] | None:
-        """As ``stretch``, for those that are not on the whole item's cheapest path: from each start by itself."""
-        own, least = self.codes[item], self.least[item]
-        e = edits_of(len(own))
-        starts = np.flatnonzero(most >= 0)
-        low = max(0, diagonal - 2 * e)
-        window = doc[low : max(low, diagonal + width + len(own) + 2 * e)]
-        table, best = np.zeros((len(starts), len(window) + 1), np.int32), None
-        for held in range(1, len(own) + 1):
-            inside = starts + held <= len(own)
-            starts, table = starts[inside], table[inside]
-            if not len(starts):
+
+def longest_stretch(own: np.ndarray, part: np.ndarray, least: int, go: list[int], cells: int = TABLE_CELLS) -> tuple[int, int, int] | None:
+    """(start and end in ``part``, letters held) of the longest stretch of ``own`` with at most one change in ten; exact.
+
+    ``part[k + i]`` stands against ``own[i]`` on diagonal k. Of each cell (diagonal, letters of ``own`` read) the table holds the earliest start,
+    and its diagonal, of a stretch that ends there with at most e edits. One more edit moves a cell from
+    its neighbours (a replaced, a left out, an added letter), and runs of equal letters carry it on for nothing: a
+    running minimum that begins anew at each unequal letter. Rows of ``own`` are taken in blocks of ``cells``;
+    between blocks one column for each number of edits is kept.
+    """
+    size, lines = len(own), len(part) - len(own) + 1
+    most, rows = edits_of(size), max(1, min(size, cells // lines))
+    kind = np.int32 if (size + 1) * (size + 1) * lines < 2**31 else np.int64
+    line = np.arange(lines, dtype=kind)[:, None]
+    kept: list[np.ndarray] = [line[:, 0]] * (most + 1)
+    best, found = least - 1, None
+    for a in range(0, size, rows):
+        b = min(a + rows, size)
+        same = np.ndarray((lines, b - a), part.dtype, np.ascontiguousarray(part[a : b + lines - 1]), strides=(part.itemsize, part.itemsize)) == own[a:b]
+        read = np.arange(a, b + 1, dtype=kind)
+        start = np.empty((lines, b - a + 1), kind)
+        start[:, 0] = kept[0] // lines
+        start[:, 1:] = np.where(same, 0, read[1:])
+        np.maximum.accumulate(start, axis=1, out=start)
+        anew = start * kind((size + 1) * lines)
+        table = start * kind(lines) + line
+        reach, nexts = read * kind(lines), []
+        for e in range(most + 1):
+            if e:
+                longer = table.copy()
+                np.minimum(longer[:, 1:], table[:, :-1], out=longer[:, 1:])
+                np.minimum(longer[:-1, 1:], table[1:, :-1], out=longer[:-1, 1:])
+                np.minimum(longer[1:], table[:-1], out=longer[1:])
+                if a:
+                    longer[:, 0] = kept[e]
+                longer -= anew
+                np.minimum.accumulate(longer, axis=1, out=longer)
+                longer += anew
+                table = longer
+            nexts.append(table[:, -1].copy())
+            held = reach - table
+            longest = -(-int(held.max()) // lines)
+            if longest > best and edits_of(longest) >= e:
+                k, i = divmod(int(held.argmax()), held.shape[1])
+                began, on = divmod(int(table[k, i]), lines)
+                best, found = longest, (began + on, a + i + k, longest)
+            if rows >= size and (longest >= size or (e < len(go) and longest < go[e])):
                 break
-            table = _longer(table, own[starts + held - 1], window, held)
-            edits = table.min(axis=1)
-            if held >= least and edits.min() <= edits_of(held):
-                k = int(edits.argmin())
-                best = (int(starts[k]), held, int(table[k].argmin()))
-            going = edits <= most[starts]
-            starts, table = starts[going], table[going]
-        if best is None:
-            return None
-        start, held, end = best
-        back, table = window[:end][::-1], np.zeros((1, end + 1), np.int32)
-        table[0] = np.arange(end + 1)  # the stretch ends just there
-        for k in range(1, held + 1):
-            table = _longer(table, own[start + held - k : start + held - k + 1], back, k)
-        return low + end - int(table[0].argmin()), low + end, held
-
-
-def _longer(table: np.ndarray, last: np.ndarray, window: np.ndarray, held: int) -> np.ndarray:
-    """Edits up to each place of the window, a row for each start, for stretches longer by the letters ``last``."""
-    ramp = np.arange(len(window) + 1, dtype=np.int32)
-    row = np.empty_like(table)
-    row[:, 0] = held
-    row[:, 1:] = np.minimum(table[:, :-1] + (window != last[:, None]), table[:, 1:] + 1)
-    return np.minimum.accumulate(row - ramp, axis=1) + ramp
-
-
-def _align(item: np.ndarray, window: np.ndarray) -> list[tuple[int, int, int]]:
-    """Cheapest edit path of the whole item into any place of the window: (change, item place, window place) per step."""
-    m, n = len(item), len(window)
-    if not m or not n:
-        return []
-    table = np.zeros((m + 1, n + 1), np.int32)
-    ramp = np.arange(n + 1, dtype=np.int32)
-    for i in range(1, m + 1):
-        row = np.empty(n + 1, np.int32)
-        row[0] = i
-        row[1:] = np.minimum(table[i - 1, :-1] + (window != item[i - 1]), table[i - 1, 1:] + 1)
-        table[i] = np.minimum.accumulate(row - ramp) + ramp
-    i, j, steps = m, int(table[m].argmin()), []
-    while i:
-        here = table[i, j]
-        if j and here == table[i - 1, j - 1] + (item[i - 1] != window[j - 1]):
-            steps.append((int(item[i - 1] != window[j - 1]), i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif here == table[i - 1, j] + 1:
-            steps.append((1, i - 1, max(j - 1, 0)))
-            i -= 1
-        else:
-            steps.append((1, i - 1, j - 1))
-            j -= 1
-    steps.reverse()
-    return steps
-
-
-def leaks_in(text: str, items: ItemSet) -> list[tuple[int, int, int, int]]:
-    """(index of the item, letters start, letters end, letters of the item held) for each item a text leaks."""
-    own = letters(text) or ""
-    doc = _codes(own)
-    found: dict[int, tuple[int, int, int]] = {}
-    if len(doc):
-        for item, diagonal, width in items.candidates(doc):
-            if item in found:
-                continue
-            most, near = items.plausible(doc, item, diagonal, width)
-            if not near and most.max() < 0:
-                continue
-            whole = own.find(items.texts[item])
-            if whole >= 0:  # the item stands there unchanged
-                length = len(items.texts[item])
-                found[item] = (whole, whole + length, length)
-            elif hit := (near and items.stretch(doc, item, diagonal, width)) or items.any_stretch(doc, item, diagonal, width, most):
-                found[item] = hit
-    return [(i, *v) for i, v in sorted(found.items())]
+        kept = nexts
+    return found
+
+
+def leaks_in(texts: list[str], items: ItemSet) -> list[list[tuple[int, int, int, int, int]]]:
+    """For each text (index of the item, number, start, end, letters of the item held) of each stretch it leaks, in code points.
+
+    Stretches of one item that overlap in a text are one, the longest, which has number 1.
+    """
+    own = [letters(t) for t in texts]
+    out: list[list[tuple[int, int, int, int, int]]] = [[] for _ in texts]
+    a = 0
+    while a < len(texts):
+        b, size = a + 1, len(own[a])
+        while b < len(texts) and size + len(own[b]) < SCANNED_LETTERS:
+            size += len(own[b])
+            b += 1
+        docs = [_codes(t) for t in own[a:b]]
+        sizes = np.array([len(d) + 1 for d in docs])
+        apart = [x for d in docs for x in (d, np.array([_NO_LETTER]))]
+        begin = np.cumsum(sizes) - sizes
+        found: dict[tuple[int, int], set[tuple[int, int, int]]] = {}
+        for doc, item, diagonal, width in items.candidates(np.concatenate(apart), np.repeat(np.arange(b - a), sizes), begin):
+            if hit := items.stretch(docs[doc], item, diagonal, width):
+                found.setdefault((doc, item), set()).add(hit)
+        for doc in sorted({d for d, _ in found}):
+            starts, ends = letter_places(texts[a + doc])
+            for item in sorted(i for d, i in found if d == doc):
+                taken: list[tuple[int, int]] = []
+                for s, e, held in sorted(found[doc, item], key=lambda x: (-x[2], x)):
+                    if all(e <= x or y <= s for x, y in taken):
+                        taken.append((s, e))
+                        out[a + doc].append((item, len(taken), starts[s], ends[e - 1], held))
+        a = b
+    return out
+
+
+_SETS: dict[str, ItemSet] = {}
+
 
+def _items(token: str, shared) -> ItemSet:
+    """The item set of a broadcast, built once in each Python worker; only the last one is kept."""
+    if token not in _SETS:
+        _SETS.clear()
+        _SETS[token] = ItemSet(shared.value)
+    return _SETS[token]
 
-def _scan(shared):
+
+def _scan(shared, token: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = ItemSet(shared.value)
+        items = _items(token, shared)
         for batch in batches:
-            rows, seen = [], {}
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if text not in seen:
-                    seen[text] = leaks_in(text, items)
-                rows += [(key, items.ids[i], a, b, held, held / len(items.codes[i])) for i, a, b, held in seen[text]]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            texts = batch.column(1).to_pylist()
+            distinct = list(dict.fromkeys(texts))
+            leaks = dict(zip(distinct, leaks_in(distinct, items), strict=True))
+            rows = [
+                (key, items.ids[i], n, a, b, held, held / len(items.codes[i]))
+                for key, text in zip(batch.column(0).to_pylist(), texts, strict=True) for i, n, a, b, held in leaks[text]
+            ]
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            types = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=_COLUMNS)
 
     return run
 
 
-_COLUMNS = ["doc_id", "item_id", "start", "end", "held", "share"]
-_SCHEMA = "doc_id long, item_id long, start long, end long, held long, share double"
+_COLUMNS = ["doc_id", "item_id", "stretch", "start", "end", "held", "share"]
+_SCHEMA = "doc_id long, item_id long, stretch long, start long, end long, held long, share double"
 
 
 def leaked_spans(documents: DataFrame, items: DataFrame, block_letters: int = BLOCK_LETTERS) -> DataFrame:
-    """Each document that holds at least half of an item's letters in one stretch, with the stretch.
+    """Each stretch of a document that holds at least half of an item's letters.
 
     ``documents``: doc_id, text; ``items``: item_id, text. ``start`` and ``end``
-    count letters of the document. Documents are read once per block of items,
+    are code points of the document's text, ``held`` the item's letters. A document gives a row for each stretch
+    that does not overlap a longer one of the same item (``stretch`` numbers them). Documents are read once per block of items,
     so the broadcast set stays below ``block_letters`` letters however many items
-    there are. Null, empty and letterless texts on either side leak nothing;
+    there are (a single longer item is a block of its own). Null, empty and letterless texts on either side leak nothing;
     repeated item ids give repeated rows of their own; documents are scanned
     whole, and nothing is shuffled.
     """
@@ -307,12 +302,34 @@ def leaked_spans(documents: DataFrame, items: DataFrame, block_letters: int = BL
         own = bare.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         held = [(r["item_id"], letters(r["text"])) for r in own.collect()]  # at most about block_letters letters
         shared = spark.sparkContext.broadcast([(i, t) for i, t in held if t])
-        part = texts.mapInArrow(_scan(shared), _SCHEMA)
+        part = texts.mapInArrow(_scan(shared, uuid.uuid4().hex), _SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id`` and ``item_id``, once for each document and item it leaks; nothing is shuffled."""
+    return leaked_spans(documents, items).where("stretch = 1").select("doc_id", "item_id")
+
+
 def clean_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without those that leak an item; all their columns pass through."""
     leaked = leaked_spans(documents.select("doc_id", "text"), items).select("doc_id").distinct()
     return documents.join(leaked, "doc_id", "left_anti")
+
+
+def trimmed_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text`` of every document with the leaked stretches cut out; ``doc_id`` must be unique.
+
+    The spans of a document are gathered in its row, which they fit as their number is bounded by its letters and the items.
+    """
+    spans = leaked_spans(documents, items).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    rows = documents.select("doc_id", "text").join(spans, "doc_id", "left")
+    zero = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("at"))
+
+    def cut(done, span):
+        part = F.substring(F.col("text"), (done["at"] + 1).cast("int"), F.greatest(span["start"] - done["at"], F.lit(0)).cast("int"))
+        return F.struct(F.concat(done["kept"], part).alias("kept"), F.greatest(done["at"], span["end"]).alias("at"))
+
+    whole = F.aggregate("_spans", zero, cut, lambda d: F.concat(d["kept"], F.substring(F.col("text"), (d["at"] + 1).cast("int"), F.length("text"))))
+    return rows.select("doc_id", F.coalesce(whole, F.col("text")).alias("text"))

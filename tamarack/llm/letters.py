@@ -84,6 +84,33 @@ def letters(text: str | None) -> str | None:
     return out if out.isascii() else unicodedata.normalize("NFC", out)
 
 
+def letter_places(text: str) -> tuple[list[int], list[int]]:
+    """For each of a text's letters, the code point where it begins and the one after its end.
+
+    Characters that the composed form joins are one cluster, whose letters share its place.
+    """
+    if unicodedata.is_normalized("NFC", text.translate(_LETTERS)):  # each character keeps its own letters
+        places = [i for i, ch in enumerate(text) for _ in _LETTERS[ord(ch)]]
+        return places, [i + 1 for i in places]
+    starts, ends, cluster, first, last = [], [], "", 0, 0
+    for i, ch in enumerate(text):
+        own = _LETTERS[ord(ch)]
+        if not own:
+            continue
+        apart = not cluster or (
+            not unicodedata.combining(own[0]) and unicodedata.normalize("NFC", cluster + own) == unicodedata.normalize("NFC", cluster) + unicodedata.normalize("NFC", own)
+        )
+        if apart:
+            made = len(unicodedata.normalize("NFC", cluster))
+            starts += [first] * made
+            ends += [last] * made
+            cluster, first = "", i
+        cluster += own
+        last = i + 1
+    made = len(unicodedata.normalize("NFC", cluster))
+    return starts + [first] * made, ends + [last] * made
+
+
 def visible(text: str | None) -> str | None:
     """The text as a reader sees it: equal for texts that look the same, case, marks and blanks kept."""
     if text is None:

@@ -97,7 +97,7 @@ def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p9_spans(spark, sf_dir).select("doc_id", "item_id")
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,10 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.clean_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id")
 
 
+def p9_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.trimmed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(table(spark, sf_dir, "documents"))
 
@@ -116,7 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_pieces, p1_percentiles, p1_day_pieces, p2_found, p2_clips, p2_lines, p3_found, p3_sample, p3_report, p4_found, p4_mix,
-        p4_report, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_found, p9_spans, p9_clean, p10_found,
+        p4_report, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_found, p9_spans, p9_clean, p9_trimmed, p10_found,
     )
 }
 

@@ -453,11 +453,58 @@ def test_evenly_spread_edits_are_found(size, held):
             for k in range(edits):
                 piece[(k + 1) * held // (edits + 1)] = "0"
             doc = around[:30] + "".join(piece) + around[30:]
-            assert bool(leakage.leaks_in(doc, leakage.ItemSet([(0, item)]))) == want
+            assert bool(leakage.leaks_in([doc], leakage.ItemSet([(0, item)]))[0]) == want
             if not turn and size < 60:
                 assert leak_brute(doc, item) == want
 
 
+def test_stretches_match_brute_force():
+    rng = random.Random(11)
+    for turn in range(60):
+        alphabet = "ab" if turn % 2 else "abcdefgh"
+        item = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 30)))
+        doc = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 12)))
+        piece = list(item[rng.randrange(len(item) // 3 + 1) :])
+        for _ in range(rng.randrange(4)):
+            piece[rng.randrange(len(piece))] = rng.choice(["", "z", "aa"])
+        doc += "".join(piece) + "".join(rng.choice(alphabet) for _ in range(rng.randrange(12)))
+        found = leakage.leaks_in([doc], leakage.ItemSet([(0, item)]))[0]
+        assert bool(found) == leak_brute(doc, item)
+
+
+def test_blocks_of_the_table_change_nothing():
+    rng = random.Random(12)
+    for _ in range(40):
+        own = np.array([rng.randrange(3) for _ in range(rng.randrange(2, 60))], np.uint32)
+        part = np.array([rng.randrange(3) for _ in range(len(own) + rng.randrange(0, 12))], np.uint32)
+        least = max(1, len(own) // 2)
+        go = leakage.going_on(least, len(own))
+        whole = leakage.longest_stretch(own, part, least, go)
+        for cells in (1, 40, 150):
+            split = leakage.longest_stretch(own, part, least, go, cells)
+            assert (split and split[2]) == (whole and whole[2])  # of equally long stretches another may be met first
+
+
+def test_every_stretch_is_cut_out(spark):
+    item = "Nĩ ũndũ wa ｔｅｓｔ, kĩrĩa kĩagĩrĩire gũtuĩka ta ũguo wothe."
+    doc = "Mbere. " + item + " gatagatĩ ka maũndũ " + item.upper() + " thuutha."
+    df = spark.createDataFrame([(1, doc), (2, "ũndũ ũngĩ"), (3, None)], "doc_id long, text string")
+    its = spark.createDataFrame([(7, item)], "item_id long, text string")
+    spans = leakage.leaked_spans(df, its).collect()
+    assert sorted(r.stretch for r in spans) == [1, 2]
+    assert {doc[r.start : r.end].lower().rstrip(".") for r in spans} == {item.lower().rstrip(".")}
+    assert len(leakage.leaks(df, its).collect()) == 1
+    left = {r.doc_id: r.text for r in leakage.trimmed_documents(df, its).collect()}
+    assert left == {1: "Mbere. . gatagatĩ ka maũndũ . thuutha.", 2: "ũndũ ũngĩ", 3: None}
+
+
+def test_places_of_letters():
+    for text in ("a b", "ã x", "é̱q", "ﬁ x", "각 a", "а́b", ""):
+        starts, ends = letters.letter_places(text)
+        assert len(starts) == len(ends) == len(letters.letters(text))
+        assert all(letters.letters(text[a:b]) for a, b in zip(starts, ends, strict=True))
+
+
 # ------------------------------------------------------------------ sentences
 
 
