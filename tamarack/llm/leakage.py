@@ -124,20 +124,27 @@ class ItemSet:
             entry = np.arange(ends[-1]) - np.repeat(ends - times, times) + np.repeat(first[entry], times)
             item, doc = owner[entry], number[at]
             pair = doc * len(self.codes) + item
-            enough = np.bincount(pair)[pair] >= self.kept[item]  # most pairs share a phrase only
-            at, entry, item, doc = at[enough], entry[enough], item[enough], doc[enough]
-            if not len(at):
+            totals = np.bincount(pair)
+            there = np.flatnonzero(totals)
+            there = there[totals[there] >= self.kept[there % len(self.codes)]]  # most pairs share a phrase only
+            if not len(there):
                 continue
-            slot = (at - begin[doc] - place[entry]) // self.width[item]
-            pair, here = np.unique(doc * len(self.codes) + item, return_inverse=True)
-            key, hits = np.unique((here << 32) + (slot + (1 << 30)), return_counts=True)
+            compact = np.full(len(totals), -1, np.int64)
+            compact[there] = np.arange(len(there))
+            here = compact[pair]
+            enough = here >= 0
+            slot = (at[enough] - begin[doc[enough]] - place[entry[enough]]) // self.width[item[enough]]
+            key = np.sort((here[enough] << 32) + (slot + (1 << 30)))
+            first_of = np.flatnonzero(np.diff(key, prepend=-1))
+            key, hits = key[first_of], np.diff(first_of, append=len(key))
             # The diagonals of a true stretch lie in two neighbouring slots, which hold what it keeps of its n-grams.
-            spread = np.unique(np.concatenate([key, key - 1]))
+            spread = np.sort(np.concatenate([key, key - 1]))
+            spread = spread[np.flatnonzero(np.diff(spread, prepend=-1))]
             both = np.zeros(len(spread), np.int64)
             for shift in (0, 1):
                 where = np.minimum(np.searchsorted(key, spread + shift), len(key) - 1)
                 both += np.where(key[where] == spread + shift, hits[where], 0)
-            doc, item = np.divmod(pair[spread >> 32], len(self.codes))
+            doc, item = np.divmod(there[spread >> 32], len(self.codes))
             keep = both >= self.kept[item]
             spread, doc, item = spread[keep], doc[keep], item[keep]
             if not len(spread):
