@@ -15,8 +15,15 @@ from ..functions.labels import label
 from ..plans.staging import broadcast_if_small, stage
 from .letters import letters_of
 
-#: Letters of a shingle, bands, and minhashes in each band.
-SHINGLE, BANDS, ROWS = 4, 32, 4
+#: Kinds of bands: letters of a shingle, letters of the stretches in which it counts as another one (0: anywhere in the text), bands, minhashes in each.
+#: Shingles that hold their rough place tell unrelated texts apart with few letters, so many edits may fall between them; the first kind finds moved texts.
+SCHEMES = ((4, 0, 6, 3), (3, 32, 24, 3), (2, 32, 18, 4))
+#: The bands where shingles alone decide.
+PLAIN = ((4, 0, 32, 4),)
+#: Letters of a shingle where texts are verified.
+SHINGLE = 4
+#: A bucket with so many texts in a sample of one text in ``SAMPLED`` is joined in parts; this spreads work and changes no result.
+SAMPLED, HOT, PART = 64, 32, 2_000
 #: Exact Jaccard similarity of the shingle sets that a candidate needs where no edit rule is given.
 JACCARD = 0.3
 #: Edits allowed, as a share of the longer text.
@@ -24,6 +31,8 @@ EDITS = 0.15
 #: Letters up to which candidates are found without loss, by blocks of which an edit rule leaves one whole.
 SHORT = 32
 EVALUATION = ("validation", "test")
+#: Rows from which one block of a class's keys is taken, and pairs of keys from which two blocks get a task of their own.
+BLOCK_ROWS, LARGE = 2_048, 10_000
 
 _SEEDS = np.random.default_rng(20240917).integers(1, 2**32, (2, 512), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -49,20 +58,34 @@ def shingle_hashes(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.n
     return h[keep[: len(h)]], np.concatenate([[0], np.cumsum(padded - n + 1)[:-1]]).astype(np.int64)
 
 
-def band_keys(texts: list[str], salt: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit bucket key per text and band; ``salt`` keeps groups apart."""
+def band_keys(texts: list[str], salt: np.ndarray, schemes=PLAIN) -> np.ndarray:
+    """One 64-bit bucket key per text and band; ``salt`` keeps groups apart.
+
+    Where a shingle's rough place counts, the stretches of each band begin elsewhere, so edits that move letters
+    over the border of a stretch do so in few bands.
+    """
+    total = sum(bands for _, _, bands, _ in schemes)
     if not texts:
-        return np.zeros((0, bands), np.int64)
-    hashes, starts = shingle_hashes(texts)
-    keys = np.zeros((bands, len(texts)), np.uint64)
-    scratch = np.empty_like(hashes)
-    for i in range(bands * rows):
-        np.bitwise_xor(hashes, _SEEDS[0, i], out=scratch)
-        np.multiply(scratch, _SEEDS[1, i], out=scratch)
-        least = np.minimum.reduceat(scratch, starts).astype(np.uint64)
-        b = i // rows
-        keys[b] = (keys[b] ^ (least + np.uint64(b + 1))) * np.uint64(0x9E3779B97F4A7C15)
-        keys[b] ^= keys[b] >> np.uint64(29)
+        return np.zeros((0, total), np.int64)
+    keys = np.zeros((total, len(texts)), np.uint64)
+    at = row = 0
+    for n, stretch, bands, rows in schemes:
+        hashes, starts = shingle_hashes(texts, n)
+        place = (np.arange(len(hashes)) - np.repeat(starts, np.diff(starts, append=len(hashes)))).astype(np.uint32) if stretch else None
+        scratch = np.empty_like(hashes)
+        for b in range(bands):
+            own = hashes
+            if stretch:
+                own = (hashes ^ ((place + np.uint32(b * stretch // bands)) // np.uint32(stretch) * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F)
+                own ^= own >> np.uint32(15)
+            for _ in range(rows):
+                np.bitwise_xor(own, _SEEDS[0, row], out=scratch)
+                np.multiply(scratch, _SEEDS[1, row], out=scratch)
+                least = np.minimum.reduceat(scratch, starts).astype(np.uint64)
+                keys[at] = (keys[at] ^ (least + np.uint64(at + 1))) * np.uint64(0x9E3779B97F4A7C15)
+                keys[at] ^= keys[at] >> np.uint64(29)
+                row += 1
+            at += 1
     keys ^= salt.astype(np.uint64)[None, :]
     keys *= np.uint64(0xBF58476D1CE4E5B9)
     keys ^= keys >> np.uint64(32)
@@ -91,22 +114,25 @@ def block_keys(text: str, salt: int, edits: float, indexed: bool) -> set[int]:
     return keys
 
 
-def _band_batches(bands: int, rows: int, edits: float | None, indexed: bool):
+def _band_batches(schemes, edits: float | None, indexed: bool):
+    alone = 0 if edits is None else int(SHORT * (1 - edits))  # texts up to here only match texts that the blocks find
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):  # the working set stays in the processor's cache
                 part = batch.slice(at, 1000)
-                texts = part.column(1).to_pylist()
-                keys = band_keys(texts, part.column(2).to_numpy(zero_copy_only=False), bands, rows)
-                length = pa.array([len(t) for t in texts], pa.int32())
-                each = list(keys)
-                for i, t in enumerate(texts):
-                    if edits is not None and len(t) <= SHORT:
-                        blocks = block_keys(t, part.column(2)[i].as_py(), edits, indexed)
-                        each[i] = np.concatenate([each[i], np.fromiter(blocks, np.int64, len(blocks))])
+                texts, salt = part.column(1).to_pylist(), part.column(2).to_numpy(zero_copy_only=False)
+                length = np.array([len(t) for t in texts])
+                each: list = [np.zeros(0, np.int64)] * len(texts)
+                long = np.flatnonzero(length > alone)
+                for i, keys in zip(long.tolist(), band_keys([texts[i] for i in long], salt[long], schemes), strict=True):
+                    each[i] = keys
+                for i in np.flatnonzero(length <= SHORT).tolist() if edits is not None else ():
+                    blocks = block_keys(texts[i], int(salt[i]), edits, indexed)
+                    each[i] = np.concatenate([each[i], np.fromiter(blocks, np.int64, len(blocks))])
                 offsets = np.cumsum([0, *map(len, each)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(each)))
-                yield pa.RecordBatch.from_arrays([part.column(0), length, lists], names=["rep", "length", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(length, pa.int32()), lists], names=["rep", "length", "keys"])
 
     return run
 
@@ -141,7 +167,42 @@ def _verify(jaccard: float, edits: float | None):
     return run
 
 
-def near_classes(classes: DataFrame, bands: int = BANDS, rows: int = ROWS, jaccard: float = JACCARD, edits: float | None = EDITS) -> DataFrame:
+def bucket_pairs(classes: DataFrame, schemes, edits: float | None) -> DataFrame:
+    """Candidates (``a`` of train, ``b`` held out): all pairs that share a bucket, each once.
+
+    A bucket that a sample shows to be hot is cut into parts on both sides, which meet in tasks of their own.
+    """
+    def banded(side: str, rows: DataFrame) -> DataFrame:
+        own = rows.where(side).select("rep", "text", "salt").mapInArrow(_band_batches(schemes, edits, side == "train"), "rep long, length int, keys array<long>")
+        return own.select(F.explode("keys").alias("key"), "rep", "length")
+
+    sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0)
+    hot = None
+    for side in ("train", "held"):
+        counts = banded(side, sample).groupBy("key").agg((F.ceil(F.count(F.lit(1)) * SAMPLED / PART)).cast("int").alias(f"{side}_parts"), F.count(F.lit(1)).alias("n"))
+        counts = counts.where(F.col("n") >= HOT).drop("n")
+        hot = counts if hot is None else hot.join(counts, "key", "full")
+    hot = stage(hot.select("key", F.coalesce("train_parts", F.lit(1)).alias("p"), F.coalesce("held_parts", F.lit(1)).alias("q")), "hot")
+    left, right = banded("train", classes), banded("held", classes)
+    on = ["key"]
+    if not hot.isEmpty():
+        known, on = broadcast_if_small(hot), ["key", "x", "y"]
+
+        def parted(rows: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+            rows = rows.join(known, "key", "left").withColumn(mine, F.coalesce(F.pmod(F.xxhash64("rep"), F.col(own)), F.lit(0)).cast("int"))
+            parts = F.when(F.col(other).isNotNull(), F.sequence(F.lit(0), F.col(other) - 1)).otherwise(F.array(F.lit(0)))
+            return rows.withColumn(theirs, F.explode(parts)).drop("p", "q")
+
+        left, right = parted(left, "p", "q", "x", "y"), parted(right, "q", "p", "y", "x")
+    left = left.withColumnsRenamed({"rep": "a", "length": "m"})
+    right = right.withColumnsRenamed({"rep": "b", "length": "n"})
+    cand = left.join(right, on).where("a <> b")
+    if edits is not None:
+        cand = cand.where(F.abs(F.col("m") - F.col("n")) <= F.greatest("m", "n") * F.lit(edits) + F.lit(1e-9))
+    return cand.select("a", "b").distinct()
+
+
+def near_classes(classes: DataFrame, schemes=SCHEMES, jaccard: float = JACCARD, edits: float | None = EDITS) -> DataFrame:
     """Pairs (``a`` of train, ``b`` held out) of different near-same texts.
 
     ``classes``: rep (long), train, held (booleans), text, salt (long): one row
@@ -150,17 +211,7 @@ def near_classes(classes: DataFrame, bands: int = BANDS, rows: int = ROWS, jacca
     is verified on whole texts: by edit distance, or by ``jaccard`` if ``edits``
     is None. Pairs of at most ``SHORT`` letters are all found if ``edits`` is given.
     """
-    def banded(side: str, rep: str, length: str) -> DataFrame:
-        own = classes.where(side).select("rep", "text", "salt").mapInArrow(
-            _band_batches(bands, rows, edits, side == "train"), "rep long, length int, keys array<long>"
-        )
-        return own.select(F.explode("keys").alias("key"), F.col("rep").alias(rep), F.col("length").alias(length))
-
-    left, right = banded("train", "a", "m"), banded("held", "b", "n")
-    cand = left.join(right, "key").where("a <> b")
-    if edits is not None:
-        cand = cand.where(F.abs(F.col("m") - F.col("n")) <= F.greatest("m", "n") * F.lit(edits) + F.lit(1e-9))
-    cand = cand.select("a", "b").distinct()
+    cand = bucket_pairs(classes, schemes, edits)
     texts = classes.select("rep", "text")
     pairs = cand.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
     pairs = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
@@ -188,9 +239,21 @@ def split_overlaps(df: DataFrame, key: str, split: str, group: str, text: str, *
     named = confirmed.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     wanted = classes.join(broadcast_if_small(named), "rep", "left_semi").select("grp", "text", "rep")
     members = stage(rows.join(broadcast_if_small(wanted), ["grp", "text"]).select("key", "train", "rep"), "members")
-    train = members.where("train").select(F.col("rep").alias("a"), F.col("key").alias("x"))
-    held = members.where("NOT train").select(F.col("rep").alias("b"), F.col("key").alias("y"))
-    out = confirmed.join(train, "a").join(held, "b")
+    # Members in blocks of one stretch of rows each, so that the pairs of two large classes are expanded by many tasks.
+    blocks = members.withColumn("_stretch", F.floor(F.monotonically_increasing_id() / BLOCK_ROWS)).groupBy("rep", "train", "_stretch").agg(F.collect_list("key").alias("keys"))
+    blocks = stage(blocks, "blocks")
+    train = blocks.where("train").select(F.col("rep").alias("a"), F.col("keys").alias("xs"))
+    held = blocks.where("NOT train").select(F.col("rep").alias("b"), F.col("keys").alias("ys"))
+    both = confirmed.join(train, "a").join(held, "b").select("xs", "ys")
+    return crossed(both)
+
+
+def crossed(both: DataFrame) -> DataFrame:
+    """``row_a`` < ``row_b`` of all pairs of a key of ``xs`` and one of ``ys``; pairs of long lists are spread over tasks first."""
+    large = F.size("xs") * F.size("ys") > LARGE
+    tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is named isn't merged again
+    parts = both.where(~large).unionByName(both.where(large).repartition(tasks, F.xxhash64("xs"), F.xxhash64("ys")))
+    out = parts.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
     return out.select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"))
 
 

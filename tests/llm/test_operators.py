@@ -261,8 +261,8 @@ def test_jaccard_is_verified_exactly(spark):
     classes = spark.createDataFrame([(1, True, False, a, 5), (2, False, True, b, 5)], "rep long, train boolean, held boolean, text string, salt long")
     sets = [{t[i : i + 4] for i in range(len(t) - 3)} for t in (a, b)]
     jaccard = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-    assert overlap.near_classes(classes, bands=60, rows=1, jaccard=jaccard, edits=None).count() == 1
-    assert overlap.near_classes(classes, bands=60, rows=1, jaccard=jaccard + 0.01, edits=None).count() == 0
+    assert overlap.near_classes(classes, schemes=((4, 0, 60, 1),), jaccard=jaccard, edits=None).count() == 1
+    assert overlap.near_classes(classes, schemes=((4, 0, 60, 1),), jaccard=jaccard + 0.01, edits=None).count() == 0
 
 
 def test_short_overlaps_are_all_found(spark):
@@ -291,12 +291,60 @@ def test_spread_edits_pass_whatever_their_jaccard(spark):
     a = "".join(random.Random(2).choice("abcdefghijklmnop") for _ in range(100))
     b = "".join("z" if i % 7 == 3 else x for i, x in enumerate(a))
     classes = spark.createDataFrame([(1, True, False, a, 5), (2, False, True, b, 5)], "rep long, train boolean, held boolean, text string, salt long")
-    assert overlap.near_classes(classes, bands=60, rows=1).count() == 1
+    assert overlap.near_classes(classes, schemes=((4, 0, 60, 1),)).count() == 1
+
+
+@pytest.mark.parametrize("size", [33, 60, 100, 200])
+def test_candidates_up_to_the_limit(size):
+    rng = random.Random(size)
+    syllables = [a + b for a in "bcdfghjklmnprstwyz" for b in ("a", "e", "i", "o", "u", "aa", "uu")]
+
+    def text():
+        return "".join(rng.choice(syllables) for _ in range(size))[:size]
+
+    for share, least in ((0.05, 0.99), (0.1, 0.99), (0.125, 0.98), (0.15, 0.95)):
+        texts, others = [text() for _ in range(300)], []
+        for t in texts:
+            t = list(t)
+            for i in rng.sample(range(size), int(share * size + 1e-9)):
+                t[i] = rng.choice(["q", "", t[i] + "q"])
+            others.append("".join(t))
+        salt = np.zeros(300, np.int64)
+        same = overlap.band_keys(texts, salt, overlap.SCHEMES) == overlap.band_keys(others, salt, overlap.SCHEMES)
+        assert same.any(axis=1).mean() >= least
+        moved = [text()[: int(share * size)] + t for t in texts]  # all letters stand further on
+        same = overlap.band_keys(texts, salt, overlap.SCHEMES) == overlap.band_keys(moved, salt, overlap.SCHEMES)
+        assert same.any(axis=1).mean() >= 0.97
+
+
+def test_hot_buckets_are_joined_in_parts(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for k in range(90):
+        t = "abcdefghij" * 8 + "".join(rng.choice("klmnop") for _ in range(3))
+        rows.append((k, k % 3 > 0, k % 3 == 0, t, 5))
+    classes = spark.createDataFrame(rows, "rep long, train boolean, held boolean, text string, salt long")
+    want = {(r.a, r.b) for r in overlap.bucket_pairs(classes, overlap.SCHEMES, 0.15).collect()}
+    assert len(want) == 60 * 30
+    for name, value in (("SAMPLED", 2), ("HOT", 2), ("PART", 7)):
+        monkeypatch.setattr(overlap, name, value)
+    got = [(r.a, r.b) for r in overlap.bucket_pairs(classes, overlap.SCHEMES, 0.15).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_pairs_of_large_classes_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(overlap, "LARGE", 100)
+    rows = [{"row_id": i, "language": "swa", "split": "train" if i % 3 else "test", "transcription": "One and the same long text, word for word."} for i in range(300)]
+    out = overlap.clip_overlaps(clips(spark, rows).repartition(2))
+    assert out.count() == out.distinct().count() == 200 * 100
+    tasks = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) > 2 and max(r["count"] for r in tasks) < 20_000
 
 
 def test_minhash_agreement_estimates_jaccard():
     a, b = "abcdefghijklmnopqrstuvwxyz" * 2, "abcdefghijklmnopqrstuvwxyz0123456789"
-    keys = overlap.band_keys([a, b], np.zeros(2, np.int64), bands=512, rows=1)
+    keys = overlap.band_keys([a, b], np.zeros(2, np.int64), ((4, 0, 512, 1),))
     sets = [{t[i : i + 4] for i in range(len(t) - 3)} for t in (a, b)]
     assert abs((keys[0] == keys[1]).mean() - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 0.1
 
