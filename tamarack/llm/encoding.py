@@ -19,14 +19,15 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Rows that the steps of one recursive query may come to (half the squared length of each of its words).
 CHUNK_ROWS = 3_000_000
+#: Longer words (bytes) are encoded in pieces that overlap; characters of a piece and of what it shares with the next.
+LONG_WORD, PIECE, SHARED = 384, 128, 64
 
 _WORDS = regex.compile(PATTERN)
 
 # A seat is word << 32 | position. Each step contracts, in every word that still has a
-# pair of the merge table, the pair of least rank: its leftmost place and, where
-# places can't overlap (two different tokens), every further one too, which changes
-# nothing, as a contracted pair never brings a pair of lower rank about. A word
-# leaves the recursion when no pair is left.
+# pair of the merge table, the pair of least rank: its leftmost place and every further
+# one that does not overlap an earlier one, which changes nothing, as a contracted pair
+# never brings a pair of lower rank about. A word leaves the recursion when no pair is left.
 _CONTRACT = """
 WITH RECURSIVE step AS (
     SELECT seat, token, 0 AS n FROM start
@@ -39,10 +40,18 @@ WITH RECURSIVE step AS (
             SELECT p.seat, p.next, p.token = p.after AS twin, m.rank, m.made FROM pair p JOIN merges m ON m.token = p.token AND m.after = p.after
             WHERE p.seat >> 32 = p.next >> 32
         ),
-        best AS MATERIALIZED (SELECT seat >> 32 AS word, min((rank::BIGINT << 32) + (seat & 4294967295)) AS least FROM ranked GROUP BY seat >> 32),
+        best AS MATERIALIZED (SELECT seat >> 32 AS word, min(rank) AS rank FROM ranked GROUP BY seat >> 32),
+        least AS MATERIALIZED (SELECT r.seat, r.next, r.made, r.twin FROM ranked r JOIN best b ON b.word = r.seat >> 32 AND b.rank = r.rank),
         hit AS MATERIALIZED (
-            SELECT r.seat, r.next, r.made FROM ranked r JOIN best b ON b.word = r.seat >> 32 AND b.least >> 32 = r.rank
-            WHERE NOT r.twin OR r.seat & 4294967295 = b.least & 4294967295
+            SELECT seat, next, made FROM least WHERE NOT twin
+            UNION ALL
+            SELECT seat, next, made FROM (
+                SELECT *, row_number() OVER (PARTITION BY run ORDER BY seat) AS nth FROM (
+                    SELECT *, sum(begins) OVER (ORDER BY seat) AS run FROM (
+                        SELECT *, (lag(next) OVER (ORDER BY seat) IS DISTINCT FROM seat)::INT AS begins FROM least WHERE twin
+                    )
+                )
+            ) WHERE nth % 2 = 1
         )
         SELECT p.seat, coalesce(h.made, p.token), p.n + 1
         FROM pair p SEMI JOIN best b ON b.word = p.seat >> 32 LEFT JOIN hit h ON h.seat = p.seat ANTI JOIN hit g ON g.next = p.seat
@@ -95,6 +104,7 @@ class Encoder:
         self.db = duckdb.connect(":memory:")
         self.db.execute("SET threads = 1")
         self.db.execute("SET memory_limit = '400MB'")
+        self.db.execute("SET temp_directory = ''")  # nothing is left in a worker's folder
         self.db.register("merges_in", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.known: dict[str, list[int]] = {}
@@ -112,23 +122,78 @@ class Encoder:
         self.db.unregister("start")
         return [ids for _, ids in out]
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        split = [_WORDS.findall(t) if t else [] for t in texts]
-        if len(self.known) > self.keep_words:
-            self.known = {}
-        new = {w for ws in split for w in ws if w not in self.known}
-        sized = sorted((len(w.encode("utf-8", "surrogatepass")), w) for w in new)  # words of one length take as many steps
+    def _chunked(self, words: set[str]) -> dict[str, list[int]]:
+        """The ids of each word, by recursive queries of bounded size."""
+        sized = sorted((len(w.encode("utf-8", "surrogatepass")), w) for w in words)  # words of one length take as many steps
+        out: dict[str, list[int]] = {}
         chunk, rows = [], 0
         for size, w in sized:
             if chunk and rows + size * size // 2 > CHUNK_ROWS:
-                self.known.update(zip(chunk, self._words(chunk), strict=True))
+                out.update(zip(chunk, self._words(chunk), strict=True))
                 chunk, rows = [], 0
             chunk.append(w)
             rows += size * size // 2 + 1
         if chunk:
-            self.known.update(zip(chunk, self._words(chunk), strict=True))
+            out.update(zip(chunk, self._words(chunk), strict=True))
+        return out
+
+    def _long(self, words: list[str]) -> dict[str, list[int]]:
+        """The ids of words too long for one query, from pieces that overlap.
+
+        Ids are a word's encoding if each two neighbours are the encoding of their own text. Two pieces that share a token
+        at the same place can therefore be joined there. Pieces that share none (repeated patterns out of phase) are encoded as one.
+        """
+        spans = {w: [(a, min(a + PIECE + SHARED, len(w))) for a in range(0, max(len(w) - SHARED, 1), PIECE)] for w in words}
+        done: dict[str, list[int]] = {}
+        while spans:
+            known = self._chunked({w[a:b] for w, own in spans.items() for a, b in own})
+            apart: dict[str, list[tuple[int, int]]] = {}
+            for w, own in spans.items():
+                joined: list[int] = []
+                ends: list[int] = []
+                wrong = set()
+                for i, (a, b) in enumerate(own):
+                    ids = known[w[a:b]]
+                    at = len(w[:a].encode("utf-8", "surrogatepass")) if not i else start + len(w[begin:a].encode("utf-8", "surrogatepass"))
+                    begin, start = a, at
+                    new = (at + np.cumsum([len(self.raw[t]) for t in ids])).tolist()
+                    if i:
+                        here = {e: k for k, e in enumerate(new)}
+                        k = next((k for k in range(len(ends) - 1, -1, -1) if ends[k] <= at or (ends[k] in here and joined[k] == ids[here[ends[k]]])), -1)
+                        if k < 0 or ends[k] <= at:
+                            wrong.add(i)
+                            joined, ends = joined + ids, ends + new
+                            continue
+                        cut = here[ends[k]] + 1
+                        joined, ends = joined[: k + 1] + ids[cut:], ends[: k + 1] + new[cut:]
+                    else:
+                        joined, ends = ids, new
+                if wrong:
+                    merged: list[tuple[int, int]] = []
+                    reach = -1  # a piece that does not fit takes as much again in, so the rounds are few
+                    for i, span in enumerate(own):
+                        if i in wrong:
+                            reach = merged[-1][0] + 2 * (span[1] - merged[-1][0])
+                        if i in wrong or span[0] < reach:
+                            merged[-1] = (merged[-1][0], span[1])
+                        else:
+                            merged.append(span)
+                    apart[w] = merged
+                else:
+                    done[w] = joined
+            spans = apart
+        return done
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        split = [_WORDS.findall(t) if t else [] for t in texts]
+        if len(self.known) > self.keep_words:
+            self.known = {}
+        new = {w for ws in split for w in ws if w not in self.known}
+        long = [w for w in new if len(w.encode("utf-8", "surrogatepass")) > LONG_WORD]
         known = self.known
-        return [[i for w in ws for i in known[w]] for ws in split]
+        known.update(self._chunked(new.difference(long)))
+        own = known | self._long(long) if long else known  # long words are not kept
+        return [[i for w in ws for i in own[w]] for ws in split]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts again, by ordered aggregation of the tokens' bytes."""
