@@ -17,7 +17,7 @@ from .letters import letters_of
 
 #: Kinds of bands: letters of a shingle, letters of the stretches in which it counts as another one (0: anywhere in the text), bands, minhashes in each.
 #: Shingles that hold their rough place tell unrelated texts apart with few letters, so many edits may fall between them; the first kind finds moved texts.
-SCHEMES = ((4, 0, 6, 3), (3, 32, 24, 3), (2, 32, 18, 4))
+SCHEMES = ((4, 0, 8, 3), (3, 16, 40, 3))
 #: The bands where shingles alone decide.
 PLAIN = ((4, 0, 32, 4),)
 #: Letters of a shingle where texts are verified.
@@ -59,7 +59,7 @@ def shingle_hashes(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.n
 
 
 def band_keys(texts: list[str], salt: np.ndarray, schemes=PLAIN) -> np.ndarray:
-    """One 64-bit bucket key per text and band; ``salt`` keeps groups apart.
+    """One 48-bit bucket key per text and band; ``salt`` keeps groups apart.
 
     Where a shingle's rough place counts, the stretches of each band begin elsewhere, so edits that move letters
     over the border of a stretch do so in few bands.
@@ -88,7 +88,7 @@ def band_keys(texts: list[str], salt: np.ndarray, schemes=PLAIN) -> np.ndarray:
             at += 1
     keys ^= salt.astype(np.uint64)[None, :]
     keys *= np.uint64(0xBF58476D1CE4E5B9)
-    keys ^= keys >> np.uint64(32)
+    keys >>= np.uint64(16)  # fewer bytes to shuffle; texts that meet by chance are told apart when they are verified
     return keys.T.astype(np.int64)
 
 
@@ -110,7 +110,7 @@ def block_keys(text: str, salt: int, edits: float, indexed: bool) -> set[int]:
             x, y = own * i // (e + 1), own * (i + 1) // (e + 1)
             for at in [x] if indexed else range(max(0, x - e), min(n - (y - x), x + e) + 1):
                 word = f"{salt} {own} {i} {text[at : at + y - x]}".encode("utf-8", "surrogatepass")
-                keys.add(int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True))
+                keys.add(int.from_bytes(blake2b(word, digest_size=6).digest(), "little"))
     return keys
 
 
