@@ -14,10 +14,11 @@ from ..functions.distance import edit_distance
 from ..functions.labels import label
 from ..plans.staging import broadcast_if_small, stage
 from .letters import letters_of
+from .pairs import crossed, key_blocks
 
 #: Kinds of bands: letters of a shingle, letters of the stretches in which it counts as another one (0: anywhere in the text), bands, minhashes in each.
 #: Shingles that hold their rough place tell unrelated texts apart with few letters, so many edits may fall between them; the first kind finds moved texts.
-SCHEMES = ((4, 0, 8, 3), (3, 16, 40, 3))
+SCHEMES = ((4, 0, 8, 4), (3, 16, 32, 3))
 #: The bands where shingles alone decide.
 PLAIN = ((4, 0, 32, 4),)
 #: Letters of a shingle where texts are verified.
@@ -31,8 +32,6 @@ EDITS = 0.15
 #: Letters up to which candidates are found without loss, by blocks of which an edit rule leaves one whole.
 SHORT = 32
 EVALUATION = ("validation", "test")
-#: Rows from which one block of a class's keys is taken, and pairs of keys from which two blocks get a task of their own.
-BLOCK_ROWS, LARGE = 2_048, 10_000
 
 _SEEDS = np.random.default_rng(20240917).integers(1, 2**32, (2, 512), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
@@ -212,9 +211,8 @@ def near_classes(classes: DataFrame, schemes=SCHEMES, jaccard: float = JACCARD,
     is None. Pairs of at most ``SHORT`` letters are all found if ``edits`` is given.
     """
     cand = bucket_pairs(classes, schemes, edits)
-    texts = classes.select("rep", "text")
-    pairs = cand.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
-    pairs = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
+    pairs = cand.join(classes.where("held").select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
+    pairs = pairs.join(classes.where("train").select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
     return pairs.select("a", "b", "x", "y").mapInArrow(_verify(jaccard, edits), "a long, b long")
 
 
@@ -239,22 +237,11 @@ def split_overlaps(df: DataFrame, key: str, split: str, group: str, text: str, *
     named = confirmed.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     wanted = classes.join(broadcast_if_small(named), "rep", "left_semi").select("grp", "text", "rep")
     members = stage(rows.join(broadcast_if_small(wanted), ["grp", "text"]).select("key", "train", "rep"), "members")
-    # Members in blocks of one stretch of rows each, so that the pairs of two large classes are expanded by many tasks.
-    blocks = members.withColumn("_stretch", F.floor(F.monotonically_increasing_id() / BLOCK_ROWS)).groupBy("rep", "train", "_stretch").agg(F.collect_list("key").alias("keys"))
-    blocks = stage(blocks, "blocks")
+    # Members in blocks, so that the pairs of two large classes are expanded by many tasks.
+    blocks = stage(key_blocks(members, ["rep", "train"], "key", "keys"), "blocks")
     train = blocks.where("train").select(F.col("rep").alias("a"), F.col("keys").alias("xs"))
     held = blocks.where("NOT train").select(F.col("rep").alias("b"), F.col("keys").alias("ys"))
-    both = confirmed.join(train, "a").join(held, "b").select("xs", "ys")
-    return crossed(both)
-
-
-def crossed(both: DataFrame) -> DataFrame:
-    """``row_a`` < ``row_b`` of all pairs of a key of ``xs`` and one of ``ys``; pairs of long lists are spread over tasks first."""
-    large = F.size("xs") * F.size("ys") > LARGE
-    tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is named isn't merged again
-    parts = both.where(~large).unionByName(both.where(large).repartition(tasks, F.xxhash64("xs"), F.xxhash64("ys")))
-    out = parts.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
-    return out.select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"))
+    return crossed(confirmed.join(train, "a").join(held, "b").select("xs", "ys"))
 
 
 def clip_overlaps(manifest: DataFrame) -> DataFrame:
