@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Characters of other scripts and forms that look like a Latin
-# letter, with that letter (Unicode's published confusables, single letters only).
+# letter, with that letter (Unicode's published confusables, single letters only;
+# Latin letters that orthographies tell apart are left out).
 _PAIRS = (
-    ("АВЕЅІЈКМНОРСТУХҮҺԌԚԜ", "ABESIJKMHOPCTYXYHGQW"),  # Cyrillic capitals
-    ("аеорсухѕіјһԁԛԝ", "aeopcyxsijhdqw"),  # Cyrillic small letters
-    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹ", "ABEZHIKMNOPTYXC"),  # Greek capitals
-    ("οϲϳ", "ocj"),  # Greek small letters
-    ("հոսօցզՍՏՕ", "hnuogqUSO"),  # Armenian
-    ("ɑɡıȷ", "agij"),  # Latin variants
+    ("ЅІЈАВЕКМНОРСТУХЬѴҮҺӀԌԚԜ", "SIJABEKMHOPCTYXbVYHlGQW"),  # Cyrillic capitals
+    ("агеорсухѕіјѡѵүһҽӏԁԛԝꙇ", "areopcyxsijwvyheidqwi"),  # Cyrillic small letters
+    ("ͿΑΒΕΖΗΙΚΜΝΟΡΤΥΧϜϹϺ", "JABEZHIKMNOPTYXFCM"),  # Greek capitals
+    ("αγινορσυϲϳ", "ayivopoucj"),  # Greek small letters
+    ("ՍՏՕազհոռսցքօ", "USOwqhnnugfo"),  # Armenian
+    ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏂᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏳᏴ", "DRTiYAJEWMHYGhZbRWSVSLCPKdGB"),  # Cherokee
+    ("ꭵꮁꮃꮓꮩꮪꮯ", "irwzvsc"),  # Cherokee small letters
+    ("ⲅⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲨⲬ", "rHIKMNOoPpCcTYX"),  # Coptic
+    ("ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPdDTGKJCZFMNLSRVHWXYAEIOU"),  # Lisu
+    ("ɑɡıȷɪʏᴄᴏᴑᴜᴠᴡᴢꜱ", "agijiycoouvwzs"),  # Latin variants and small capitals
 )
 LOOKALIKE = {a: b for left, right in _PAIRS for a, b in zip(left, right, strict=True)}
 
@@ -84,6 +89,10 @@ def letters(text: str | None) -> str | None:
     return out if out.isascii() else unicodedata.normalize("NFC", out)
 
 
+def has_letters(text: str) -> bool:
+    return any(_LETTERS[ord(ch)] for ch in text)
+
+
 def letter_places(text: str) -> tuple[list[int], list[int]]:
     """For each of a text's letters, the code point where it begins and the one after its end.
 

@@ -9,20 +9,14 @@ from pyspark.sql import types as T
 
 from ..functions.labels import label
 from ..plans.staging import broadcast_if_small, stage
-from .letters import consistent, consistent_form, letters, visible
+from .letters import consistent, consistent_form, has_letters, per_distinct, visible_form
+from .pairs import crossed, key_blocks
 
-_FORMS = T.StructType([T.StructField("form", T.StringType()), T.StructField("seen", T.StringType())])
 
-
-@F.pandas_udf(_FORMS)
-def forms_of(text: pd.Series) -> pd.DataFrame:
-    """Consistent and visible form of each text that has letters, worked out once per distinct value."""
-    codes, distinct = pd.factorize(text, use_na_sentinel=True)
-    rows = []
-    for value in distinct:
-        seen = visible(value)
-        rows.append((consistent(seen), seen) if letters(value) else (None, None))
-    return pd.DataFrame([*rows, (None, None)], columns=["form", "seen"], dtype="object").take(codes).reset_index(drop=True)
+@F.pandas_udf(T.StringType())
+def lettered_form(text: pd.Series) -> pd.Series:
+    """Consistent form of each text that has letters, worked out once per distinct value; null for others."""
+    return per_distinct(lambda t: consistent(t) if has_letters(t) else None, text)
 
 
 def clip_forms(manifest: DataFrame) -> DataFrame:
@@ -34,28 +28,28 @@ def same_look_pairs(df: DataFrame, key: str, group: str, text: str) -> DataFrame
     """Pairs ``row_a`` < ``row_b`` of one group whose texts differ as strings but look the same.
 
     Texts meet by their consistent form (compatibility-composed, case-folded,
-    blanks mapped, ignorables removed) and are kept if their visible form is
-    equal too. Only distinct strings are paired, then joined to their rows, so
+    blanks mapped, ignorables removed). Only forms with more than one string
+    go on; of these the visible form is worked out, and strings are paired if it is
+    equal too. Only distinct strings are paired, then joined to blocks of their rows, so
     many rows with one and the same string are never paired with each other.
     Null texts and keys and texts without letters are no case.
     """
     rows = df.select(F.col(key).alias("key"), F.col(group).alias("grp"), F.col(text).alias("text")).where("text IS NOT NULL AND key IS NOT NULL")
-    rows = rows.withColumn("f", forms_of("text")).where("f.form IS NOT NULL")
-    rows = rows.select(
-        "key", "grp", F.xxhash64("grp", "f.form").alias("form"), F.xxhash64(F.lit(1), "grp", "f.seen").alias("seen"),
-        F.xxhash64("text").alias("string"),
-    )
-    rows = stage(rows, "forms")
-    looks = rows.groupBy("form", "seen").agg(F.min("string").alias("s"), F.max("string").alias("t")).where("s <> t").select("form", "seen")
-    rows = stage(rows.join(broadcast_if_small(looks), ["form", "seen"], "left_semi"), "cases")
-    strings = rows.select("form", "seen", "string").distinct()
+    rows = rows.withColumn("form", lettered_form("text")).where("form IS NOT NULL")
+    rows = stage(rows.select("key", "text", F.xxhash64("grp", "form").alias("form"), F.xxhash64("text").alias("string")), "forms")
+    several = rows.groupBy("form").agg(F.min("string").alias("s"), F.max("string").alias("t")).where("s <> t").select("form")
+    met = rows.join(broadcast_if_small(several), "form", "left_semi")
+    met = stage(met.select("form", F.xxhash64(visible_form("text")).alias("seen"), "string", "key"), "candidates")
+    strings = met.groupBy("form", "seen", "string").agg(F.count(F.lit(1)).alias("n"))
     a = strings.select("form", "seen", F.col("string").alias("a"))
     b = strings.select("form", "seen", F.col("string").alias("b"))
-    pairs = a.join(b, ["form", "seen"]).where("a < b")
-    left = rows.select("form", "seen", F.col("string").alias("a"), F.col("key").alias("x"))
-    right = rows.select("form", "seen", F.col("string").alias("b"), F.col("key").alias("y"))
-    out = pairs.join(left, ["form", "seen", "a"]).join(right, ["form", "seen", "b"])
-    return out.select(F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"))
+    pairs = stage(a.join(b, ["form", "seen"]).where("a < b"), "pairs")
+    blocks = key_blocks(met, ["form", "seen", "string"], "key", "keys")
+    named = pairs.select("form", "seen", F.explode(F.array("a", "b")).alias("string")).distinct()
+    blocks = stage(blocks.join(broadcast_if_small(named), ["form", "seen", "string"], "left_semi"), "blocks")
+    left = blocks.select("form", "seen", F.col("string").alias("a"), F.col("keys").alias("xs"))
+    right = blocks.select("form", "seen", F.col("string").alias("b"), F.col("keys").alias("ys"))
+    return crossed(pairs.join(left, ["form", "seen", "a"]).join(right, ["form", "seen", "b"]).select("xs", "ys"))
 
 
 def clip_lookalikes(manifest: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tamarack.llm import copies, encoding, grouping, leakage, letters, lookalike, mixing, overlap, percentiles, sampling, sentences
+from tamarack.llm import copies, encoding, grouping, leakage, letters, lookalike, mixing, overlap, pairs, percentiles, sampling, sentences
 
 CLIP = "row_id long, id string, language string, subtype string, dataset string, duration double, transcription string, split string, source_shard string, ingested_at timestamp, key string, grp string"
 
@@ -152,6 +152,28 @@ def test_same_look_pairs(spark):
     assert lookalike.clip_forms(clips(spark, rows)).count() == len(rows)
 
 
+def test_lookalikes_are_published(spark):
+    """Each look-alike has the same skeleton as its letter in the Unicode data that comes with Spark's collations."""
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    unlike = {a for a, b in letters.LOOKALIKE.items() if checker.getSkeleton(0, a) != checker.getSkeleton(0, b)}
+    assert unlike <= set("ҺԚȷ")  # these are given with their small letter only
+
+
+def test_lookalikes_of_other_scripts_meet(spark):
+    rows = [{"row_id": i, "language": "swa", "transcription": t} for i, t in enumerate(["LAVA kino", "ꓡꓮꓦꓮ kino", "LAVA kιnο", "ᏞᎪᏙᎪ kino", "lava kino", "LAVA  kino"])]
+    got = {(r.row_a, r.row_b) for r in lookalike.clip_lookalikes(clips(spark, rows)).collect()}
+    assert got == set(itertools.combinations(range(4), 2))
+
+
+def test_rows_of_one_look_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(pairs, "LARGE", 100)
+    df = clips(spark, [{"row_id": i, "language": "swa", "transcription": "cat" if i % 2 else "cаt"} for i in range(300)]).repartition(2)
+    out = lookalike.clip_lookalikes(df)
+    assert out.count() == out.distinct().count() == 150 * 150
+    assert max(r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()) < 150 * 150
+
+
 # ------------------------------------------------------------------ sampling and mixing
 
 
@@ -302,7 +324,7 @@ def test_candidates_up_to_the_limit(size):
     def text():
         return "".join(rng.choice(syllables) for _ in range(size))[:size]
 
-    for share, least in ((0.05, 0.99), (0.1, 0.99), (0.125, 0.97), (0.15, 0.91)):
+    for share, least in ((0.05, 0.99), (0.1, 0.99), (0.125, 0.95), (0.15, 0.85)):
         texts, others = [text() for _ in range(300)], []
         for t in texts:
             t = list(t)
@@ -314,7 +336,7 @@ def test_candidates_up_to_the_limit(size):
         assert same.any(axis=1).mean() >= least
         moved = [text()[: int(share * size)] + t for t in texts]  # all letters stand further on
         same = overlap.band_keys(texts, salt, overlap.SCHEMES) == overlap.band_keys(moved, salt, overlap.SCHEMES)
-        assert same.any(axis=1).mean() >= 0.97
+        assert same.any(axis=1).mean() >= 0.95
 
 
 def test_hot_buckets_are_joined_in_parts(spark, monkeypatch):
@@ -333,8 +355,8 @@ def test_hot_buckets_are_joined_in_parts(spark, monkeypatch):
 
 
 def test_pairs_of_large_classes_are_spread(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(overlap, "LARGE", 100)
+    monkeypatch.setattr(pairs, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(pairs, "LARGE", 100)
     rows = [{"row_id": i, "language": "swa", "split": "train" if i % 3 else "test", "transcription": "One and the same long text, word for word."} for i in range(300)]
     out = overlap.clip_overlaps(clips(spark, rows).repartition(2))
     assert out.count() == out.distinct().count() == 200 * 100
