@@ -40,8 +40,18 @@ WITH RECURSIVE step AS (
             SELECT p.seat, p.next, p.token = p.after AS twin, m.rank, m.made FROM pair p JOIN merges m ON m.token = p.token AND m.after = p.after
             WHERE p.seat >> 32 = p.next >> 32
         ),
-        best AS MATERIALIZED (SELECT seat >> 32 AS word, min(rank) AS rank FROM ranked GROUP BY seat >> 32),
-        least AS MATERIALIZED (SELECT r.seat, r.next, r.made, r.twin FROM ranked r JOIN best b ON b.word = r.seat >> 32 AND b.rank = r.rank),
+        best AS MATERIALIZED (SELECT seat >> 32 AS word, min((rank::BIGINT << 32) + (seat & 4294967295)) AS least FROM ranked GROUP BY seat >> 32),
+        {hit}
+        SELECT p.seat, coalesce(h.made, p.token), p.n + 1
+        FROM pair p SEMI JOIN best b ON b.word = p.seat >> 32 LEFT JOIN hit h ON h.seat = p.seat ANTI JOIN hit g ON g.next = p.seat
+    )
+)
+SELECT s.seat >> 32 AS word, list(s.token ORDER BY s.seat) AS ids
+FROM step s JOIN (SELECT seat >> 32 AS word, max(n) AS last FROM step GROUP BY 1) f ON f.word = s.seat >> 32 AND f.last = s.n
+GROUP BY 1 ORDER BY 1
+"""
+# Of a run of equal tokens every second place. Words without long runs take only its first place in a step, which costs less.
+_EVERY = """least AS MATERIALIZED (SELECT r.seat, r.next, r.made, r.twin FROM ranked r JOIN best b ON b.word = r.seat >> 32 AND b.least >> 32 = r.rank),
         hit AS MATERIALIZED (
             SELECT seat, next, made FROM least WHERE NOT twin
             UNION ALL
@@ -52,15 +62,12 @@ WITH RECURSIVE step AS (
                     )
                 )
             ) WHERE nth % 2 = 1
-        )
-        SELECT p.seat, coalesce(h.made, p.token), p.n + 1
-        FROM pair p SEMI JOIN best b ON b.word = p.seat >> 32 LEFT JOIN hit h ON h.seat = p.seat ANTI JOIN hit g ON g.next = p.seat
-    )
-)
-SELECT s.seat >> 32 AS word, list(s.token ORDER BY s.seat) AS ids
-FROM step s JOIN (SELECT seat >> 32 AS word, max(n) AS last FROM step GROUP BY 1) f ON f.word = s.seat >> 32 AND f.last = s.n
-GROUP BY 1 ORDER BY 1
-"""
+        )"""
+_FIRST = """hit AS MATERIALIZED (
+            SELECT r.seat, r.next, r.made FROM ranked r JOIN best b ON b.word = r.seat >> 32 AND b.least >> 32 = r.rank
+            WHERE NOT r.twin OR r.seat & 4294967295 = b.least & 4294967295
+        )"""
+_RUN = regex.compile(r"(.{1,4}?)\1{5}", regex.DOTALL)
 
 
 def byte_symbols() -> dict[int, str]:
@@ -110,7 +117,7 @@ class Encoder:
         self.known: dict[str, list[int]] = {}
         self.keep_words = keep_words
 
-    def _words(self, words: list[str]) -> list[list[int]]:
+    def _words(self, words: list[str], runs: bool) -> list[list[int]]:
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         word = np.repeat(np.arange(len(raw), dtype=np.int64), sizes)
@@ -118,23 +125,25 @@ class Encoder:
         token = self.first[np.frombuffer(b"".join(raw), np.uint8)]
         start = pa.table({"seat": (word << 32) + pos, "token": token})
         self.db.register("start", start)
-        out = self.db.execute(_CONTRACT).fetchall()
+        out = self.db.execute(_CONTRACT.replace("{hit}", _EVERY if runs else _FIRST)).fetchall()
         self.db.unregister("start")
         return [ids for _, ids in out]
 
     def _chunked(self, words: set[str]) -> dict[str, list[int]]:
         """The ids of each word, by recursive queries of bounded size."""
-        sized = sorted((len(w.encode("utf-8", "surrogatepass")), w) for w in words)  # words of one length take as many steps
         out: dict[str, list[int]] = {}
-        chunk, rows = [], 0
-        for size, w in sized:
-            if chunk and rows + size * size // 2 > CHUNK_ROWS:
-                out.update(zip(chunk, self._words(chunk), strict=True))
-                chunk, rows = [], 0
-            chunk.append(w)
-            rows += size * size // 2 + 1
-        if chunk:
-            out.update(zip(chunk, self._words(chunk), strict=True))
+        for runs in (False, True):
+            own = [w for w in words if bool(_RUN.search(w)) == runs]
+            sized = sorted((len(w.encode("utf-8", "surrogatepass")), w) for w in own)  # words of one length take as many steps
+            chunk, rows = [], 0
+            for size, w in sized:
+                if chunk and rows + size * size // 2 > CHUNK_ROWS:
+                    out.update(zip(chunk, self._words(chunk, runs), strict=True))
+                    chunk, rows = [], 0
+                chunk.append(w)
+                rows += size * size // 2 + 1
+            if chunk:
+                out.update(zip(chunk, self._words(chunk, runs), strict=True))
         return out
 
     def _long(self, words: list[str]) -> dict[str, list[int]]:
