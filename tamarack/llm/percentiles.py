@@ -1,12 +1,14 @@
-"""Percentiles of very large numeric columns by exact bisection over combinable pieces.
+"""Percentiles of very large numeric columns by exact bisection over rows or combinable pieces.
 
-A *piece* (a day, a shard, one delivery) keeps, per group, how often each value
-occurs. Pieces are merged by a union, so results of separate days combine
-without going back to the rows. The percentiles come from a bisection: for each
-group and target rank an interval of values is kept, every pass counts the rows
-in a fixed number of equal cells of the interval (several halvings at once), and
+For each group and target rank an interval of values is kept. Every pass counts the
+rows in equal cells of the interval (several halvings at once), and
 the cell that holds the rank becomes the next interval, cut back to the values
-that occur in it. It ends when every interval is a single value.
+that occur in it. It ends when every interval is a single value. Counts are combined
+on the map side, so a pass shuffles cells, never rows.
+
+A *piece* (a day, a shard, one delivery) keeps, per group, how often each value
+occurs, with a bounded relative error if it is to stay small. Pieces are merged by a union, so results of separate
+days combine without going back to the rows.
 """
 
 from __future__ import annotations
@@ -16,9 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import label, usable_seconds
-from ..plans.staging import broadcast_if_small, fresh, stage
+from ..plans.staging import fresh, small, stage
+from .grouping import file_name_key
 
 PROBABILITIES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+#: Intervals up to which a pass broadcasts them (about 100 bytes each), and the parts of each group that join them beyond.
+SPANS, PARTS = 100_000, 64
 
 
 def ordinal(value: Column, mantissa_bits: int = 52) -> Column:
@@ -49,17 +54,23 @@ def from_ordinal(bits: Column) -> Column:
     return F.when(bits < 0, -value).otherwise(value)
 
 
+def value_rows(df: DataFrame, groups: dict[str, Column], value: Column, mantissa_bits: int = 52) -> DataFrame:
+    """Each counted row as ``groups``, ``ordinal`` and ``n`` = 1; null, NaN and infinite values do not count. Nothing is shuffled."""
+    finite = F.when((value > float("-inf")) & (value < float("inf")), value)
+    rows = df.select(*[c.alias(g) for g, c in groups.items()], finite.alias("value")).where("value IS NOT NULL")
+    return rows.select(*groups, ordinal(F.col("value"), mantissa_bits).alias("ordinal"), F.lit(1).cast("long").alias("n"))
+
+
 def piece_profile(
     df: DataFrame, groups: dict[str, Column], piece: Column, value: Column, mantissa_bits: int = 52
 ) -> DataFrame:
     """How often each value occurs per group and piece: columns of ``groups``, ``piece``, ``ordinal``, ``n``.
 
-    Null, NaN and infinite values do not count. One shuffle, combined on the map side.
+    One shuffle, combined on the map side. With fewer ``mantissa_bits`` a piece holds at most 2**bits values for
+    each power of two, whatever its rows, at a relative error of at most 2**-bits.
     """
-    finite = F.when((value > float("-inf")) & (value < float("inf")), value)
-    rows = df.select(*[c.alias(g) for g, c in groups.items()], piece.alias("piece"), finite.alias("value"))
-    rows = rows.where("value IS NOT NULL").select(*groups, "piece", ordinal(F.col("value"), mantissa_bits).alias("ordinal"))
-    return rows.groupBy(*groups, "piece", "ordinal").agg(F.count(F.lit(1)).alias("n"))
+    rows = value_rows(df, {**groups, "piece": piece}, value, mantissa_bits)
+    return rows.groupBy(*groups, "piece", "ordinal").agg(F.sum("n").alias("n"))
 
 
 def _same(left: DataFrame, right: DataFrame, names) -> Column:
@@ -70,9 +81,9 @@ def _same(left: DataFrame, right: DataFrame, names) -> Column:
 
 
 def percentiles(
-    pieces: DataFrame, groups: list[str], probabilities=PROBABILITIES, halvings: int = 10
+    pieces: DataFrame, groups: list[str], probabilities=PROBABILITIES, halvings: int = 8
 ) -> DataFrame:
-    """Percentiles per group from the union of any number of pieces.
+    """Percentiles per group from the union of any number of pieces, or from rows (``value_rows``).
 
     Linear interpolation between the two neighbouring ranks, as usual for
     percentiles of a sample. Returns ``groups``, ``percentile``, ``n`` (rows
@@ -82,9 +93,7 @@ def percentiles(
     ``pieces`` are not read.
     """
     rank, lo, hi, below, cell = (fresh(x, groups) for x in ("rank", "lo", "hi", "below", "cell"))
-    counts = stage(
-        pieces.groupBy(*groups, "ordinal").agg(F.sum("n").alias("n")).select(*groups, "ordinal", "n"), "values"
-    )
+    counts = stage(pieces.select(*groups, "ordinal", "n"), "values")
     totals = stage(
         counts.groupBy(*groups).agg(F.sum("n").alias("n"), F.min("ordinal").alias(lo), F.max("ordinal").alias(hi)),
         "totals",
@@ -97,7 +106,14 @@ def percentiles(
     state = stage(state, "intervals")
     while not state.where(F.col(hi) > F.col(lo)).isEmpty():
         spans = state.where(F.col(hi) > F.col(lo)).select(*groups, lo, hi).distinct()
-        spans = broadcast_if_small(spans)
+        own, extra = counts, F.lit(True)
+        if small(spans, SPANS):
+            spans = F.broadcast(spans)
+        else:  # in parts, as one group may hold most rows
+            part = fresh("part", groups)
+            own = counts.withColumn(part, F.pmod(F.xxhash64("ordinal"), F.lit(PARTS)))
+            spans = spans.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+            extra = own[part] == spans[part]
         near = F.col(hi).cast("double") - F.col(lo).cast("double") < F.lit(2.0**52)
         width = F.when(near, F.expr(f"({hi} - {lo}) div {1 << halvings} + 1").cast("double")).otherwise(
             (F.col(hi).cast("double") - F.col(lo).cast("double")) / F.lit(float((1 << halvings) - 1))
@@ -105,9 +121,8 @@ def percentiles(
         offset = F.when(near, (F.col("ordinal") - F.col(lo)).cast("double")).otherwise(
             F.col("ordinal").cast("double") - F.col(lo).cast("double")
         )
-        hits = counts.join(
-            spans,
-            _same(counts, spans, groups) & (counts["ordinal"] >= spans[lo]) & (counts["ordinal"] <= spans[hi]),
+        hits = own.join(
+            spans, _same(own, spans, groups) & extra & (own["ordinal"] >= spans[lo]) & (own["ordinal"] <= spans[hi])
         ).select(*[spans[g] for g in groups], lo, "ordinal", "n", F.floor(offset / width).alias(cell))
         cells = hits.groupBy(*groups, lo, cell).agg(
             F.sum("n").alias("in_cell"), F.min("ordinal").alias("first"), F.max("ordinal").alias("last")
@@ -158,15 +173,15 @@ def clip_pieces(manifest: DataFrame, mantissa_bits: int = 52) -> DataFrame:
 def piece_percentiles(manifest: DataFrame) -> DataFrame:
     """Percentiles of every shard piece and, with a null ``piece``, of the pieces combined.
 
-    Both come from one set of pieces in one bisection. Shards are taken as they
-    are spelled; rows without a shard form the piece ``unknown``.
+    Both come from one set of pieces in one bisection. Paths that lead to one file are one
+    piece; rows without a shard form the piece ``unknown``.
     """
     groups = ["language", "subtype", "piece"]
     pieces = stage(
         piece_profile(
             manifest,
             {"language": label("language"), "subtype": label("subtype")},
-            F.coalesce("source_shard", F.lit("unknown")),
+            F.coalesce(file_name_key(F.col("source_shard")), F.lit("unknown")),
             usable_seconds("duration"),
         ),
         "pieces",
@@ -176,4 +191,13 @@ def piece_percentiles(manifest: DataFrame) -> DataFrame:
 
 
 def clip_percentiles(manifest: DataFrame) -> DataFrame:
-    return percentiles(clip_pieces(manifest), ["language", "subtype"]).withColumn("value", F.round("value", 6))
+    """Exact percentiles, by bisection over the rows themselves."""
+    rows = value_rows(manifest, {"language": label("language"), "subtype": label("subtype")}, usable_seconds("duration"))
+    return percentiles(rows, ["language", "subtype"]).withColumn("value", F.round("value", 6))
+
+
+def combined_percentiles(manifest: DataFrame, mantissa_bits: int = 10) -> DataFrame:
+    """Percentiles from day pieces that were written at a relative error of at most 2**-``mantissa_bits`` and read again."""
+    written = stage(clip_pieces(manifest, mantissa_bits), "day_pieces")
+    out = percentiles(written, ["language", "subtype"])
+    return out.withColumn("value", F.round(F.col("value") + 3e-8, 6))  # values of few bits often lie on a half, which then goes up whatever the last bit
