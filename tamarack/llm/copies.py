@@ -29,10 +29,10 @@ from .letters import letters, letters_of, per_distinct
 BUCKET_ROWS = 20_000
 #: Bytes of the first prefix; every further split doubles it.
 FIRST_BYTES = 12
-#: Bytes of distinct texts a partition folds before it hands them on.
-FOLD_BYTES = 64 << 20
-#: Record keys in one block of a copy class.
-BLOCK = 512
+#: Bytes of distinct texts and their keys that a partition folds before it hands them on, and keys in one folded row.
+FOLD_BYTES, FOLD_KEYS = 64 << 20, 1 << 16
+#: Record keys in one block of a copy class, and copies from which a class's pairs are made by several tasks, one for each so many copies.
+BLOCK, SPREAD = 512, 4_096
 
 
 class Trie:
@@ -62,16 +62,18 @@ class Trie:
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
-    ref, held, size = (context.partitionId() if context else 0) << 40, {}, 0
+    ref, held, full, size = (context.partitionId() if context else 0) << 40, {}, [], 0
 
     def out():
-        nonlocal ref, held, size
-        if held:
-            refs = range(ref, ref + len(held))
-            ref += len(held)
-            columns = [refs, held, [len(k) for k in held.values()], [min(k) for k in held.values()], held.values()]
+        nonlocal ref, held, full, size
+        rows = [*full, *((w, keys) for w, keys in held.items() if keys)]
+        if rows:
+            refs = range(ref, ref + len(rows))
+            ref += len(rows)
+            words, lists = zip(*rows, strict=True)
+            columns = [refs, words, [len(k) for k in lists], [min(k) for k in lists], lists]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, _FOLDED, strict=True)], names=_FOLDED_NAMES)
-        held, size = {}, 0
+        held, full, size = {}, [], 0
 
     for batch in batches:
         for key, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -81,6 +83,10 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(word)
             else:
                 keys.append(key)
+                if len(keys) >= FOLD_KEYS:
+                    full.append((word, keys))
+                    held[word] = []
+            size += 40  # a key and its place in the list
         if size > FOLD_BYTES:
             yield from out()
     yield from out()
@@ -161,20 +167,33 @@ def collapse(df: DataFrame, key: str, word: Column, bucket_rows: int = BUCKET_RO
     return classes.where("is_first").select(F.col("class_id").alias(key), "copies")
 
 
-def copy_pairs(df: DataFrame, key: str, word: Column, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Every pair of copies as ``key_a`` < ``key_b``.
+def members(df: DataFrame, key: str, word: Column, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``key``, ``representative`` (its first copy) and ``copies`` of every record: the classes without their pairs."""
+    folded = fold_partitions(df, key, word)
+    classes = copy_classes(folded, bucket_rows).select("ref", "class_id", "copies")
+    rows = folded.select("ref", F.explode("keys").alias("key")).join(classes, "ref")
+    return rows.select("key", F.col("class_id").alias("representative"), "copies")
 
-    Classes are cut into blocks of keys, and pairs of blocks are expanded, so the
-    pairs of one large class are spread over tasks.
+
+def class_blocks(df: DataFrame, key: str, word: Column, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Pairs of blocks of keys of one class (``left``, ``right``, and ``own`` if they are one block).
+
+    A class of many copies is cut into parts: each of its blocks meets those of one part in a task of its own, so neither the
+    meeting nor the expansion of a large class is one task's work.
     """
     folded = fold_partitions(df, key, word)
-    classes = copy_classes(folded, bucket_rows).where("copies > 1").select("ref", "class_id")
-    members = folded.select("ref", F.explode(_blocks(F.col("keys"))).alias("keys")).join(classes, "ref")
-    members = stage(members.select("class_id", F.xxhash64("ref", "keys").alias("block"), "keys"), "members")
-    left = members.select("class_id", F.col("block").alias("a"), F.col("keys").alias("left"))
-    right = members.select("class_id", F.col("block").alias("b"), F.col("keys").alias("right"))
-    both = left.join(right, "class_id").where("a <= b")
-    pairs = both.select(F.col("a") == F.col("b"), F.explode("left").alias("x"), "right").toDF("own", "x", "right")
+    classes = copy_classes(folded, bucket_rows).where("copies > 1").select("ref", "class_id", F.ceil(F.col("copies") / SPREAD).cast("int").alias("parts"))
+    blocks = folded.select("ref", F.explode(_blocks(F.col("keys"))).alias("keys")).join(classes, "ref")
+    blocks = stage(blocks.select("class_id", "parts", F.xxhash64("ref", "keys").alias("block"), "keys"), "members")
+    left = blocks.select("class_id", F.pmod(F.col("block"), F.col("parts")).cast("int").alias("part"), F.col("block").alias("a"), F.col("keys").alias("left"))
+    right = blocks.select("class_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("block").alias("b"), F.col("keys").alias("right"))
+    return left.join(right, ["class_id", "part"]).where("a <= b").select("class_id", "part", (F.col("a") == F.col("b")).alias("own"), "left", "right")
+
+
+def copy_pairs(df: DataFrame, key: str, word: Column, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Every pair of copies as ``key_a`` < ``key_b``."""
+    both = class_blocks(df, key, word, bucket_rows)
+    pairs = both.select("own", F.explode("left").alias("x"), "right")
     pairs = pairs.select("own", "x", F.explode("right").alias("y")).where("CASE WHEN own THEN x < y ELSE x <> y END")
     return pairs.select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
 
@@ -240,3 +259,11 @@ def all_copy_pairs(manifest: DataFrame, raw_lines: DataFrame) -> DataFrame:
     return clips.select(F.lit("manifest").alias("origin"), "key_a", "key_b").unionByName(
         lines.select(F.lit("raw_lines").alias("origin"), "key_a", "key_b")
     )
+
+
+def all_members(manifest: DataFrame, raw_lines: DataFrame) -> DataFrame:
+    """Class membership in both tables: ``origin``, ``key``, ``representative``, ``copies``."""
+    rows = manifest.select("row_id", label("language").alias("language"), "transcription").where("transcription IS NOT NULL")
+    clips = members(rows, "row_id", clip_word(F.col("language"), F.col("transcription")))
+    lines = members(raw_lines.select("line_id", "raw"), "line_id", record_word_of("raw"))
+    return clips.select(F.lit("manifest").alias("origin"), "*").unionByName(lines.select(F.lit("raw_lines").alias("origin"), "*"))

@@ -19,6 +19,10 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.piece_percentiles(table(spark, sf_dir, "manifest"))
 
 
+def p1_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.combined_percentiles(table(spark, sf_dir, "manifest"))
+
+
 def p1_day_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the combinable day pieces: values kept and rows counted."""
     pieces = percentiles.clip_pieces(table(spark, sf_dir, "manifest"))
@@ -39,6 +43,10 @@ def p2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.line_copies(table(spark, sf_dir, "raw_lines"))
 
 
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.all_members(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "raw_lines"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.unmet_targets(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "sample_targets"))
 
@@ -119,7 +127,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_pieces, p1_percentiles, p1_day_pieces, p2_found, p2_clips, p2_lines, p3_found, p3_sample, p3_report, p4_found, p4_mix,
+        p1_pieces, p1_percentiles, p1_combined, p1_day_pieces, p2_found, p2_clips, p2_lines, p2_members, p3_found, p3_sample, p3_report, p4_found, p4_mix,
         p4_report, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_found, p9_spans, p9_clean, p9_trimmed, p10_found,
     )
 }
@@ -151,11 +159,16 @@ def _visible(column: str) -> str:
     return f"nfc_normalize(translate(replace(replace({bare}, '\ufb01', 'fi'), '\ufb00', 'ff'), '{source}', '{target}'))"
 
 
+_FILE = f"""nullif(nullif(regexp_replace(regexp_replace(replace(lower(regexp_replace(source_shard, '^{_BLANK}|{_BLANK}$', '', 'g')), chr(92), '/'), '/(\\./|/)+', '/', 'g'), '^(\\./)+', ''), ''), 'unknown')"""
 _USABLE = f"""c AS (SELECT row_id, {_label('language')} AS language, {_label('subtype')} AS subtype, {_label('dataset')} AS dataset, ingested_at,
-  coalesce(source_shard, 'unknown') AS shard, CASE WHEN duration > 0 AND isfinite(duration) THEN duration END AS duration FROM manifest)"""
+  coalesce({_FILE}, 'unknown') AS shard, CASE WHEN duration > 0 AND isfinite(duration) THEN duration END AS duration FROM manifest)"""
 _QS = "[0.25, 0.5, 0.75, 0.9, 0.95, 0.99]"
 _MIX = f"""{_USABLE}, total AS (SELECT sum(duration) AS total FROM c), supply AS (SELECT dataset, language, sum(duration) AS supply FROM c WHERE duration IS NOT NULL GROUP BY ALL),
   plan AS (SELECT {_label('m.dataset')} AS dataset, {_label('m.language')} AS language, m.target_share, m.max_repeats FROM mix_targets m)"""
+_WORDS = f"""m AS (SELECT 'manifest' AS origin, row_id AS k, {_label('language')} || chr(0) || {_letters('transcription')} AS w, {_letters('transcription')} AS l FROM manifest),
+      j AS (SELECT line_id, CASE WHEN json_valid(raw) THEN raw END AS r FROM raw_lines),
+      f AS (SELECT line_id, list_transform(list_sort(json_keys(r)), lambda x: [x, {_letters("coalesce(json_extract_string(r, concat('$.', chr(34), x, chr(34))), '')")}]) AS f FROM j WHERE r IS NOT NULL AND json_type(r) = 'OBJECT'),
+      w AS (SELECT origin, k, w FROM m WHERE l <> '' UNION ALL SELECT 'raw_lines', line_id, f::VARCHAR FROM f WHERE len(list_filter(f, lambda x: x[2] <> '')) > 0)"""
 _SAMPLE = f"""{_USABLE}, o AS (SELECT language, subtype, count(*) AS observed FROM c GROUP BY ALL), half AS (SELECT count(*) * 0.5::DOUBLE AS half FROM c),
   t AS (SELECT {_label('language')} AS language, {_label('subtype')} AS subtype, target_share, min_rows FROM sample_targets)"""
 
@@ -165,19 +178,21 @@ ORACLES: dict[str, str] = {
       SELECT language, subtype, piece, unnest({_QS})::DOUBLE AS percentile, n, round(unnest(q), 6) AS value FROM g""",
     "p1_percentiles": f"""WITH {_USABLE}, g AS (SELECT language, subtype, count(*) AS n, quantile_cont(duration, {_QS}) AS q FROM c WHERE duration IS NOT NULL GROUP BY ALL)
       SELECT language, subtype, unnest({_QS})::DOUBLE AS percentile, n, round(unnest(q), 6) AS value FROM g""",
+    "p1_combined": f"""WITH {_USABLE}, p AS (SELECT language, subtype, duration, 2.0::DOUBLE ** (floor(log2(duration)) - 10) AS unit FROM c WHERE duration IS NOT NULL),
+      g AS (SELECT language, subtype, count(*) AS n, quantile_cont(floor(duration / unit) * unit, {_QS}) AS q FROM p GROUP BY ALL)
+      SELECT language, subtype, unnest({_QS})::DOUBLE AS percentile, n, round(unnest(q) + 3e-8, 6) AS value FROM g""",
     "p1_day_pieces": f"""WITH {_USABLE} SELECT language, subtype, ingested_at::DATE AS day, count(DISTINCT duration) AS distinct_values, count(*) AS n_rows
       FROM c WHERE duration IS NOT NULL GROUP BY ALL""",
     "p2_clips": f"""SELECT min(row_id) AS row_id, count(*) AS copies FROM (SELECT row_id, {_label('language')} AS language, {_letters('transcription')} AS letters FROM manifest)
       WHERE letters <> '' GROUP BY language, letters""",
     "p3_found": f"WITH {_SAMPLE} SELECT language, subtype FROM t LEFT JOIN o USING (language, subtype), half WHERE coalesce(observed, 0) < greatest(min_rows, target_share * half)",
     "p4_found": f"WITH {_MIX} SELECT dataset, language FROM plan LEFT JOIN supply USING (dataset, language), total WHERE coalesce(supply, 0) * max_repeats < target_share * total",
-    "p2_found": f"""WITH m AS (SELECT 'manifest' AS origin, row_id AS k, {_label('language')} || chr(0) || {_letters('transcription')} AS w, {_letters('transcription')} AS l FROM manifest),
-      j AS (SELECT line_id, CASE WHEN json_valid(raw) THEN raw END AS r FROM raw_lines),
-      f AS (SELECT line_id, list_transform(list_sort(json_keys(r)), lambda x: [x, {_letters("coalesce(json_extract_string(r, concat('$.', chr(34), x, chr(34))), '')")}]) AS f FROM j WHERE r IS NOT NULL AND json_type(r) = 'OBJECT'),
-      w AS (SELECT origin, k, w FROM m WHERE l <> '' UNION ALL SELECT 'raw_lines', line_id, f::VARCHAR FROM f WHERE len(list_filter(f, lambda x: x[2] <> '')) > 0)
+    "p2_found": f"""WITH {_WORDS}
       SELECT a.origin, a.k AS key_a, b.k AS key_b FROM w a JOIN w b ON a.origin = b.origin AND a.w = b.w AND a.k < b.k""",
+    "p2_members": f"""WITH {_WORDS} SELECT origin, k AS key, min(k) OVER same AS representative, count(*) OVER same AS copies FROM w WINDOW same AS (PARTITION BY origin, w)""",
+    "p2_lines": f"""WITH {_WORDS} SELECT min(k) AS line_id, count(*) AS copies FROM w WHERE origin = 'raw_lines' GROUP BY w.w""",
     "p6_found": f"""WITH RECURSIVE r AS (SELECT row_id, {_label('split')} AS split,
-        's' || nullif(nullif(regexp_replace(regexp_replace(replace(lower(regexp_replace(source_shard, '^{_BLANK}|{_BLANK}$', '', 'g')), chr(92), '/'), '/(\\./|/)+', '/', 'g'), '^(\\./)+', ''), ''), 'unknown') AS s,
+        's' || {_FILE} AS s,
         'i' || CASE WHEN regexp_replace(id, '{_BLANK}', '', 'g') <> '' THEN id END AS i FROM manifest),
       n AS (SELECT row_id, split, coalesce(s, i, 'r' || row_id) AS a, i FROM r),
       k AS (SELECT DISTINCT a, coalesce(i, a) AS i FROM n), e AS (SELECT DISTINCT x.a, y.a AS b FROM k x JOIN k y USING (i)),

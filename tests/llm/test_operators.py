@@ -13,6 +13,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tamarack.llm import copies, encoding, grouping, leakage, letters, lookalike, mixing, overlap, pairs, percentiles, sampling, sentences
+from tamarack.llm.queries import ORACLES, QUERIES
+from tests.helpers import spark_rows, sql_rows
 
 CLIP = "row_id long, id string, language string, subtype string, dataset string, duration double, transcription string, split string, source_shard string, ingested_at timestamp, key string, grp string"
 
@@ -48,6 +50,14 @@ def test_percentiles_match_sorting(spark, halvings):
         assert value == pytest.approx(ends(by[g], q), rel=1e-12, abs=1e-300)
 
 
+def test_many_groups_join_in_parts(spark, monkeypatch):
+    df = spark.range(600).select((F.col("id") % 5).alias("g"), F.sin("id").alias("v"))
+    rows = percentiles.value_rows(df, {"g": F.col("g")}, F.col("v"))
+    want = percentiles.percentiles(rows, ["g"]).orderBy("g", "percentile").collect()
+    monkeypatch.setattr(percentiles, "SPANS", 1)
+    assert percentiles.percentiles(rows, ["g"]).orderBy("g", "percentile").collect() == want
+
+
 def test_pieces_combine(spark):
     df = spark.createDataFrame([("a", d, float((i * 37) % 101)) for i, d in enumerate([1, 2, 3] * 40)], "g string, day int, v double")
 
@@ -67,6 +77,10 @@ def test_bounded_error_and_empty(spark):
     for r in percentiles.percentiles(pieces, ["g"]).collect():
         assert abs(r.value / ends(np.linspace(1, 1000, 500), r.percentile) - 1) <= 2**-6
     assert percentiles.percentiles(pieces.limit(0), ["g"]).count() == 0
+    manifest = clips(spark, [{"row_id": i, "language": "swa", "subtype": "a", "duration": 1.0 + i / 7} for i in range(400)])
+    exact = {r.percentile: r.value for r in percentiles.clip_percentiles(manifest).collect()}
+    for r in percentiles.combined_percentiles(manifest).collect():
+        assert abs(r.value / exact[r.percentile] - 1) <= 2**-10
     assert percentiles.clip_percentiles(clips(spark, [{"row_id": 1, "duration": -1.0}])).count() == 0
 
 
@@ -132,6 +146,20 @@ def test_hot_copy_class(spark):
     assert pairs.where("key_a >= key_b").count() == 0
 
 
+def test_pairs_of_a_hot_class_are_made_by_many_tasks(spark, monkeypatch):
+    for name, value in (("SPREAD", 100), ("FOLD_KEYS", 64), ("BLOCK", 16)):
+        monkeypatch.setattr(copies, name, value)
+    df = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("t"), "id")).alias("t")).repartition(3)
+    blocks = copies.class_blocks(df, "id", F.col("t"))
+    parts = [r["count"] for r in blocks.groupBy("class_id", "part").count().collect()]
+    assert len(parts) == 3 and max(parts) < 0.6 * sum(parts)
+    assert blocks.agg(F.max(F.size("left"))).first()[0] <= 16
+    pairs = copies.copy_pairs(df, "id", F.col("t"))
+    assert pairs.count() == pairs.distinct().count() == 300 * 299 // 2
+    rows = copies.members(df, "id", F.col("t")).collect()
+    assert len(rows) == 900 and {(r.representative, r.copies) for r in rows if r.key % 3 == 0} == {(0, 300)}
+
+
 def test_record_words():
     word = copies.record_word
     a = word('{"id": "X-1", "text": "Ab, c", "seconds": 5.67}')
@@ -655,9 +683,12 @@ def test_units_of_documents(spark):
     assert sentences.sentence_units(df.limit(0)).count() == 0
 
 
-def test_queries_over_the_smallest_tables(spark, sf_dir):
-    from tamarack.llm.queries import QUERIES
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_sql(spark, sf_dir, oracle, name):
+    assert spark_rows(QUERIES[name](spark, sf_dir)) == sql_rows(oracle, ORACLES[name])
+
 
+def test_queries_over_the_smallest_tables(spark, sf_dir):
     for name, columns in {"p2_found": 3, "p3_found": 2, "p4_found": 2, "p5_found": 2, "p6_found": 1, "p7_found": 2, "p8_ids": 2, "p9_found": 2, "p10_found": 3}.items():
         df = QUERIES[name](spark, sf_dir)
         assert len(df.columns) == columns
