@@ -4,6 +4,7 @@ import itertools
 import json
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -628,6 +629,7 @@ def cut(text, lang=None):
         ("One two. Three four! Five?", "eng", ["One two.", "Three four!", "Five?"]),
         ("Dr. Smith met St. John at 5.30 p.m. They left.", "eng", ["Dr. Smith met St. John at 5.30 p.m.", "They left."]),
         ("See Fig. 3 and vol. 2, cf. the list. Next", "eng", ["See Fig. 3 and vol. 2, cf. the list.", "Next"]),
+        ("On Jan. 5 we saw Mt. Kenya. See Sec. 4 and Eq. 2, cf. Ruto et al. 2020. Then", "eng", ["On Jan. 5 we saw Mt. Kenya.", "See Sec. 4 and Eq. 2, cf. Ruto et al. 2020.", "Then"]),
         ("A. B. Name came. So", "eng", ["A. B. Name came.", "So"]),
         ("It was... nothing. Then... Gone", "eng", ["It was... nothing.", "Then...", "Gone"]),
         ("the end.The start", "eng", ["the end.", "The start"]),
@@ -676,6 +678,15 @@ def test_units_cover_all_but_blanks(text):
     assert not text[last:].strip()
 
 
+def test_long_lines_take_time_in_proportion():
+    for line in ("(word) ", ". ", "[a]. ", "“a” ", "x' ", "1. a. ", "\n \n", "a.b ", "<t> . "):
+        text = line * 40_000
+        began = time.process_time()
+        found = sentences.units(text, "eng")
+        assert time.process_time() - began < 5
+        assert sum(b - a for a, b in found) <= len(text)
+
+
 def test_units_of_documents(spark):
     df = spark.createDataFrame([(1, "A b. C d.", "ENG "), (2, None, None), (3, "  ", "swa"), (1, "A b. C d.", None)], "doc_id long, text string, lang string")
     got = sorted((r.doc_id, r.sent_start, r.sent_end) for r in sentences.sentence_units(df).collect())
