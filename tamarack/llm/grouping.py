@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import label, stripped
-from ..plans.staging import broadcast_if_small, stage
+from ..plans.staging import broadcast_if_small, small, stage
 from .sampling import draw
 
 
@@ -33,10 +33,32 @@ def real_id(value: Column) -> Column:
     return F.when(stripped(value) != "", value)
 
 
+#: Edges of one vertex from which its moves are joined apart, and such vertices that may be broadcast (about 50 bytes each).
+HUB, HUBS = 100_000, 200_000
+
+
+def vertex_of(kind: str, value: Column) -> Column:
+    """128 bits that name a shard, an id or a row; null for null."""
+    return F.unhex(F.md5(F.concat(F.lit(f"{kind}\x00"), value.cast("string"))))
+
+
 def coin(vertex: Column, turn: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(turn), vertex), F.lit(2)) == 0
 
 
+def renamed_ends(edges: DataFrame, end: str, move: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """Edges with one end moved. Edges of hubs, which would all meet in one task, get their moves by a broadcast of the hubs."""
+    def joined(part: DataFrame, table: DataFrame) -> DataFrame:
+        part = part.join(table.select(F.col("vertex").alias(end), "into"), end, "left")
+        return part.withColumn(end, F.coalesce("into", end)).select("a", "b")
+
+    if hubs is None or hubs.isEmpty():
+        return joined(edges, move)
+    known = broadcast_if_small(hubs, HUBS)
+    there = known.select(F.col("vertex").alias(end))
+    return joined(edges.join(there, end, "left_semi"), known).unionByName(joined(edges.join(there, end, "left_anti"), move))
+
+
 def contract(edges: DataFrame) -> DataFrame:
     """``vertex`` -> ``component`` for every vertex of the edges (``a``, ``b``).
 
@@ -55,12 +77,13 @@ def contract(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         move = both.where(~coin(F.col("a"), turn) & coin(F.col("b"), turn)).groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("into"))
         move = stage(move, "moves")
-        known = broadcast_if_small(move)
-        moves.append(known)
-        into_a = known.select(F.col("vertex").alias("a"), F.col("into").alias("na"))
-        into_b = known.select(F.col("vertex").alias("b"), F.col("into").alias("nb"))
-        renamed = edges.join(into_a, "a", "left").join(into_b, "b", "left")
-        renamed = renamed.select(F.coalesce("na", "a").alias("x"), F.coalesce("nb", "b").alias("y")).where("x <> y")
+        if small(move):
+            move, hubs = F.broadcast(move), None
+        else:
+            degree = both.groupBy(F.col("a").alias("vertex")).agg(F.count(F.lit(1)).alias("n"))
+            hubs = stage(degree.where(F.col("n") > HUB).select("vertex").join(move, "vertex", "left"), "hubs")
+        moves.append(move)
+        renamed = renamed_ends(renamed_ends(edges, "a", move, hubs), "b", move, hubs).where("a <> b").toDF("x", "y")
         edges = stage(renamed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     labels = vertices.select("vertex", F.col("vertex").alias("component"))
     for number, move in enumerate(moves, 1):  # a vertex follows the moves in the order in which they were made
@@ -79,9 +102,9 @@ def related_rows(df: DataFrame, key: str, shard: Column, ident: Column, carry: l
     are shards, not rows. Null shards and ids join nothing; an empty table gives
     an empty result.
     """
-    s, i = F.xxhash64(F.lit("shard"), shard), F.xxhash64(F.lit("id"), ident)
-    vertex = F.when(shard.isNotNull(), s).when(ident.isNotNull(), i).otherwise(F.xxhash64(F.lit("row"), F.col(key)))
-    rows = stage(df.select(F.col(key).alias("_key"), *carry, vertex.alias("vertex"), F.when(ident.isNotNull(), i).alias("_id")), "rows")
+    s, i = vertex_of("shard", shard), vertex_of("id", ident)
+    vertex = F.coalesce(s, i, vertex_of("row", F.col(key)))
+    rows = stage(df.select(F.col(key).alias("_key"), *carry, vertex.alias("vertex"), i.alias("_id")), "rows")
     spread = rows.where("_id IS NOT NULL").groupBy("_id").agg(F.min("vertex").alias("a"), F.max("vertex").alias("z")).where("a <> z")
     links = rows.where("_id IS NOT NULL").join(spread, "_id").where("vertex <> a").select("a", F.col("vertex").alias("b"))
     labels = contract(links)
@@ -142,4 +165,16 @@ def assign_splits(components: DataFrame, key: str, targets: DataFrame, seed: int
     chosen = rest.select("component", split.alias("new_split")).unionByName(
         w.where(F.col("weight") > heavy).select("component", F.lit(names[0]).alias("new_split"))
     )
-    return components.join(chosen, "component").select(key, "component", "new_split")
+    return components.join(chosen, "component").select(key, F.hex("component").alias("component"), "new_split")
+
+
+def split_report(components: DataFrame, key: str, targets: DataFrame) -> DataFrame:
+    """Rows, groups and share of each split beside its target; splits without a row have none."""
+    got = assign_splits(components, key, targets).groupBy(F.col("new_split").alias("split")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("component").alias("groups")
+    )
+    aims = targets.where("split IS NOT NULL AND target_share > 0").groupBy("split").agg(F.sum("target_share").alias("target_share"))
+    out = aims.join(got, "split", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    whole = F.sum("n_rows").over(Window.partitionBy())  # a row for each split
+    share = F.try_divide("n_rows", whole)
+    return out.select("split", "target_share", "n_rows", F.coalesce("groups", F.lit(0)).alias("groups"), F.round(share, 6).alias("reached_share"))

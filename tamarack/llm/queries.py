@@ -88,6 +88,11 @@ def p6_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.assign_splits(groups, "row_id", table(spark, sf_dir, "split_targets"))
 
 
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = grouping.clip_components(table(spark, sf_dir, "manifest"))
+    return grouping.split_report(groups, "row_id", table(spark, sf_dir, "split_targets"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.clip_lookalikes(table(spark, sf_dir, "manifest"))
 
@@ -128,7 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_pieces, p1_percentiles, p1_combined, p1_day_pieces, p2_found, p2_clips, p2_lines, p2_members, p3_found, p3_sample, p3_report, p4_found, p4_mix,
-        p4_report, p5_found, p5_report, p6_found, p6_splits, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_found, p9_spans, p9_clean, p9_trimmed, p10_found,
+        p4_report, p5_found, p5_report, p6_found, p6_splits, p6_report, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_found, p9_spans, p9_clean, p9_trimmed, p10_found,
     )
 }
 

@@ -427,6 +427,16 @@ def test_contraction_matches_union_find(spark, seed):
     assert len({(got[x], want[x]) for x in got}) == len(set(want.values())) == len(set(got.values()))
 
 
+def test_hubs_are_renamed_apart(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(0, k) for k in range(1, 80)] + [(rng.randrange(80, 200), rng.randrange(80, 200)) for _ in range(70)]
+    monkeypatch.setattr(grouping, "HUB", 20)
+    monkeypatch.setattr(grouping, "small", lambda df: False)
+    got = {r.vertex: r.component for r in grouping.contract(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = brute_components([e for e in edges if e[0] != e[1]])
+    assert len({(got[x], want[x]) for x in got}) == len(set(want.values())) == len(set(got.values()))
+
+
 def test_paths(spark):
     rows = [(" A/b.parquet",), ("a\\B.PARQUET ",), ("./a//b.parquet",), ("a/./x/../b.parquet",), ("/a/b.parquet",), ("unknown",), (" ",), (None,), ("../a",)]
     out = [r[0] for r in spark.createDataFrame(rows, "p string").select(grouping.file_name_key(F.col("p"))).collect()]
@@ -458,6 +468,8 @@ def test_split_shares(spark):
     assert sum(counts.values()) == 3000
     assert abs(counts["train"] - 2400) <= 30 and abs(counts["test"] - 300) <= 30
     assert out.groupBy("component").agg(F.countDistinct("new_split").alias("n")).where("n > 1").count() == 0
+    report = {r.split: r for r in grouping.split_report(grouping.clip_components(df), "row_id", targets).collect()}
+    assert sum(r.n_rows for r in report.values()) == 3000 and abs(report["test"].reached_share - 0.1) < 0.01
 
 
 # ------------------------------------------------------------------ encoding
