@@ -48,5 +48,6 @@ def edit_distance(a: Sequence, b: Sequence, most: int | None = None) -> int:
 @F.pandas_udf(T.LongType())
 def word_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     """Word edits between two blank-separated texts; null counts as empty."""
-    pairs = zip(reference, hypothesis, strict=True)
-    return pd.Series([edit_distance((r or "").split(), (h or "").split()) for r, h in pairs], dtype="int64")
+    pairs = list(zip(reference, hypothesis, strict=True))
+    edits = {(r, h): 0 if r == h else edit_distance((r or "").split(), (h or "").split()) for r, h in set(pairs)}  # each pair once a batch
+    return pd.Series([edits[p] for p in pairs], dtype="int64")

@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.ordered import percentiles
+from ..plans.staging import with_same
+
 
 def shard_profile(df: DataFrame, keys: list[str], duration: str) -> DataFrame:
     """Rows, known and unknown durations, mean, linear percentiles and shares over 30, 45 and 60 s; no known duration, no row."""
     d = F.when(~F.isnan(duration), F.col(duration))
     rows = df.select(*keys, d.alias("d"))
+    places = percentiles(rows, keys, "d", {"p50_sec": 0.5, "p75_sec": 0.75, "p90_sec": 0.9, "p95_sec": 0.95})
     out = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count("d").alias("known"), F.avg("d").alias("mean_sec"),
-        F.percentile("d", [0.5, 0.75, 0.9, 0.95]).alias("p"),
         *[(F.avg(F.when(F.col("d") > s, 1.0).when(F.col("d").isNotNull(), 0.0)) * 100).alias(f"over_{s}s_pct") for s in (30, 45, 60)],
     )
-    return out.where("known > 0").select(
+    joined = with_same(out.where("known > 0"), places, keys)
+    return joined.select(
         *keys, "n_rows", "known", (F.col("n_rows") - F.col("known")).alias("unknown"), "mean_sec",
-        *[F.col("p")[i].alias(f"p{q}_sec") for i, q in enumerate((50, 75, 90, 95))], *[f"over_{s}s_pct" for s in (30, 45, 60)],
+        *[f"p{q}_sec" for q in (50, 75, 90, 95)], *[f"over_{s}s_pct" for s in (30, 45, 60)],
     )
 
 
@@ -61,11 +65,13 @@ def duration_probe(df: DataFrame, key: str, duration: str) -> DataFrame:
     """Count, mean, median and sum of known durations; shares under 10 s and over 20 s of all rows, unknown ones included."""
     d = F.when(~F.isnan(duration), F.col(duration))
     rows = df.select(key, d.alias("d"))
-    return rows.groupBy(key).agg(
-        F.count("d").alias("known"), F.avg("d").alias("mean_sec"), F.percentile("d", 0.5).alias("median_sec"), F.sum("d").alias("total_sec"),
+    medians = percentiles(rows, [key], "d", {"median_sec": 0.5})
+    out = rows.groupBy(key).agg(
+        F.count("d").alias("known"), F.avg("d").alias("mean_sec"), F.sum("d").alias("total_sec"),
         (F.avg(F.when(F.col("d") < 10, 1.0).otherwise(0.0)) * 100).alias("pct_under_10s"),
         (F.avg(F.when(F.col("d") > 20, 1.0).otherwise(0.0)) * 100).alias("pct_over_20s"),
     )
+    return with_same(out, medians, [key])
 
 
 def best_so_far(df: DataFrame, run: str, step: str, metric: str, patience: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ManifestError
 from ..functions import text as tx
+from ..plans.ordered import rank_in_group
 
 
 def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -49,12 +50,13 @@ def difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rank_zip(a: DataFrame, b: DataFrame, owner: str, place: str, left: str, right: str) -> DataFrame:
-    """Values of two tables of the same owner paired by their rank in ``place``; the longer side is cut."""
-    x = a.groupBy(owner).agg(F.transform(F.array_sort(F.collect_list(F.struct(place, left))), lambda s: s[left]).alias("x"))
-    y = b.groupBy(owner).agg(F.transform(F.array_sort(F.collect_list(F.struct(place, right))), lambda s: s[right]).alias("y"))
-    both = x.join(y, owner).withColumn("n", F.least(F.size("x"), F.size("y")))
-    cut = both.select(owner, F.slice("x", F.lit(1), F.col("n")).alias(left), F.slice("y", F.lit(1), F.col("n")).alias(right))
-    return cut.select(owner, F.posexplode(F.arrays_zip(left, right)).alias("place", "v")).select(owner, F.col("place").cast("long").alias("place"), f"v.{left}", f"v.{right}")
+    """Values of two tables of the same owner paired by their rank (from 0) in ``place``, which must be unique in it; the longer side is cut.
+
+    Both sides are ranked in ranges and joined by owner and rank, so an owner of any size is spread over tasks.
+    """
+    x = rank_in_group(a.where(F.col(owner).isNotNull()).select(owner, place, F.col(left).alias("_v")), [owner], [place], "_r").select(owner, "_r", F.col("_v").alias(left))
+    y = rank_in_group(b.where(F.col(owner).isNotNull()).select(owner, place, F.col(right).alias("_v")), [owner], [place], "_r").select(owner, "_r", F.col("_v").alias(right))
+    return x.join(y, [owner, "_r"]).select(owner, (F.col("_r") - 1).alias("place"), left, right)
 
 
 def repository_gaps(files: DataFrame, required: list[str], any_of: list[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -117,33 +120,55 @@ def aligned_words(tokens: DataFrame, utterance: str, place: str, delimiter: Colu
     )
 
 
-def greedy_spans(items: Column, longest: float) -> Column:
-    """Groups of consecutive items (structs with ``start`` and ``end``) that each span at most ``longest``.
-
-    A new group begins where an item's end lies more than ``longest`` after the
-    group's first start: a fold over the ordered array, since each boundary
-    depends on the one before. The last group is flushed at the end.
+def _spans(utterance: str, longest: float, shortest: float, padding: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, number, open_ = object(), 0, None  # the segment that grows: first start, last end, words, posteriors, duration
+
+        def closed() -> tuple | None:
+            first, last, texts, total, length = open_
+            start, end = max(0.0, first - padding), last + padding if length is None else min(length, last + padding)
+            return (owner, number, start, end, " ".join(texts), total / len(texts), len(texts)) if shortest <= end - start <= longest else None
+
+        for batch in batches:
+            rows = []
+            for key, start, end, text, posterior, length in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if key != owner or end - open_[0] > longest:
+                    if open_ and (row := closed()):
+                        rows.append(row)
+                    number = number + 1 if key == owner else 0
+                    owner, open_ = key, [start, end, [text], posterior, length]
+                else:
+                    open_[1] = end
+                    open_[2].append(text)
+                    open_[3] += posterior
+            yield _spanned(rows, batch.schema.field(0).type, utterance)
+        if open_ and (row := closed()):
+            yield _spanned([row], batch.schema.field(0).type, utterance)
+
+    return run
+
+
+def _spanned(rows: list[tuple], kind: pa.DataType, utterance: str) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 7
+    types = [kind, pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.float64(), pa.int64()]
+    names = [utterance, "segment", "start", "end", "text", "posterior", "n_words"]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def padded_segments(words: DataFrame, utterance: str, place: str, duration: Column, shortest: float, longest: float, padding: float) -> DataFrame:
+    """Segments of consecutive words that each span at most ``longest``, padded within the recording; those outside the limits after padding vanish.
+
+    ``words`` has a row for each word: ``utterance``, ``place`` (its order), start, end, text, posterior. A new segment begins where a word's end
+    lies more than ``longest`` after the segment's first start; each boundary depends on the one before, so a recording's words
+    are passed in order through one task, which holds one segment at a time. Words with a null utterance, start or end are left out; a null
+    text or posterior counts as empty or 0; without a duration a segment may end after the recording.
     """
-    kind = "array<array<struct<start:double,end:double,text:string,posterior:double>>>"
-    zero = F.array().cast(kind)
-
-    def step(done: Column, item: Column) -> Column:
-        last = F.element_at(done, -1)
-        new = F.concat(done, F.array(F.array(item)))
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(last, F.array(item))))
-        return F.when(F.size(done) == 0, new).when(item["end"] - F.get(last, F.lit(0))["start"] > longest, new).otherwise(grown)
-
-    return F.aggregate(items, zero, step)
-
-
-def padded_segments(df: DataFrame, key: str, words: str, duration: Column, shortest: float, longest: float, padding: float) -> DataFrame:
-    """Segments of greedy spans, padded within the recording; those outside the limits after padding vanish."""
-    spans = df.select(key, duration.alias("_d"), F.posexplode(greedy_spans(F.col(words), longest)).alias("segment", "g"))
-    start = F.greatest(F.lit(0.0), F.get("g", F.lit(0))["start"] - padding)
-    end = F.least(F.col("_d"), F.element_at("g", -1)["end"] + padding)
-    mean = F.aggregate("g", F.lit(0.0), lambda a, w: a + w["posterior"]) / F.size("g")
-    out = spans.select(
-        key, F.col("segment").cast("long").alias("segment"), start.alias("start"), end.alias("end"),
-        F.array_join(F.transform("g", lambda w: w["text"]), " ").alias("text"), mean.alias("posterior"), F.size("g").cast("long").alias("n_words"),
+    own = words.where(F.col(utterance).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull())
+    own = own.select(
+        utterance, F.col("start").cast("double"), F.col("end").cast("double"), F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(F.col("posterior").cast("double"), F.lit(0.0)).alias("posterior"), duration.cast("double").alias("_d"), F.col(place).alias("_place"),
     )
-    return out.where((F.col("end") - F.col("start") >= shortest) & (F.col("end") - F.col("start") <= longest))
+    rows = own.repartition(utterance).sortWithinPartitions(utterance, "_place").drop("_place")
+    kind = words.schema[utterance].dataType.simpleString()
+    schema = f"{utterance} {kind}, segment long, start double, end double, text string, posterior double, n_words long"
+    return rows.mapInArrow(_spans(utterance, longest, shortest, padding), schema)

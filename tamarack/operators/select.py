@@ -24,9 +24,9 @@ def pilot_rows(df: DataFrame, shortest: float, longest: float) -> DataFrame:
     return df.where((F.col("split") == "train") & (F.col("subtype") == "unscripted") & (F.col("duration") > shortest) & (F.col("duration") <= longest))
 
 
-def budget_prefix(df: DataFrame, keys: list[str], order: list[str], size: str, budget: float, bucket: Column) -> DataFrame:
+def budget_prefix(df: DataFrame, keys: list[str], order: list[str], size: str, budget: float) -> DataFrame:
     """Rows kept while the sum before them is below the budget, so the one that overshoots stays."""
-    return running_before(df, keys, order, bucket, F.col(size), "before").where(F.col("before") < budget)
+    return running_before(df, keys, order, {"before": F.col(size)}).where(F.col("before") < budget)
 
 
 def spread_indices(count: Column, wanted: int) -> Column:
@@ -38,7 +38,7 @@ def spread_indices(count: Column, wanted: int) -> Column:
 
 def spread_sample(df: DataFrame, keys: list[str], order: str, wanted: int) -> DataFrame:
     """Evenly spread rows of each key in the order of one column."""
-    ranked = rank_in_group(df, keys, [order], F.substring(order, 1, 24), "_r")
+    ranked = rank_in_group(df, keys, [order], "_r")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ranked = ranked.join(broadcast_if_small(sizes), keys)
     return ranked.where(F.array_contains(spread_indices(F.col("_n"), wanted), F.col("_r") - 1)).drop("_r", "_n")
@@ -76,27 +76,31 @@ def weighted_draws(df: DataFrame, weights: DataFrame, key: str, draws: int, seed
     numbers = df.sparkSession.range(draws).toDF("draw").withColumn("u", uniform(0)).withColumn("v", uniform(1))
     placed = numbers.join(broadcast_if_small(spans), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     placed = placed.select("draw", "language", (F.floor(F.col("v") * F.col("n_rows")) + 1).alias("place"))
-    ranked = rank_in_group(df.select("language", key), ["language"], [key], F.floor(F.col(key) / 100_000), "place")
+    ranked = rank_in_group(df.select("language", key), ["language"], [key], "place")
     return placed.join(ranked, ["language", "place"]).select("draw", "language", key)
 
 
 def quota_harvest(df: DataFrame, keys: list[str], order: list[str], target: int, factors: int, bonus: Column, bonus_quota: int) -> DataFrame:
     """Ranked quotas per bucket: ``target`` primary rows, ``target`` // ``factors`` repeats for each factor, and
     ``bonus_quota`` of the rows that meet ``bonus``; ``uses`` tells how often a row is taken.
+
+    (``keys``, ``order``) must be unique. Both quotas are plain limits on a rank, which the planner applies in each
+    partition first, so a task meets a few rows of each partition only.
     """
+    rest = [c for c in df.columns if c not in {*keys, *order}]
     each = target // max(factors, 1)
-    primary = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    extra = F.row_number().over(Window.partitionBy(*keys, "_bonus").orderBy(*order))
-    rows = df.withColumn("_bonus", bonus).withColumn("_p", primary).withColumn("_x", extra)
-    uses = (F.col("_p") <= target).cast("long") + F.lit(factors) * (F.col("_p") <= each).cast("long")
-    uses = uses + (F.col("_bonus") & (F.col("_x") <= bonus_quota)).cast("long")
-    return rows.withColumn("uses", uses).where("uses > 0").drop("_bonus", "_p", "_x")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    primary = df.withColumn("_p", rank).where(F.col("_p") <= target)
+    primary = primary.withColumn("_uses", F.lit(1).cast("long") + F.lit(factors) * (F.col("_p") <= each).cast("long")).drop("_p")
+    extra = df.where(bonus).withColumn("_p", rank).where(F.col("_p") <= bonus_quota).drop("_p").withColumn("_uses", F.lit(1).cast("long"))
+    both = primary.unionByName(extra).groupBy(*keys, *order).agg(F.sum("_uses").alias("uses"), F.first(F.struct(F.lit(0).alias("_"), *rest)).alias("_rest"))
+    return both.select(*keys, *order, *[F.col(f"_rest.{c}").alias(c) for c in rest], "uses")
 
 
 def shard_budget(df: DataFrame, keys: list[str], shard: str, valid: Column, target: int) -> DataFrame:
     """Shards in order until the valid rows before them reach the target, with their counts."""
     counts = df.where(F.col(shard).isNotNull()).groupBy(*keys, shard).agg(F.count_if(valid).alias("valid_rows"))
-    kept = running_before(counts, keys, [shard], F.substring(shard, 1, 16), F.col("valid_rows"), "before")
+    kept = running_before(counts, keys, [shard], {"before": F.col("valid_rows")})
     return kept.where(F.col("before") < target).select(*keys, shard, "valid_rows")
 
 

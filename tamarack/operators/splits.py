@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import rank_in_group
-from ..plans.staging import broadcast_if_small
-
-#: Hex digits of the hash that bucket the order; 256 buckets keep each window small.
-_BUCKET = 2
+from ..plans.ordered import hashed_range, rank_in_group
+from ..plans.staging import broadcast_if_small, stage
 
 
 def group_key(language: Column, speaker: Column, source: Column) -> Column:
@@ -25,10 +22,10 @@ def seeded(seed: int | str, col: Column) -> Column:
 
 def ranked_groups(groups: DataFrame, strata: list[str], group: str, seed: int | str) -> DataFrame:
     """``place`` (1-based, by seeded hash) and ``size`` of each distinct group in its stratum."""
-    hashed = groups.withColumn("_hash", seeded(seed, F.col(group)))
-    ranked = rank_in_group(hashed, strata, ["_hash", group], F.substring("_hash", 1, _BUCKET), "place")
-    sizes = groups.groupBy(*strata).agg(F.count(F.lit(1)).alias("size"))
-    return ranked.join(broadcast_if_small(sizes), strata).drop("_hash")
+    groups = stage(groups, "groups")
+    sizes = stage(groups.groupBy(*strata).agg(F.count(F.lit(1)).alias("size")), "sizes")
+    hashed = groups.join(broadcast_if_small(sizes), strata).withColumn("_hash", seeded(seed, F.col(group)))
+    return rank_in_group(hashed, strata, ["_hash", group], "place", hashed_range("_hash", "size")).drop("_hash")
 
 
 def grouped_split(df: DataFrame, fraction: float = 0.1, seed: int = 42) -> DataFrame:

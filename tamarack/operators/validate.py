@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..errors import ManifestError
 from ..functions import text as tx
 from ..functions.labels import stripped
+from ..plans.staging import stage
 
 # The languages accepted and the field names looked at, in order.
 LANGUAGES = ("swa", "som", "kik", "luo", "mas", "kln")
@@ -63,6 +65,7 @@ def check_records(fields: DataFrame, languages=LANGUAGES) -> DataFrame:
         rows = rows.withColumn(c, F.lower(F.coalesce(bare(c), F.lit("unknown"))))
     for c in PROVENANCE:
         rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit("unknown")))
+    # The texts of the reasons.
     reason = F.coalesce(
         F.when(~F.col("language").isin(*languages), F.lit("unsupported language")),
         F.when(F.col("transcription") == "", F.lit("empty transcription")),
@@ -108,36 +111,47 @@ def drop_report(df: DataFrame, reason: Column) -> DataFrame:
     return df.select(reason.alias("reason")).where("reason IS NOT NULL").groupBy("reason").agg(F.count(F.lit(1)).alias("dropped"))
 
 
-def all_train(df: DataFrame) -> bool:
-    """Whether every row of an additional manifest is in the train split."""
-    return df.where("split IS NULL OR split <> 'train'").isEmpty()
+def drop_samples(df: DataFrame, reason: Column, order: str, n: int = 10) -> DataFrame:
+    """The first ``n`` rows that each reason drops, with their number; limited in each partition before the shuffle."""
+    rows = df.select(reason.alias("reason"), F.col(order)).where("reason IS NOT NULL")
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("reason").orderBy(order))).where(F.col("nth") <= n)
+
+
+def not_train(df: DataFrame) -> DataFrame:
+    """Rows of an additional manifest that are in another split than train, or in none."""
+    return df.where("split IS NULL OR split <> 'train'")
+
+
+def require_train(df: DataFrame) -> None:
+    if not not_train(df).isEmpty():
+        raise ManifestError("an additional manifest may hold train rows only")
 
 
 def submission_problems(frame: DataFrame, expected: DataFrame, languages=LANGUAGES) -> DataFrame:
     """One row (``check_no``, ``problem``, ``n_rows``) per failed check of a submission, in the order they are made.
 
-    Raises if the columns are not exactly id, language, transcription.
+    Raises if the columns are not exactly id, language, transcription. Both tables are read once, into stages of their keys.
     """
     if frame.columns != ["id", "language", "transcription"]:
         raise ValueError("submission columns must be exactly id, language, transcription")
     key = ["id", "language"]
-    want = expected.select(*[F.col(c).cast("string").alias(c) for c in key])
-    have = frame.select(*[F.col(c).cast("string").alias(c) for c in key])
+    want = stage(expected.select(*[F.col(c).cast("string").alias(c) for c in key]), "expected")
+    have = frame.select(*[F.col(c).cast("string").alias(c) for c in key], tx.present(F.col("transcription")).isNull().alias("blank"))
+    have = stage(have, "submitted")
 
     def repeated(df: DataFrame) -> DataFrame:
         return df.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("n_rows"))
 
     def left_over(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.distinct().join(b.distinct(), key, "left_anti").agg(F.count(F.lit(1)).alias("n_rows"))
+        return a.select(*key).distinct().join(b.select(*key), key, "left_anti").agg(F.count(F.lit(1)).alias("n_rows"))
 
-    blank = frame.where(tx.present(F.col("transcription")).isNull())
     parts = [
         ("duplicate submission id", repeated(have)),
         ("duplicate expected id", repeated(want)),
         ("missing id and language", left_over(want, have)),
         ("unexpected id and language", left_over(have, want)),
         ("unsupported language", have.where(~F.col("language").isin(*languages)).agg(F.count(F.lit(1)).alias("n_rows"))),
-        ("empty transcription", blank.agg(F.count(F.lit(1)).alias("n_rows"))),
+        ("empty transcription", have.where("blank").agg(F.count(F.lit(1)).alias("n_rows"))),
     ]
     out = None
     for i, (problem, part) in enumerate(parts, 1):

@@ -64,5 +64,15 @@ def fresh(base: str, taken) -> str:
     return name
 
 
+def with_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join by keys that may be null; the keys are those of the left side."""
+    other = {k: fresh(f"other_{k}", [*left.columns, *right.columns]) for k in keys}
+    right = right.withColumnsRenamed(other)
+    cond = F.lit(True)
+    for k, o in other.items():
+        cond = cond & F.col(k).eqNullSafe(F.col(o))
+    return left.join(right, cond, how).drop(*other.values())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -183,7 +183,7 @@ def lr_schedule(spark, d):
 
 @query(
     f"""SELECT row_id, list_concat([50258::BIGINT, 50359, 50363], list_concat(list_transform(regexp_split_to_array(t, ''), lambda c: ord(c)::BIGINT), [50257::BIGINT])) AS ids
-  FROM (SELECT row_id, {_norm('transcription')} AS t FROM manifest) WHERE length(t) BETWEEN 1 AND 220"""
+  FROM (SELECT row_id, {_norm('transcription')} AS t FROM manifest) WHERE length(t) BETWEEN 1 AND 444"""
 )
 def label_build(spark, d):
     rows = table(spark, d, "manifest").select("row_id", tx.normalize_text(F.col("transcription")).alias("t"))
@@ -662,7 +662,7 @@ def topk_per_language(spark, d):
 )
 def budget_prefix(spark, d):
     rows = clips(spark, d).where("split = 'train' AND duration IS NOT NULL AND source_shard IS NOT NULL")
-    return select.budget_prefix(rows, ["language"], ["source_shard", "row_id"], "duration", 7200.0005, F.col("source_shard")).select("row_id", "language")
+    return select.budget_prefix(rows, ["language"], ["source_shard", "row_id"], "duration", 7200.0005).select("row_id", "language")
 
 
 @query(
@@ -800,9 +800,8 @@ _SPANS = """w AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER
 )
 def greedy_segments(spark, d):
     e = table(spark, d, "events")
-    item = F.struct((F.col("event_id") / 10).cast("double").alias("start"), (F.col("event_id") / 10 + 0.5).cast("double").alias("end"), F.col("event_type").alias("text"), (F.col("value") / 500).alias("posterior"))
-    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", item.alias("w")))).alias("x")).select("user_id", F.transform("x", lambda s: s["w"]).alias("words"))
-    out = segment.padded_segments(rows, "user_id", "words", F.lit(1000.0), 1.0, 60.0, 0.15)
+    rows = e.select("user_id", "event_id", (F.col("event_id") / 10).alias("start"), (F.col("event_id") / 10 + 0.5).alias("end"), F.col("event_type").alias("text"), (F.col("value") / 500).alias("posterior"))
+    out = segment.padded_segments(rows, "user_id", "event_id", F.lit(1000.0), 1.0, 60.0, 0.15)
     return out.select("user_id", "segment", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "text", F.round("posterior", 9).alias("posterior"), "n_words")
 
 

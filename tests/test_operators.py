@@ -1,12 +1,14 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tamarack.errors import ManifestError
 from tamarack.functions.labels import label, usable_seconds
 from tamarack.operators import audit, decode, gate, lookup, segment, select, splits, validate, vocab
-from tamarack.plans.ordered import rank_in_group, running_before
+from tamarack.plans.ordered import in_ranges, percentiles, rank_in_group, running_before
 from tamarack.queries import QUERIES
 
 FIELDS = "row int, record_id string, recording_id string, path string, lang string, actualSentence string, seconds string"
@@ -114,16 +116,58 @@ def test_spread(spark):
 def test_budget_keeps_the_overshooting_row(spark):
     rows = [("swa", i, 40.0) for i in range(5)]
     df = spark.createDataFrame(rows, "language string, k int, d double")
-    kept = select.budget_prefix(df, ["language"], ["k"], "d", 100.0, F.floor(F.col("k") / 2))
+    kept = select.budget_prefix(df, ["language"], ["k"], "d", 100.0)
     assert sorted(r.k for r in kept.collect()) == [0, 1, 2]
 
 
-def test_ranks_in_two_levels(spark):
+@pytest.mark.parametrize("given", [False, True])
+def test_ranks_in_two_levels(spark, given):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"))
-    out = rank_in_group(df, ["g"], ["k"], F.floor(F.col("k") / 50), "r").collect()
-    assert all(r.r == r.k // 3 + 1 for r in out)
-    sums = running_before(df, ["g"], ["k"], F.floor(F.col("k") / 50), F.col("k"), "s").where("k = 999").first()
-    assert sums.s == sum(range(0, 999, 3))
+    bucket = F.floor(F.col("k") / 50) if given else None
+    out = rank_in_group(df, ["g"], ["k"], "r", bucket).collect()
+    assert len(out) == 1000 and all(r.r == r.k // 3 + 1 for r in out)
+    sums = running_before(df, ["g"], ["k"], {"s": F.col("k"), "n": F.lit(1)}, bucket).where("k = 999").first()
+    assert (sums.s, sums.n) == (sum(range(0, 999, 3)), 333)
+
+
+def test_a_hot_group_is_ranked_in_ranges(spark):
+    df = spark.range(2000).select(F.lit("one").alias("g"), F.concat(F.lit("the/same/long/prefix/"), F.format_string("%05d", "id")).alias("k"))
+    ranges = [r["count"] for r in in_ranges(df, ["g"], ["k"], "p").groupBy("p").count().collect()]
+    assert len(ranges) > 2 and max(ranges) < 1000
+    assert all(r.r == int(r.k[-5:]) + 1 for r in rank_in_group(df, ["g"], ["k"], "r").collect())
+
+
+def test_percentiles_in_ranges(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.5, rng.uniform(-9, 9)])) for _ in range(400)] + [("none", None), ("one", 2.0)]
+    out = percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {"low": 0.1, "mid": 0.5, "top": 1.0}).collect()
+    for r in out:
+        own = [v for g, v in rows if g == r.g and v is not None]
+        assert [r.low, r.mid, r.top] == pytest.approx([float(np.percentile(own, q)) for q in (10, 50, 100)])
+    assert {r.g for r in out} == {"a", "b", None, "one"}
+
+
+def test_rank_zip(spark):
+    a = spark.createDataFrame([("s", i, f"a{i}") for i in (5, 1, 3)] + [("t", 1, "x"), (None, 1, "n")], "o string, p int, l string")
+    b = spark.createDataFrame([("s", i, f"b{i}") for i in (9, 2)] + [("u", 1, "y"), (None, 1, "n")], "o string, p int, r string")
+    assert sorted(tuple(r) for r in lookup.rank_zip(a, b, "o", "p", "l", "r").collect()) == [("s", 0, "a1", "b2"), ("s", 1, "a3", "b9")]
+
+
+def test_quotas(spark):
+    df = spark.createDataFrame([("swa", i, i % 2 == 0, None) for i in range(30)], "g string, k int, long boolean, note string")
+    got = {r.k: r.uses for r in select.quota_harvest(df, ["g"], ["k"], 6, 2, F.col("long"), 4).collect()}
+    want = {i: 1 + 2 * (i < 3) for i in range(6)}
+    for i in (0, 2, 4, 6):
+        want[i] = want.get(i, 0) + 1
+    assert got == want
+
+
+def test_samples_of_drops(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else None) for i in range(40)], "k int, reason string")
+    assert [(r.nth, r.k) for r in validate.drop_samples(df, F.col("reason"), "k", 3).orderBy("nth").collect()] == [(1, 1), (2, 2), (3, 4)]
+    with pytest.raises(ManifestError):
+        validate.require_train(spark.createDataFrame([("train",), (None,)], "split string"))
+    validate.require_train(spark.createDataFrame([("train",)], "split string"))
 
 
 def test_weights_and_draws(spark):
@@ -164,17 +208,27 @@ def test_word_islands(spark):
     assert [(r.start_frame, r.last_frame) for r in out] == [(1, 2), (5, 5)]
 
 
+WORDS = "u string, k int, start double, end double, text string, posterior double"
+
+
 def test_segments(spark):
-    words = [(0.2, 1.0, "one", 0.9), (1.1, 2.0, "two", 0.8), (5.0, 6.0, "three", 0.7)]
-    df = spark.createDataFrame([("u", words), ("e", [])], "u string, w array<struct<start:double,end:double,text:string,posterior:double>>")
-    out = segment.padded_segments(df, "u", "w", F.lit(7.0), 0.5, 3.0, 0.1).orderBy("segment").collect()
+    words = [("u", 0, 0.2, 1.0, "one", 0.9), ("u", 1, 1.1, 2.0, "two", 0.8), ("u", 2, 5.0, 6.0, "three", 0.7), (None, 0, 1.0, 2.0, "x", 1.0), ("v", 0, None, 1.0, "x", 1.0)]
+    out = segment.padded_segments(spark.createDataFrame(words, WORDS).repartition(3), "u", "k", F.lit(7.0), 0.5, 3.0, 0.1).orderBy("segment").collect()
     assert [r.text for r in out] == ["one two", "three"]
     assert all(r.end - r.start <= 3 for r in out)
 
 
 def test_long_segment_vanishes_after_padding(spark):
-    df = spark.createDataFrame([("u", [(0.5, 25.3, "x", 1.0)])], "u string, w array<struct<start:double,end:double,text:string,posterior:double>>")
-    assert segment.padded_segments(df, "u", "w", F.lit(60.0), 1.0, 25.0, 0.15).count() == 0
+    df = spark.createDataFrame([("u", 0, 0.5, 25.3, "x", 1.0)], WORDS)
+    assert segment.padded_segments(df, "u", "k", F.lit(60.0), 1.0, 25.0, 0.15).count() == 0
+    assert segment.padded_segments(df.limit(0), "u", "k", F.lit(60.0), 1.0, 25.0, 0.15).count() == 0
+
+
+def test_one_long_recording_takes_time_in_proportion(spark):
+    df = spark.range(200_000).select(F.lit("u").alias("u"), F.col("id").alias("k"), (F.col("id") / 2).alias("start"), (F.col("id") / 2 + 0.4).alias("end"), F.lit("w").alias("text"), F.lit(1.0).alias("posterior"))
+    out = segment.padded_segments(df, "u", "k", F.lit(1e9), 0.5, 10.0, 0.0)
+    row = out.agg(F.sum("n_words").alias("w"), F.count(F.lit(1)).alias("n"), F.max("segment").alias("m")).first()
+    assert (row.w, row.n, row.m) == (200_000, 10_000, 9_999)
 
 
 def test_vocabulary(spark):
