@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 
@@ -33,12 +34,20 @@ def greedy_ctc(df: DataFrame, utterance: str, frame: str, scores: str, blank: in
 
 
 def joined_chunks(df: DataFrame, owner: str, place: str, text: str) -> DataFrame:
-    """Chunk texts of each owner in order, each normalised and the whole again; empty ones leave no blank."""
+    """Chunk texts of each owner in order, each normalised and the whole again; empty ones leave no blank.
+
+    The result is one row for each owner, so an owner's whole text has to fit a row.
+    """
     own = df.select(owner, F.struct(F.col(place).alias("p"), tx.normalize_text(F.col(text)).alias("t")).alias("x"))
     whole = own.groupBy(owner).agg(F.array_sort(F.collect_list("x")).alias("x"))
     return whole.select(owner, tx.squeeze(F.array_join(F.transform("x", lambda c: c["t"]), " ")).alias("text"))
 
 
+def ordered(report: DataFrame, order: list[Column], place: str) -> DataFrame:
+    """A report of few rows in its final order, with each row's place."""
+    return report.withColumn(place, F.row_number().over(Window.orderBy(*order)).cast("long")).orderBy(place)
+
+
 def isolate_failures(texts: DataFrame, failed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Results without the owners of any failed chunk, and all failures, empty results among them."""
     ok = texts.join(failed.select(key).distinct(), key, "left_anti")

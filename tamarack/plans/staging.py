@@ -30,10 +30,15 @@ def stage_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own among this application's stages."""
+    return f"{stage_root(spark)}/tamarack-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/tamarack-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,19 +1,21 @@
-"""Audio columns: header probes, decoding of PCM, resampling. Only the standard library and numpy are needed."""
+"""Audio columns: header probes, decoding of WAV and FLAC, resampling. Only the standard library and numpy are needed."""
 
 from __future__ import annotations
 
 import io
 import math
-import os
 import uuid
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import flac
+
 
 def probe(content: bytes | None) -> tuple[int, int, int] | None:
     """(frames, rate, channels) from the header of WAV or FLAC bytes, without decoding; None if unreadable."""
@@ -68,9 +70,9 @@ def resample(samples: np.ndarray, rate: int, wanted: int) -> np.ndarray:
 
 
 def to_mono(field, rate: int) -> np.ndarray:
-    """Samples at ``rate`` of WAV bytes or of {array, sampling_rate}; empty or non-finite audio is an error."""
+    """Samples at ``rate`` of WAV or FLAC bytes or of {array, sampling_rate}; empty or non-finite audio is an error."""
     if isinstance(field, (bytes, bytearray)):
-        data, own = decode_wav(bytes(field))
+        data, own = flac.decode(bytes(field)) if field[:4] == b"fLaC" else decode_wav(bytes(field))
     else:
         data, own = np.asarray(field["array"], dtype=np.float32), int(field["sampling_rate"])
         data = data.mean(axis=tuple(range(1, data.ndim))) if data.ndim > 1 else data
@@ -110,7 +112,7 @@ def probe_column(df: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def decode_column(df: DataFrame, key: str, content: str, rate: int) -> DataFrame:
-    """Mono samples at ``rate`` of each row's WAV bytes, or the ``reason`` why there are none."""
+    """Mono samples at ``rate`` of each row's WAV or FLAC bytes, or the ``reason`` why there are none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -147,20 +149,24 @@ def stretch(samples: np.ndarray, factor: float, longest: int = 480_000, frame: i
 
 
 def write_clips(df: DataFrame, path: str, samples: str, rate: int) -> None:
-    """One WAV file per row under its ``path``, on storage all executors share; complete files are left alone."""
+    """One file per row at its ``path`` (FLAC by that suffix, else WAV), on any storage; complete files are left alone.
+
+    A path may be a plain one or name its file system. A file is written beside its place and then moved there.
+    """
 
     def write(rows) -> None:
         for r in rows:
-            target = r[path]
-            if os.path.exists(target):
+            fs, target = pafs.FileSystem.from_uri(r[path]) if "://" in r[path] else (pafs.LocalFileSystem(), r[path].removeprefix("file:"))
+            if fs.get_file_info(target).type != pafs.FileType.NotFound:
                 continue
-            os.makedirs(os.path.dirname(target), exist_ok=True)
+            fs.create_dir(target.rpartition("/")[0], recursive=True)
             part = f"{target}.{uuid.uuid4().hex}"
-            with open(part, "wb") as f:
-                f.write(encode_wav(np.asarray(r[samples], np.float32), rate))
-            os.replace(part, target)
+            data = np.asarray(r[samples], np.float32)
+            with fs.open_output_stream(part) as f:
+                f.write(flac.encode(data, rate) if target.lower().endswith(".flac") else encode_wav(data, rate))
+            fs.move(part, target)
 
-    df.select(path, samples).foreachPartition(write)
+    df.where(F.col(path).isNotNull() & F.col(samples).isNotNull()).select(path, samples).foreachPartition(write)
 
 
 def missing_files(df: DataFrame, path: str, folder: str) -> DataFrame:

@@ -103,11 +103,14 @@ def write_single_csv(df: DataFrame, path: str) -> None:
     conf = df.sparkSession._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    df.coalesce(1).write.option("header", True).option("escape", '"').csv(part.toString())
+    exact = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.coalesce(1).write.options(**exact).csv(part.toString())
     fs = target.getFileSystem(conf)
     made = [s.getPath() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(part, "part-*"))]
-    fs.delete(target, True)
-    fs.rename(made[0], target)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = df.sparkSession.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE  # in one step where the file system has one, so the old file stays until the new one stands
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(made[0], fs.makeQualified(target), how)
     fs.delete(part, True)
 
 

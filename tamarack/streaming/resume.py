@@ -15,6 +15,12 @@ def not_done(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(ids, rows[key].cast("string") == ids["_done"], "left_anti")
 
 
+def not_standing(rows: DataFrame, done: DataFrame, files: DataFrame, key: str) -> DataFrame:
+    """Rows to be done (again): without a result yet, or with one whose file no longer stands in ``files``. Rows without a key are all kept."""
+    standing = done.select(F.col(key).cast("string").alias(key)).join(files.select(F.col(key).cast("string").alias(key)).distinct(), key, "left_semi")
+    return not_done(rows, standing, key)
+
+
 def run_available(
     spark: SparkSession, source: str, schema: T.StructType, work: Callable[[DataFrame], DataFrame], results: str, checkpoint: str, key: str
 ) -> None:
