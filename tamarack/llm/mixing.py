@@ -73,7 +73,7 @@ def running_size(df: DataFrame, keys: list[str], order: str, tie: str, size: str
 
 
 def mix(rows: DataFrame, key: str, keys: list[str], size: str, plan: DataFrame, seed: int = 11) -> DataFrame:
-    """Every delivery of every used record with its training ``position`` in [0, 1], sorted by it.
+    """Every delivery of every used record with its training ``position`` in [0, 1], not sorted yet.
 
     A record is delivered in pass r while r x supply + offset is below what the
     source uses, hence at most ``max_repeats`` times. Records without usable size
@@ -87,10 +87,9 @@ def mix(rows: DataFrame, key: str, keys: list[str], size: str, plan: DataFrame,
     passes = F.least(passes, F.col("max_repeats").cast("int"))
     out = bare.where(F.col("offset") < F.col("used")).withColumn("pass", F.explode(F.sequence(F.lit(1), F.greatest(passes, F.lit(1)))))
     share = ((F.col("pass") - 1) * F.col("supply") + F.col("offset")) / F.col("used")
-    out = out.select(
+    return out.select(
         F.col("_key").alias(key), *keys, F.col("_size").alias(size), "pass", position_of(share, F.col("start")).alias("position")
     )
-    return out.orderBy("position", key, "pass")
 
 
 def clip_sources(manifest: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -104,8 +103,9 @@ def clip_sources(manifest: DataFrame, targets: DataFrame) -> tuple[DataFrame, Da
 
 
 def clip_mix(manifest: DataFrame, targets: DataFrame) -> DataFrame:
+    """The mix in training order: a range sort by position."""
     rows, plan = clip_sources(manifest, targets)
-    return mix(rows, "row_id", ["dataset", "language"], "seconds", plan)
+    return mix(rows, "row_id", ["dataset", "language"], "seconds", plan).orderBy("position", "row_id", "pass")
 
 
 def mix_report(manifest: DataFrame, targets: DataFrame) -> DataFrame:
