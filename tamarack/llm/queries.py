@@ -55,6 +55,10 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.clip_sample(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "sample_targets"))
 
 
+def p3_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.clip_sample(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "sample_targets"), fill=True)
+
+
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_report(table(spark, sf_dir, "manifest"), table(spark, sf_dir, "sample_targets"))
 
@@ -132,7 +136,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_pieces, p1_percentiles, p1_combined, p1_day_pieces, p2_found, p2_clips, p2_lines, p2_members, p3_found, p3_sample, p3_report, p4_found, p4_mix,
+        p1_pieces, p1_percentiles, p1_combined, p1_day_pieces, p2_found, p2_clips, p2_lines, p2_members, p3_found, p3_sample, p3_filled, p3_report, p4_found, p4_mix,
         p4_report, p5_found, p5_report, p6_found, p6_splits, p6_report, p7_found, p7_forms, p8_ids, p8_roundtrip, p9_found, p9_spans, p9_clean, p9_trimmed, p10_found,
     )
 }

@@ -48,6 +48,28 @@ def goals(observed: DataFrame, targets: DataFrame, categories: list[str], fracti
     )
 
 
+def filled(plan: DataFrame, categories: list[str]) -> DataFrame:
+    """The plan with the rows that short categories lack given to those that have more, in proportion to their targets.
+
+    Each gets share x level up to what it has; the level is where the given rows make up the lack. The targets are few, so
+    ordered passes over them are cheap. Without enough rows in all, every category gives what it has.
+    """
+    every = Window.partitionBy()
+    share = F.greatest("target_share", F.lit(0.0))
+    rows = plan.withColumn("_spare", F.when(share > 0, F.col("observed") - F.col("taken")).otherwise(0)).withColumn("_lack", F.sum(F.col("goal") - F.col("taken")).over(every))
+    order = Window.orderBy(F.when(share > 0, F.col("_spare") / share).otherwise(0.0), *categories)
+    before, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    level = F.try_divide(F.col("_lack") - F.coalesce(F.sum("_spare").over(before), F.lit(0)), F.sum(share).over(later))
+    # With the first few categories used up, the others would need this level; the true one is the highest of them.
+    rows = rows.withColumn("_level", level).withColumn("_level", F.coalesce(F.max("_level").over(every), F.lit(0.0)))
+    ideal = F.least(F.col("_spare").cast("double"), F.col("_level") * share)
+    rows = rows.withColumn("_ideal", ideal).withColumn("_extra", F.floor("_ideal"))
+    room = Window.orderBy(F.when(F.col("_extra") < F.col("_spare"), F.col("_ideal") - F.col("_extra")).otherwise(-1.0).desc(), *categories)
+    left = F.least("_lack", F.sum("_spare").over(every)) - F.sum("_extra").over(every)
+    rows = rows.withColumn("_extra", F.col("_extra") + ((F.row_number().over(room) <= left) & (F.col("_extra") < F.col("_spare"))).cast("long"))
+    return rows.withColumn("taken", F.col("taken") + F.col("_extra")).select(*plan.columns)
+
+
 def draw_sample(df: DataFrame, key: str, categories: list[str], plan: DataFrame, seed: int = 7, width: float = 6.0) -> DataFrame:
     """Exactly ``taken`` rows of each category of ``plan``, drawn uniformly.
 
@@ -92,23 +114,28 @@ def clip_goals(manifest: DataFrame, targets: DataFrame, fraction: float = 0.5) -
     return rows, stage(goals(observed, targets, cats, fraction), "goals")
 
 
-def clip_sample(manifest: DataFrame, targets: DataFrame, fraction: float = 0.5) -> DataFrame:
+def clip_sample(manifest: DataFrame, targets: DataFrame, fraction: float = 0.5, fill: bool = False) -> DataFrame:
+    """The sample; with ``fill`` the rows that short categories lack come from the others, so that it has its full size."""
+    cats = ["language", "subtype"]
     rows, plan = clip_goals(manifest, targets, fraction)
-    return draw_sample(rows, "row_id", ["language", "subtype"], plan)
+    return draw_sample(rows, "row_id", cats, filled(plan, cats) if fill else plan)
 
 
 def sample_report(manifest: DataFrame, targets: DataFrame, fraction: float = 0.5) -> DataFrame:
-    """Targets beside what the drawn sample really holds.
+    """Targets beside what the drawn sample really holds, and what it would hold with the lacking rows filled up from other categories.
 
     A target is ``short`` if the sample used up all rows of its category and still holds fewer than it needs.
     """
     cats = ["language", "subtype"]
     rows, plan = clip_goals(manifest, targets, fraction)
     got = draw_sample(rows, "row_id", cats, plan).groupBy(*cats).agg(F.count(F.lit(1)).alias("sampled"))
-    out = plan.join(got, cats, "left").withColumn("sampled", F.coalesce("sampled", F.lit(0)))
+    full = filled(plan, cats).select(*cats, F.col("taken").alias("filled"))
+    out = plan.join(got, cats, "left").join(full, cats).withColumn("sampled", F.coalesce("sampled", F.lit(0)))
+    every = Window.partitionBy()  # a row for each target
     short = (F.col("sampled") == F.col("observed")) & (F.col("sampled") < F.col("need"))
     return out.select(
-        *cats, "target_share", "min_rows", "observed", "goal", "sampled", (F.col("goal") - F.col("sampled")).alias("deficit"), short.alias("short")
+        *cats, "target_share", "min_rows", "observed", "goal", "sampled", (F.col("goal") - F.col("sampled")).alias("deficit"), short.alias("short"),
+        F.try_divide("sampled", F.sum("sampled").over(every)).alias("reached_share"), "filled", F.try_divide("filled", F.sum("filled").over(every)).alias("filled_share"),
     )
 
 

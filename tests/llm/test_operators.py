@@ -229,6 +229,20 @@ def test_sample_counts_are_exact(spark):
     assert {r.row_id for r in rows.collect()} == {r.row_id for r in again.collect()}
 
 
+def test_filled_samples_have_their_size(spark):
+    df = sample_rows(spark)
+    targets = spark.createDataFrame([("swa", "a", 0.3, 5), ("swa", "b", 0.2, 5), ("som", "a", 0.4, 5), ("som", "unknown", 0.09, 5), ("mas", "a", 0.01, 7)], TARGETS)
+    report = {(r.language, r.subtype): r for r in sampling.sample_report(df, targets).collect()}
+    lack = sum(r.deficit for r in report.values())
+    assert lack > 100 and sum(r.filled for r in report.values()) == sum(r.goal for r in report.values())
+    assert all(r.sampled <= r.filled <= r.observed for r in report.values())
+    assert sum(r.reached_share for r in report.values()) == pytest.approx(1) == sum(r.filled_share for r in report.values())
+    assert sampling.clip_sample(df, targets, fill=True).count() == sum(r.filled for r in report.values())
+    poor = spark.createDataFrame([("swa", "a", 0.99, 5), ("mas", "a", 0.01, 7)], TARGETS)
+    report = sampling.sample_report(df, poor).collect()
+    assert {r.language: r.filled for r in report} == {"swa": next(r.observed for r in report if r.language == "swa"), "mas": 0}
+
+
 def test_sample_edges(spark):
     targets = spark.createDataFrame([("swa", "a", 1.0, None)], TARGETS)
     assert sampling.clip_sample(clips(spark, []), targets).count() == 0
