@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import ManifestError
 from ..functions import text as tx
 from ..functions.distance import word_edits
 
@@ -37,3 +38,12 @@ def macro_rate(counts: DataFrame, key: str, languages) -> DataFrame:
     """Unweighted mean of the languages' pooled rates, beside the number of languages found and wanted."""
     per = counts.where(F.col(key).isin(*languages)).groupBy(key).agg((F.sum("word_edits") / F.sum("ref_words")).alias("wer"))
     return per.agg(F.round(F.avg("wer"), 6).alias("macro_wer"), F.count(F.lit(1)).alias("languages"), F.lit(len(languages)).cast("long").alias("wanted"))
+
+
+def require_macro_rate(counts: DataFrame, key: str, languages) -> float:
+    """The macro rate, an error if a language has no row or no reference word."""
+    found = {r[key]: r["w"] for r in counts.where(F.col(key).isin(*languages)).groupBy(key).agg(F.sum("ref_words").alias("w")).collect()}  # one row per language
+    missing = [x for x in languages if not found.get(x)]
+    if missing:
+        raise ManifestError(f"no reference words for {', '.join(missing)}")
+    return macro_rate(counts, key, languages).first()["macro_wer"]

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..errors import ManifestError
+
 # Special symbols of the shared vocabulary and their ids.
 SPECIAL = (("<pad>", 0), ("<unk>", 1), ("|", 2))
 
@@ -32,6 +34,14 @@ def shared_vocabulary(df: DataFrame, text: str) -> DataFrame:
     return special.unionByName(ranked)
 
 
+def require_characters(df: DataFrame, text: str) -> DataFrame:
+    """The shared vocabulary; without any character of the text in it, an error."""
+    found = shared_vocabulary(df, text)
+    if found.where(F.col("id") > len(SPECIAL) - 1).isEmpty():
+        raise ManifestError("the vocabulary would hold no character")
+    return found
+
+
 def plain_vocabulary(df: DataFrame, text: str) -> DataFrame:
     """All characters with the blank as ``|`` from 0 in code-point order, then [UNK] and [PAD]."""
     own = characters(df, text).select(F.when(F.col("symbol") == " ", "|").otherwise(F.col("symbol")).alias("symbol")).distinct()

@@ -1,4 +1,4 @@
-"""A resumable stage runner, configuration inheritance and the build-splits flow."""
+"""A resumable stage runner and the build-splits flow."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 from pathlib import Path
 
-import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,33 +15,6 @@ from ..operators import splits, validate, vocab
 from ..sources.records import write_json_file
 from .staging import stage
 
-FILL = "FILL_ME"
-
-
-def merged(base: dict, over: dict) -> dict:
-    """``over`` laid onto ``base``, mappings key by key."""
-    out = dict(base)
-    for k, v in over.items():
-        out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
-    return out
-
-
-def load_config(path: str | Path) -> dict:
-    """A YAML file laid onto the one its ``extends`` names."""
-    own = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
-    parent = own.pop("extends", None)
-    return merged(load_config(Path(path).parent / parent), own) if parent else own
-
-
-def unresolved(value, at: str = "") -> list[str]:
-    """Paths of a configuration that still hold the placeholder."""
-    if isinstance(value, dict):
-        return [p for k, v in value.items() for p in unresolved(v, f"{at}.{k}" if at else str(k))]
-    if isinstance(value, list):
-        return [p for i, v in enumerate(value) for p in unresolved(v, f"{at}[{i}]")]
-    return [at] if value == FILL else []
-
-
 class Stages:
     """Runs named stages once; a stage is complete when its status file says so and its check holds."""
 
@@ -80,7 +52,7 @@ def build_splits(fields: DataFrame, order: str, out: str, fraction: float = 0.1,
         raise ManifestError("a group stands in two splits")
     split.drop("group").write.mode("overwrite").parquet(f"{out}/manifest")
     checked.where("reason IS NOT NULL").select(F.col(order).alias("row_number"), "reason").write.mode("overwrite").parquet(f"{out}/rejected")
-    vocab.shared_vocabulary(split.where("split = 'train'"), "transcription").write.mode("overwrite").parquet(f"{out}/vocabulary")
+    vocab.require_characters(split.where("split = 'train'"), "transcription").write.mode("overwrite").parquet(f"{out}/vocabulary")
     splits.split_counts(split).write.mode("overwrite").parquet(f"{out}/report_rows")
     splits.split_hours(split).write.mode("overwrite").parquet(f"{out}/report_hours")
     return {"accepted": split.count(), "rejected": checked.where("reason IS NOT NULL").count()}

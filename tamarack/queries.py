@@ -58,6 +58,10 @@ def _plain(x: str) -> str:
     return _squeeze(f"regexp_replace(lower({_squeeze(x)}), '[^{_KEEP}]', '', 'g')")
 
 
+def _bare(x: str) -> str:
+    return f"regexp_replace(strip_accents(lower({x})), '[^\\p{{L}}\\p{{N}}_{_S}]', ' ', 'g')"
+
+
 def _dot(x: str) -> str:
     return f"coalesce(nullif({x}, ''), '.')"
 
@@ -100,7 +104,7 @@ def normalize_plain(spark, d):
     return m.select("row_id", tx.normalize_plain(F.col("transcription")).alias("text"))
 
 
-@query()
+@query(f"SELECT row_id, {_squeeze(_bare('transcription'))} AS text FROM manifest WHERE transcription IS NOT NULL")
 def normalize_eval(spark, d):
     m = table(spark, d, "manifest").where("transcription IS NOT NULL")
     return m.select("row_id", tx.normalize_eval(F.col("transcription")).alias("text"))
@@ -841,12 +845,21 @@ def isolated_results(spark, d):
     return decode.isolate_failures(texts, failed, "source_id")[0]
 
 
-@query()
+@query(
+    """WITH f AS (SELECT vec_id, i, list_slice(embedding, i * 8 + 1, i * 8 + 8)::DOUBLE[] AS x FROM embeddings, LATERAL (SELECT unnest(range(0, 8)) AS i)),
+  b AS (SELECT vec_id, i, list_position(x, list_max(x)) - 1 AS s, -ln(list_sum(list_transform(x, lambda y: exp(y - list_max(x))))) AS lp FROM f),
+  r AS (SELECT *, sum(fresh) OVER (PARTITION BY vec_id ORDER BY i) AS run FROM (SELECT *, (s IS DISTINCT FROM lag(s) OVER (PARTITION BY vec_id ORDER BY i))::INT AS fresh FROM b)),
+  t AS (SELECT vec_id, run, any_value(s) AS s, min(i) AS a, max(i) + 1 AS z, avg(lp) AS lp FROM r GROUP BY ALL)
+  SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY run) - 1 AS place, s AS token_id, a AS start_frame, z AS end_frame, round(exp(lp), 6) AS posterior FROM t WHERE s <> 0"""
+)
 def forced_align(spark, d):
-    """Alignment of 64-frame emissions cut from the vectors: eight frames of eight symbols, three tokens."""
+    """Alignment of eight frames of eight symbols cut from each vector to the row's own targets, its greedy path; a path of blanks only has no row."""
     rows = table(spark, d, "embeddings").select("vec_id", segment.chunks(F.col("embedding"), 8).alias("scores"))
-    rows = rows.select("vec_id", F.transform("scores", decode.log_softmax).alias("emissions"), F.array(F.lit(1), F.lit(2), F.lit(2)).alias("targets"))
-    return align_utterances(rows, "vec_id")
+    rows = rows.select("vec_id", F.transform("scores", decode.log_softmax).alias("emissions"))
+    rows = rows.withColumn("best", F.transform("emissions", lambda x: (F.array_position(x, F.array_max(x)) - 1).cast("int")))
+    path = F.filter(F.transform("best", lambda x, i: F.when((x != 0) & ((i == 0) | (x != F.get("best", i - 1))), x)), lambda x: x.isNotNull())
+    out = align_utterances(rows.select("vec_id", "emissions", path.alias("targets")), "vec_id").where("reason IS NULL")
+    return out.select("vec_id", "place", "token_id", "start_frame", "end_frame", F.round("posterior", 6).alias("posterior"))
 
 
 @query(

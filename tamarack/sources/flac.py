@@ -7,9 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
-# Fixed values of the format: sample sizes, block sizes and rates by their codes.
+# Fixed values of the format: sample sizes by their codes, factors of the fixed predictors.
 _SIZES = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
-_RATES = {1: 88200, 2: 176400, 3: 192000, 4: 8000, 5: 16000, 6: 22050, 7: 24000, 8: 32000, 9: 44100, 10: 48000, 11: 96000}
 _FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 BLOCK = 4096
 
@@ -133,8 +132,10 @@ def decode(content: bytes) -> tuple[np.ndarray, int]:
         bits.take(16)
         blocks.append(np.mean(lines, axis=0) / float(1 << (own - 1)))
         got += size
+    if got < total:
+        raise EOFError("the stream ends before its last frame")
     data = np.concatenate(blocks) if blocks else np.zeros(0)
-    return (data[:total] if total else data).astype(np.float32), rate or _RATES.get(5)
+    return (data[:total] if total else data).astype(np.float32), rate
 
 
 def _crc(data: bytes, wide: int, factor: int) -> int:

@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 from tamarack.errors import AlignmentError, ManifestError
 from tamarack.operators.align import align_utterances, forced_alignment
 from tamarack.operators.validate import LANGUAGES, resolve_aliases
-from tamarack.plans import pipeline
+from tamarack.operators import metrics, vocab
+from tamarack.plans import config, flows, pipeline
 from tamarack.plans.staging import broadcast_if_small, fresh, small, stage, sweep
-from tamarack.sources import archive, audio, fetch, records
+from tamarack.sources import archive, audio, fetch, flac, records
 from tamarack.streaming.resume import run_available
 
 SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.LongType())])
@@ -122,11 +123,116 @@ def test_align_rows(spark):
 
 
 def test_config(tmp_path):
-    (tmp_path / "base.yaml").write_text("a: {x: 1, y: FILL_ME}\nb: [1, FILL_ME]\n")
-    (tmp_path / "own.yaml").write_text("extends: base.yaml\na: {x: 2}\n")
-    config = pipeline.load_config(tmp_path / "own.yaml")
-    assert config == {"a": {"x": 2, "y": "FILL_ME"}, "b": [1, "FILL_ME"]}
-    assert pipeline.unresolved(config) == ["a.y", "b[1]"]
+    (tmp_path / "base.yaml").write_text("a: {x: 1, y: FILL_ME}\nb: [1, FILL_ME]\nc: 1\n")
+    (tmp_path / "own.yaml").write_text("extends: base.yaml\na: {x: 2}\nc: {z: 3}\n")
+    loaded = config.load_config(tmp_path / "own.yaml")
+    assert loaded == {"a": {"x": 2, "y": "FILL_ME"}, "b": [1, "FILL_ME"], "c": {"z": 3}}
+    assert config.unresolved(loaded) == ["a.y", "b[1]"]
+    (tmp_path / "list.yaml").write_text("- 1\n")
+    (tmp_path / "round.yaml").write_text("extends: round.yaml\n")
+    for bad in ("list.yaml", "round.yaml"):
+        with pytest.raises(ManifestError):
+            config.load_config(tmp_path / bad)
+
+
+def test_flac():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 4096, 4097, 9000):
+        for x in (np.sin(np.arange(n) / 9) * 0.7, rng.uniform(-1, 1, n), np.zeros(n), np.full(n, -1.0)):
+            content = flac.encode(x, 16000)
+            got, rate = flac.decode(content)
+            assert rate == 16000 and np.abs(got - (x * 32767).astype(int) / 32768).max() < 1e-7
+            assert audio.probe(content) == (n, 16000, 1)
+    for cut in (b"", content[:20], content[:60], content[:-9]):
+        with pytest.raises((ValueError, EOFError)):
+            flac.decode(cut)
+
+
+def test_flac_subframes():
+    """Two channels as middle and side, a linear predictor and verbatim samples, put together by hand."""
+    def bits(*fields):
+        text = "".join(format(v & ((1 << n) - 1), f"0{n}b") for n, v in fields)
+        text += "0" * (-len(text) % 8)
+        return int(text, 2).to_bytes(len(text) // 8, "big")
+
+    left, right = [10, 20, 30, 41], [8, 21, 26, 40]
+    middle, side = [(a + b) >> 1 for a, b in zip(left, right)], [a - b for a, b in zip(left, right)]
+    info = bits((20, 8000), (3, 1), (5, 15), (36, 4))
+    head = b"fLaC" + bytes([0x80, 0, 0, 34]) + bytes(10) + info + bytes(16)
+    frame = [(14, 0x3FFE), (2, 0), (4, 6), (4, 0), (4, 10), (3, 4), (1, 0), (8, 0), (8, 3), (8, 0)]
+    residual = [m - ((2 * a) >> 1) for m, a in zip(middle[1:], middle)]
+    frame += [(1, 0), (6, 32), (1, 0), (16, middle[0]), (4, 4), (5, 1), (5, 2), (2, 0), (4, 0), (4, 2)]
+    for r in residual:
+        v = 2 * r if r >= 0 else -2 * r - 1
+        frame += [*[(1, 0)] * (v >> 2), (1, 1), (2, v)]
+    frame += [(1, 0), (6, 1), (1, 0), *[(17, v) for v in side]]
+    got, rate = flac.decode(head + bits(*frame) + bytes(2))
+    assert rate == 8000 and got.tolist() == [(a + b) / 2 / 32768 for a, b in zip(left, right)]
+
+
+def test_clips_of_archives(spark, tmp_path):
+    tone = np.sin(np.arange(8000) / 20) * 0.5
+    for k in (1, 2):
+        with tarfile.open(tmp_path / f"{k}.tar.xz", "w:xz") as t:
+            for name, body in ((f"d/a{k}.wav", audio.encode_wav(tone, 8000)), (f"d/b{k}.wav", b"junk"), (f"d/c{k}.wav", audio.encode_wav(tone, 8000)), ("x.txt", b"x")):
+                info = tarfile.TarInfo(name)
+                info.size = len(body)
+                t.addfile(info, io.BytesIO(body))
+    (tmp_path / "broken.tar").write_bytes(b"no archive at all")
+    files = spark.read.format("binaryFile").load([f"{tmp_path}/1.tar.xz", f"{tmp_path}/2.tar.xz", f"{tmp_path}/broken.tar"])
+    assert archive.members(files).where("reason IS NOT NULL").count() == 1
+    texts = spark.createDataFrame([("a1", 1, "Moja"), ("d/a2.wav", 2, "Mbili"), ("b1", 3, "Tatu"), ("c1", 4, "?!")], "key string, place int, text string")
+    for _ in range(2):
+        kept, report = flows.archive_clips(files, texts, "swa", f"{tmp_path}/clips", 16000)
+        assert sorted((r.text, r.duration) for r in kept.collect()) == [("Mbili", 1.0), ("Moja", 1.0)]
+    assert sorted((r.n_rows, r.rejected, r.status) for r in report.collect()) == [(1, 0, "prepared"), (1, 2, "prepared")]
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{tmp_path}/clips")
+    assert all(r.frames == 16000 for r in audio.probe_column(listed, "path", "content").collect())
+
+
+def test_shards_to_prepare(spark):
+    rows = spark.createDataFrame([(i, f"swa/train/scripted/s{i % 5}.parquet") for i in range(20)] + [(99, "x/y.parquet"), (98, None)], "n int, shard string")
+    finished = spark.createDataFrame([("swa/train/scripted/s0.parquet",)], "shard string")
+    left = flows.listed_clips(rows, finished, 3, ["swa"], "train", ["scripted"])
+    assert {r.shard[-10:-8] for r in left.collect()} == {"s2", "s4"}
+
+
+def test_aligned_pilot(spark):
+    ids = {"<pad>": 0, "<unk>": 1, "|": 2, "a": 3, "b": 4}
+    path = [0, 3, 0, 4, 0, 2, 0, 4, 4, 0]
+    rows = [("r1", "swa", 10.0, "ab b", emissions(path, 5).tolist()), ("r2", "swa", 10.0, "xyz", emissions(path, 5).tolist()), ("r3", "swa", 10.0, "ab b", emissions([0], 5).tolist())]
+    df = spark.createDataFrame(rows, "id string, language string, duration double, transcription string, emissions array<array<double>>")
+    made, failed = flows.aligned_pilot(df, ids, 1.0, 0.5, 20.0, 0.25)
+    assert [(r.id, r.text, r.start, r.end, r.reasons) for r in made.collect()] == [("r1", "ab b", 0.75, 9.25, [])]
+    assert {r.id for r in failed.collect()} == {"r2", "r3"}
+
+
+def test_inference_flow(spark, tmp_path):
+    chunks = spark.createDataFrame([("10", "swa", 1, "B"), ("10", "swa", 0, "a"), ("9", "som", 0, "c")], "id string, language string, place int, sound string")
+    out = flows.infer_test(chunks, lambda part: part["sound"] + "!", None, f"{tmp_path}/out.csv")
+    assert out["rows"] == 2 and (tmp_path / "out.csv").read_text().splitlines() == ["id,language,transcription", "10,swa,a b", "9,som,c"]
+    with pytest.raises(ManifestError, match="failed"):
+        flows.infer_test(chunks, lambda part: part["absent"], None, f"{tmp_path}/no.csv")
+    done = spark.createDataFrame([("10", "swa", " ")], "id string, language string, transcription string")
+    with pytest.raises(ManifestError, match="empty transcription"):
+        flows.infer_test(chunks, lambda part: part["sound"], done, f"{tmp_path}/no.csv")
+    assert not (tmp_path / "no.csv").exists()
+
+
+def test_strict_rules(spark):
+    with pytest.raises(ManifestError):
+        vocab.require_characters(spark.createDataFrame([(" ",), (None,)], "t string"), "t")
+    counts = spark.createDataFrame([("swa", 1, 4), ("som", 0, 0)], "language string, word_edits long, ref_words long")
+    with pytest.raises(ManifestError, match="som"):
+        metrics.require_macro_rate(counts, "language", ["swa", "som"])
+    assert metrics.require_macro_rate(counts, "language", ["swa"]) == 0.25
+
+
+def test_single_csv_keeps_blanks(spark, tmp_path):
+    df = spark.createDataFrame([(1, '  a "b", c \n d  '), (2, None)], "n long, t string")
+    for _ in range(2):
+        records.write_single_csv(df, f"file://{tmp_path}/one.csv")
+    assert [r.t for r in records.read_csv(spark, f"file://{tmp_path}/one.csv").orderBy("n").collect()] == ['  a "b", c \n d  ', None]
 
 
 def test_stages(tmp_path):

@@ -2,9 +2,12 @@
 
 import pytest
 
-from tamarack.queries import ORACLES, QUERIES
+from tamarack import io_queries, queries
 from tests.helpers import spark_rows, sql_rows
 
+QUERIES = queries.QUERIES | io_queries.QUERIES
+ORACLES = queries.ORACLES | io_queries.ORACLES
+
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, sf_dir, oracle, name):
