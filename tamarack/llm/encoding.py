@@ -67,6 +67,8 @@ _FIRST = """hit AS MATERIALIZED (
             SELECT r.seat, r.next, r.made FROM ranked r JOIN best b ON b.word = r.seat >> 32 AND b.least >> 32 = r.rank
             WHERE NOT r.twin OR r.seat & 4294967295 = b.least & 4294967295
         )"""
+#: Characters up to which a word's runs are too short to matter.
+RUN_WORD = 24
 _RUN = regex.compile(r"(.{1,4}?)\1{5}", regex.DOTALL)
 
 
@@ -132,8 +134,8 @@ class Encoder:
     def _chunked(self, words: set[str]) -> dict[str, list[int]]:
         """The ids of each word, by recursive queries of bounded size."""
         out: dict[str, list[int]] = {}
-        for runs in (False, True):
-            own = [w for w in words if bool(_RUN.search(w)) == runs]
+        with_runs = {w for w in words if len(w) > RUN_WORD and _RUN.search(w)}
+        for runs, own in ((False, words - with_runs), (True, with_runs)):
             sized = sorted((len(w.encode("utf-8", "surrogatepass")), w) for w in own)  # words of one length take as many steps
             chunk, rows = [], 0
             for size, w in sized:
@@ -198,7 +200,7 @@ class Encoder:
         if len(self.known) > self.keep_words:
             self.known = {}
         new = {w for ws in split for w in ws if w not in self.known}
-        long = [w for w in new if len(w.encode("utf-8", "surrogatepass")) > LONG_WORD]
+        long = [w for w in new if len(w) > LONG_WORD // 4 and len(w.encode("utf-8", "surrogatepass")) > LONG_WORD]
         known = self.known
         known.update(self._chunked(new.difference(long)))
         own = known | self._long(long) if long else known  # long words are not kept
