@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import time
+import urllib.request
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
@@ -27,6 +28,36 @@ def with_retries(work: Callable[[bool], object], attempts: int = 3, seconds: flo
     raise ManifestError(f"failed after {attempts} attempts: {last}") from last
 
 
+def download(url: str, target: str | os.PathLike, attempts: int = 3, seconds: float = 60.0, pause: float = 1.0) -> Path:
+    """The file at ``url`` as ``target``, which stands only when complete; one that stands already is kept.
+
+    A try that breaks off goes on where it stopped if the source allows it; ``seconds`` bounds each wait for data, so a source that
+    hangs ends the try itself and leaves no thread behind.
+    """
+    target = Path(target)
+    if target.exists():
+        return target
+    target.parent.mkdir(parents=True, exist_ok=True)
+    part = target.with_name(f"{target.name}.part")
+    last: BaseException | None = None
+    for number in range(attempts):
+        try:
+            have = part.stat().st_size if part.exists() else 0
+            ask = urllib.request.Request(url, headers={"Range": f"bytes={have}-"} if have else {})
+            with urllib.request.urlopen(ask, timeout=seconds) as source, part.open("ab" if have and getattr(source, "status", None) == 206 else "wb") as out:
+                wanted = source.headers.get("Content-Length")
+                before = out.tell()
+                shutil.copyfileobj(source, out, 1 << 20)
+                if wanted is not None and out.tell() - before < int(wanted):
+                    raise OSError(f"{out.tell() - before} of {wanted} bytes")
+            os.replace(part, target)
+            return target
+        except OSError as e:
+            last = e
+            time.sleep(pause * number)
+    raise ManifestError(f"{url}: {last}") from last
+
+
 def fresh(result: str | os.PathLike, *inputs: str | os.PathLike) -> bool:
     """Whether a result exists and is not older than any of its inputs."""
     made = Path(result)

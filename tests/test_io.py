@@ -308,6 +308,39 @@ def test_stretch():
     assert len(audio.stretch(np.zeros(10), 1.1)) == 10
 
 
+def test_download(tmp_path):
+    """A source that breaks off once and then goes on from the asked place."""
+    import http.server
+    import threading
+
+    body, asked = bytes(range(256)) * 40, []
+
+    class Source(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            start = int((self.headers.get("Range") or "bytes=0-")[6:-1])
+            asked.append(start)
+            self.send_response(206 if start else 200)
+            self.send_header("Content-Length", str(len(body) - start))
+            self.end_headers()
+            self.wfile.write(body[start : start + 4000] if len(asked) == 1 else body[start:])
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Source)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/a.bin"
+        for _ in range(2):
+            assert fetch.download(url, tmp_path / "in/a.bin", pause=0).read_bytes() == body
+        assert asked == [0, 4000]
+    finally:
+        server.shutdown()
+    with pytest.raises(ManifestError):
+        fetch.download(f"file://{tmp_path}/absent", tmp_path / "b.bin", attempts=2, pause=0)
+    assert not (tmp_path / "b.bin").exists()
+
+
 def test_fetch(tmp_path):
     calls = []
 
