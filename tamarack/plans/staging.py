@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table whose size nothing else bounds may be broadcast.
@@ -43,6 +43,12 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:
+    """A stage and its number of rows, counted while it is written."""
+    seen = Observation()
+    return stage(df.observe(seen, F.count(F.lit(1)).alias("n")), label), seen.get["n"]
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete this application's stages; call it when no result that reads them is needed any more."""
     jvm = spark.sparkContext._jvm

@@ -12,7 +12,7 @@ from tamarack.operators.align import align_utterances, forced_alignment
 from tamarack.operators.validate import LANGUAGES, resolve_aliases
 from tamarack.operators import metrics, vocab
 from tamarack.plans import config, flows, pipeline
-from tamarack.plans.staging import broadcast_if_small, fresh, small, stage, sweep
+from tamarack.plans.staging import broadcast_if_small, counted, fresh, small, stage, sweep
 from tamarack.sources import archive, audio, fetch, flac, records
 from tamarack.streaming.resume import run_available
 
@@ -282,6 +282,7 @@ def test_stream_keeps_rows_without_id(spark, tmp_path):
 def test_staging(spark):
     df = spark.range(10)
     assert stage(df).count() == 10 and small(df, 10) and not small(df, 9)
+    assert [counted(df.where(c))[1] for c in ("id < 4", "id < 0")] == [4, 0] and counted(df.groupBy("id").count())[0].count() == 10
     assert "broadcast" in broadcast_if_small(df)._jdf.queryExecution().logical().toString().lower()
     assert fresh("u", ["U", "_u"]) == "__u"
     sweep(spark)
