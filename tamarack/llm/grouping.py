@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import label, stripped
-from ..plans.staging import broadcast_if_small, small, stage
+from ..plans.staging import BROADCAST_ROWS, broadcast_if_small, counted, stage
 from .sampling import draw
 
 
@@ -70,21 +70,24 @@ def contract(edges: DataFrame) -> DataFrame:
     minimum combined on the map side.
     """
     moves, turn = [], 0
-    edges = stage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges, count = counted(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     vertices = edges.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-    while not edges.isEmpty():
+    while count:
         turn += 1
         both = edges.union(edges.select("b", "a"))
         move = both.where(~coin(F.col("a"), turn) & coin(F.col("b"), turn)).groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("into"))
-        move = stage(move, "moves")
-        if small(move):
-            move, hubs = F.broadcast(move), None
+        move, moved = counted(move, "moves")
+        if not moved:
+            continue
+        hubs = None
+        if moved <= BROADCAST_ROWS:
+            move = F.broadcast(move)
         else:
             degree = both.groupBy(F.col("a").alias("vertex")).agg(F.count(F.lit(1)).alias("n"))
             hubs = stage(degree.where(F.col("n") > HUB).select("vertex").join(move, "vertex", "left"), "hubs")
         moves.append(move)
         renamed = renamed_ends(renamed_ends(edges, "a", move, hubs), "b", move, hubs).where("a <> b").toDF("x", "y")
-        edges = stage(renamed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        edges, count = counted(renamed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     labels = vertices.select("vertex", F.col("vertex").alias("component"))
     for number, move in enumerate(moves, 1):  # a vertex follows the moves in the order in which they were made
         step = move.select(F.col("vertex").alias("component"), "into")

@@ -445,7 +445,7 @@ def test_hubs_are_renamed_apart(spark, monkeypatch):
     rng = random.Random(8)
     edges = [(0, k) for k in range(1, 80)] + [(rng.randrange(80, 200), rng.randrange(80, 200)) for _ in range(70)]
     monkeypatch.setattr(grouping, "HUB", 20)
-    monkeypatch.setattr(grouping, "small", lambda df: False)
+    monkeypatch.setattr(grouping, "BROADCAST_ROWS", 0)
     got = {r.vertex: r.component for r in grouping.contract(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = brute_components([e for e in edges if e[0] != e[1]])
     assert len({(got[x], want[x]) for x in got}) == len(set(want.values())) == len(set(got.values()))
