@@ -44,19 +44,19 @@ def goals(observed: DataFrame, targets: DataFrame, categories: list[str], fracti
     plan = plan.withColumn("goal", F.greatest(whole, F.col("min_rows")))
     plan = plan.withColumn("taken", F.least("goal", "observed"))
     return plan.select(
-        *categories, "target_share", "min_rows", "observed", "need", "goal", "taken"
+        *categories, "target_share", "min_rows", "observed", "ideal", "need", "goal", "taken"
     )
 
 
 def filled(plan: DataFrame, categories: list[str]) -> DataFrame:
     """The plan with the rows that short categories lack given to those that have more, in proportion to their targets.
 
-    Each gets share x level up to what it has; the level is where the given rows make up the lack. The targets are few, so
+    The sample then has its full size, or more where minimum rows ask for more. Each gets share x level up to what it has; the level is where the given rows make up the lack. The targets are few, so
     ordered passes over them are cheap. Without enough rows in all, every category gives what it has.
     """
     every = Window.partitionBy()
     share = F.greatest("target_share", F.lit(0.0))
-    rows = plan.withColumn("_spare", F.when(share > 0, F.col("observed") - F.col("taken")).otherwise(0)).withColumn("_lack", F.sum(F.col("goal") - F.col("taken")).over(every))
+    rows = plan.withColumn("_spare", F.when(share > 0, F.col("observed") - F.col("taken")).otherwise(0)).withColumn("_lack", F.greatest(F.round(F.sum("ideal").over(every)).cast("long") - F.sum("taken").over(every), F.lit(0)))
     order = Window.orderBy(F.when(share > 0, F.col("_spare") / share).otherwise(0.0), *categories)
     before, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     level = F.try_divide(F.col("_lack") - F.coalesce(F.sum("_spare").over(before), F.lit(0)), F.sum(share).over(later))
