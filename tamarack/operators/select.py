@@ -71,7 +71,8 @@ def weighted_draws(df: DataFrame, weights: DataFrame, key: str, draws: int, seed
     spans = spans.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("language")), F.lit(0.0)))
 
     def uniform(salt: int) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(F.lit(seed * 2 + salt), F.col("draw")), 11).cast("double") / F.lit(2.0**53)
+        digits = F.substring(F.sha2(F.concat(F.lit(f"{seed}-{salt}\x00"), F.col("draw").cast("string")), 256), 1, 12)
+        return F.conv(digits, 16, 10).cast("double") / F.lit(2.0**48)
 
     numbers = df.sparkSession.range(draws).toDF("draw").withColumn("u", uniform(0)).withColumn("v", uniform(1))
     placed = numbers.join(broadcast_if_small(spans), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))

@@ -695,11 +695,19 @@ def balance_weights(spark, d):
     return select.balance_weights(rows).select("language", "n_rows", F.round("hours", 6).alias("hours"), F.round("weight", 9).alias("weight"))
 
 
-@query()
+@query(
+    f"""WITH {_CLIPS}, r AS (SELECT row_id, language, duration FROM clips WHERE split = 'train' AND duration IS NOT NULL AND language IN {_LANGS}),
+  w AS (SELECT language, count(*) AS n_rows, sqrt(sum(duration) / 3600) AS mass FROM r GROUP BY language),
+  h AS (SELECT *, sum(mass) OVER (ORDER BY language) / sum(mass) OVER () AS hi FROM w), s AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY language), 0) AS lo FROM h),
+  d AS (SELECT i AS draw, ('0x' || substr(sha256('3-0' || chr(0) || i), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u, ('0x' || substr(sha256('3-1' || chr(0) || i), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS v
+    FROM range(0, (SELECT count(*) FROM r)) t(i)),
+  p AS (SELECT draw, language, floor(v * n_rows)::BIGINT + 1 AS place FROM d JOIN s ON u >= lo AND u < hi), k AS (SELECT row_id, language, row_number() OVER (PARTITION BY language ORDER BY row_id) AS place FROM r)
+  SELECT language, row_id, count(*) AS draws FROM p JOIN k USING (language, place) GROUP BY ALL"""
+)
 def balanced_draws(spark, d):
     rows = clips(spark, d).where(F.col("split").eqNullSafe("train") & F.col("duration").isNotNull() & F.col("language").isin(*validate.LANGUAGES))
     weights = stage(select.balance_weights(rows), "weights")
-    return select.weighted_draws(rows, weights, "row_id", rows.count()).groupBy("language").agg(F.count(F.lit(1)).alias("draws"))
+    return select.weighted_draws(rows, weights, "row_id", rows.count()).groupBy("language", "row_id").agg(F.count(F.lit(1)).alias("draws"))
 
 
 @query(
