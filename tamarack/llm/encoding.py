@@ -219,12 +219,16 @@ class Encoder:
         return [bytes.fromhex(found.get(k, "")).decode("utf-8", "surrogatepass") for k in range(len(ids))]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker process, whose known words serve one task after the other."""
+    return Encoder(path)
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(path)
-            ids = encoder.encode(batch.column(1).to_pylist())
+            ids = encoder_of(path).encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
@@ -242,7 +246,7 @@ def encoded(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids = encoder.encode(texts)
