@@ -195,6 +195,18 @@ ORACLES: dict[str, str] = {
     "p2_clips": f"""SELECT min(row_id) AS row_id, count(*) AS copies FROM (SELECT row_id, {_label('language')} AS language, {_letters('transcription')} AS letters FROM manifest)
       WHERE letters <> '' GROUP BY language, letters""",
     "p3_found": f"WITH {_SAMPLE} SELECT language, subtype FROM t LEFT JOIN o USING (language, subtype), half WHERE coalesce(observed, 0) < greatest(min_rows, target_share * half)",
+    "p3_report": f"""WITH {_SAMPLE}, a AS (SELECT language, subtype, sum(target_share) AS target_share, max(min_rows) AS min_rows FROM t GROUP BY ALL),
+      i AS (SELECT a.*, coalesce(observed, 0) AS observed, target_share * half AS ideal FROM a LEFT JOIN o USING (language, subtype), half),
+      g AS (SELECT *, greatest(floor(ideal)::BIGINT + (row_number() OVER (ORDER BY ideal - floor(ideal) DESC, language, subtype) <= round(sum(ideal) OVER () - sum(floor(ideal)) OVER ()))::BIGINT, min_rows) AS goal FROM i),
+      k AS (SELECT *, least(goal, observed) AS sampled, CASE WHEN target_share > 0 THEN observed - least(goal, observed) ELSE 0 END AS spare,
+        greatest(round(sum(ideal) OVER ())::BIGINT - sum(least(goal, observed)) OVER (), 0) AS lack FROM g),
+      l AS (SELECT *, (lack - coalesce(sum(spare) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(target_share) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+        FROM k WINDOW w AS (ORDER BY CASE WHEN target_share > 0 THEN spare / target_share ELSE 0 END, language, subtype)),
+      e AS (SELECT *, floor(least(spare, max(level) OVER () * target_share)) AS extra, least(spare, max(level) OVER () * target_share) AS wish FROM l),
+      f AS (SELECT *, sampled + extra::BIGINT + (extra < spare AND row_number() OVER (ORDER BY CASE WHEN extra < spare THEN wish - extra ELSE -1 END DESC, language, subtype)
+        <= least(lack, sum(spare) OVER ()) - sum(extra) OVER ())::BIGINT AS filled FROM e)
+      SELECT language, subtype, target_share, min_rows, observed, goal, sampled, goal - sampled AS deficit, sampled = observed AND sampled < greatest(ideal, min_rows) AS short,
+        sampled / sum(sampled) OVER () AS reached_share, filled, filled / sum(filled) OVER () AS filled_share FROM f""",
     "p4_found": f"WITH {_MIX} SELECT dataset, language FROM plan LEFT JOIN supply USING (dataset, language), total WHERE coalesce(supply, 0) * max_repeats < target_share * total",
     "p2_found": f"""WITH {_WORDS}
       SELECT a.origin, a.k AS key_a, b.k AS key_b FROM w a JOIN w b ON a.origin = b.origin AND a.w = b.w AND a.k < b.k""",
