@@ -25,7 +25,9 @@ def file_name_key(path: Column) -> Column:
     )
     joined = F.array_join(F.when(F.contains(bare, F.lit("..")), up).otherwise(steps), "/")
     root = F.when(F.startswith(bare, F.lit("/")), F.lit("/")).otherwise(F.lit(""))
-    return F.when((joined != "") & (joined != "unknown"), F.concat(root, joined))
+    whole = F.when(joined != "", F.concat(root, joined))
+    # Most paths have no step to resolve, which one look tells.
+    return F.nullif(F.when(F.rlike(bare, F.lit(r"(^|/)\.{0,2}(/|$)")), whole).otherwise(bare), F.lit("unknown"))
 
 
 def real_id(value: Column) -> Column:
