@@ -127,6 +127,12 @@ def require_train(df: DataFrame) -> None:
         raise ManifestError("an additional manifest may hold train rows only")
 
 
+def require_columns(df: DataFrame, names: tuple[str, ...]) -> None:
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ManifestError(f"missing columns: {', '.join(missing)}")
+
+
 def submission_problems(frame: DataFrame, expected: DataFrame, languages=LANGUAGES) -> DataFrame:
     """One row (``check_no``, ``problem``, ``n_rows``) per failed check of a submission, in the order they are made.
 

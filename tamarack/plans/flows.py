@@ -91,6 +91,7 @@ def infer_test(
     Ids with a result in ``done`` (id, language, transcription) are not worked out again. Chunks of an id are joined in order; any failure
     or problem of the submission is an error that names it, and nothing is written.
     """
+    validate.require_columns(chunks, ("id", "language", "place"))
     expected = stage(chunks.select(F.col("id").cast("string").alias("id"), "language").distinct(), "expected")
     pending = (chunks if done is None else not_done(chunks, done, "id")).withColumn("_key", F.concat_ws("\x00", F.col("id").cast("string"), F.col("place").cast("string")))
     heard = stage(decode.infer(pending, fn, "_key"), "heard")

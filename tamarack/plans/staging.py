@@ -11,10 +11,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[str] = []
+
 #: Rows up to which a table whose size nothing else bounds may be broadcast.
 BROADCAST_ROWS = 20_000
 
@@ -32,7 +36,9 @@ def stage_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A path of its own among this application's stages."""
-    return f"{stage_root(spark)}/tamarack-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/tamarack-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -49,11 +55,27 @@ def counted(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:
     return stage(df.observe(seen, F.count(F.lit(1)).alias("n")), label), seen.get["n"]
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete this application's stages; call it when no result that reads them is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{stage_root(spark)}/tamarack-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{stage_root(spark)}/tamarack-{spark.sparkContext.applicationId}")
+    _made.clear()
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Delete the stages made inside once it is left; write or collect results inside, since they read their stages."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            _delete(spark, path)
+        del _made[before:]
 
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:

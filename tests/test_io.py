@@ -12,7 +12,7 @@ from tamarack.operators.align import align_utterances, forced_alignment
 from tamarack.operators.validate import LANGUAGES, resolve_aliases
 from tamarack.operators import metrics, vocab
 from tamarack.plans import config, flows, pipeline
-from tamarack.plans.staging import broadcast_if_small, counted, fresh, small, stage, sweep
+from tamarack.plans.staging import broadcast_if_small, counted, fresh, small, stage, sweep, swept
 from tamarack.sources import archive, audio, fetch, flac, records
 from tamarack.streaming.resume import run_available
 
@@ -216,6 +216,8 @@ def test_inference_flow(spark, tmp_path):
     done = spark.createDataFrame([("10", "swa", " ")], "id string, language string, transcription string")
     with pytest.raises(ManifestError, match="empty transcription"):
         flows.infer_test(chunks, lambda part: part["sound"], done, f"{tmp_path}/no.csv")
+    with pytest.raises(ManifestError, match="place"):
+        flows.infer_test(chunks.drop("place"), lambda part: part["sound"], None, f"{tmp_path}/no.csv")
     assert not (tmp_path / "no.csv").exists()
 
 
@@ -285,6 +287,13 @@ def test_staging(spark):
     assert [counted(df.where(c))[1] for c in ("id < 4", "id < 0")] == [4, 0] and counted(df.groupBy("id").count())[0].count() == 10
     assert "broadcast" in broadcast_if_small(df)._jdf.queryExecution().logical().toString().lower()
     assert fresh("u", ["U", "_u"]) == "__u"
+    kept = stage(df, "kept")
+    with swept(spark):
+        gone = stage(df, "gone")
+        assert gone.count() == 10
+    assert kept.count() == 10
+    with pytest.raises(Exception):
+        spark.read.parquet(gone.inputFiles()[0]).count()
     sweep(spark)
 
 
