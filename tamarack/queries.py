@@ -675,7 +675,7 @@ def topk_per_language(spark, d):
   FROM clips WHERE split = 'train' AND duration IS NOT NULL AND source_shard IS NOT NULL) SELECT row_id, language FROM b WHERE before < 7200.0005"""
 )
 def budget_prefix(spark, d):
-    rows = clips(spark, d).where("split = 'train' AND duration IS NOT NULL AND source_shard IS NOT NULL")
+    rows = clips(spark, d).where("split = 'train' AND duration IS NOT NULL AND source_shard IS NOT NULL").select("row_id", "language", "source_shard", "duration")
     return select.budget_prefix(rows, ["language"], ["source_shard", "row_id"], "duration", 7200.0005).select("row_id", "language")
 
 
@@ -726,7 +726,7 @@ def balanced_draws(spark, d):
   SELECT row_id, (p <= 40)::BIGINT + 2 * (p <= 20)::BIGINT + (bonus AND x <= 15)::BIGINT AS uses FROM r WHERE (p <= 40)::BIGINT + 2 * (p <= 20)::BIGINT + (bonus AND x <= 15)::BIGINT > 0"""
 )
 def quota_harvest(spark, d):
-    rows = clips(spark, d).where("duration IS NOT NULL AND source_shard IS NOT NULL")
+    rows = clips(spark, d).where("duration IS NOT NULL AND source_shard IS NOT NULL").select("row_id", "language", "subtype", "source_shard", "duration")
     return select.quota_harvest(rows, ["language", "subtype"], ["source_shard", "row_id"], 40, 2, F.col("duration") > 30, 15).select("row_id", "uses")
 
 
