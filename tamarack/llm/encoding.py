@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import sliced
+
 #: Where the vocabulary lies; a parameter of every function here, never copied.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The published pattern that splits a text into words before the merges (fixed value).
@@ -227,7 +229,7 @@ def encoder_of(path: str) -> Encoder:
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids = encoder_of(path).encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -247,7 +249,7 @@ def encoded(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             texts = batch.column(1).to_pylist()
             ids = encoder.encode(texts)
             same = [a == (b or "") for a, b in zip(encoder.decode(ids), texts, strict=True)]

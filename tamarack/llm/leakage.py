@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import sliced
 from .letters import letter_places, letters
 
 #: Share of an item's letters that one stretch must hold, and changes allowed in the stretch.
@@ -268,7 +269,7 @@ def _items(token: str, shared) -> ItemSet:
 def _scan(shared, token: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _items(token, shared)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             texts = batch.column(1).to_pylist()
             distinct = list(dict.fromkeys(texts))
             leaks = dict(zip(distinct, leaks_in(distinct, items), strict=True))

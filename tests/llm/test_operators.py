@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tamarack.llm import copies, encoding, grouping, leakage, letters, lookalike, mixing, overlap, pairs, percentiles, sampling, sentences
+from tamarack.llm import batches, copies, encoding, grouping, leakage, letters, lookalike, mixing, overlap, pairs, percentiles, sampling, sentences
 from tamarack.llm.queries import ORACLES, QUERIES
 from tests.helpers import spark_rows, sql_rows
 
@@ -506,6 +506,16 @@ def test_encoding_matches_the_public_library(spark):
     assert encoding.encoded(df.limit(0)).count() == 0
 
 
+def test_batches_are_cut_by_their_text():
+    import pyarrow as pa
+
+    texts = ["a", None, "bb", "ccc", "", "d" * 50, "e", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["k", "t"])
+    parts = [p.column(1).to_pylist() for p in batches.sliced(iter([batch, batch.slice(0, 0)]), 1, 4)]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) == 1 or sum(len(t or "") for t in p) <= 4 for p in parts) and len(parts) == 4
+
+
 def test_very_long_words_match_the_public_library():
     tokenizers = pytest.importorskip("tokenizers")
     model = tokenizers.Tokenizer.from_file(encoding.VOCABULARY)
