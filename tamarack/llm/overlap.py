@@ -16,9 +16,11 @@ from ..plans.staging import broadcast_if_small, stage
 from .letters import letters_of
 from .pairs import crossed, key_blocks
 
-#: Kinds of bands: letters of a shingle, letters of the stretches in which it counts as another one (0: anywhere in the text), bands, minhashes in each.
-#: Shingles that hold their rough place tell unrelated texts apart with few letters, so many edits may fall between them; the first kind finds moved texts.
-SCHEMES = ((4, 0, 8, 4), (3, 16, 32, 3))
+#: Kinds of bands: letters of a shingle, letters of the stretches in which it counts as another one (counted from the text's end if
+#: below 0, the same anywhere in the text if 0), bands, minhashes in each.
+#: Shingles that hold their rough place tell unrelated texts apart with few letters, so many edits may fall between them; places from
+#: either end find texts with a part put in front or behind, the first kind those with a part put in elsewhere.
+SCHEMES = ((4, 0, 4, 4), (3, 16, 18, 3), (3, -16, 18, 3))
 #: The bands where shingles alone decide.
 PLAIN = ((4, 0, 32, 4),)
 #: Letters of a shingle where texts are verified.
@@ -70,12 +72,16 @@ def band_keys(texts: list[str], salt: np.ndarray, schemes=PLAIN) -> np.ndarray:
     at = row = 0
     for n, stretch, bands, rows in schemes:
         hashes, starts = shingle_hashes(texts, n)
-        place = (np.arange(len(hashes)) - np.repeat(starts, np.diff(starts, append=len(hashes)))).astype(np.uint32) if stretch else None
+        counts = np.diff(starts, append=len(hashes))
+        place = np.arange(len(hashes)) - np.repeat(starts, counts)
+        if stretch < 0:
+            place = np.repeat(counts, counts) - 1 - place
+        place, width = place.astype(np.uint32), abs(stretch)
         scratch = np.empty_like(hashes)
         for b in range(bands):
             own = hashes
             if stretch:
-                own = (hashes ^ ((place + np.uint32(b * stretch // bands)) // np.uint32(stretch) * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F)
+                own = (hashes ^ ((place + np.uint32(b * width // bands)) // np.uint32(width) * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F)
                 own ^= own >> np.uint32(15)
             for _ in range(rows):
                 np.bitwise_xor(own, _SEEDS[0, row], out=scratch)
