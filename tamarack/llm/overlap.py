@@ -233,10 +233,11 @@ def split_overlaps(df: DataFrame, key: str, split: str, group: str, text: str, *
     near = near_classes(classes, **how)
     same = classes.where("train AND held").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     confirmed = stage(near.unionByName(same), "confirmed")
-    # Rows of the confirmed texts: found by the text, so no row-to-class table is kept for the others.
+    # Rows of the confirmed texts: found by 128 bits of the text, so neither a row-to-class table of the others nor the texts are shuffled.
     named = confirmed.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = classes.join(broadcast_if_small(named), "rep", "left_semi").select("grp", "text", "rep")
-    members = stage(rows.join(broadcast_if_small(wanted), ["grp", "text"]).select("key", "train", "rep"), "members")
+    bits = [F.xxhash64("grp", "text").alias("h"), F.xxhash64(F.lit(1), "text", "grp").alias("i")]
+    wanted = classes.join(broadcast_if_small(named), "rep", "left_semi").select(*bits, "rep")
+    members = stage(rows.select(*bits, "key", "train").join(broadcast_if_small(wanted), ["h", "i"]).select("key", "train", "rep"), "members")
     # Members in blocks, so that the pairs of two large classes are expanded by many tasks.
     blocks = stage(key_blocks(members, ["rep", "train"], "key", "keys"), "blocks")
     train = blocks.where("train").select(F.col("rep").alias("a"), F.col("keys").alias("xs"))
