@@ -7,6 +7,7 @@ of an executor, cuts the lineage and lets several consumers share one pass.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -55,6 +56,12 @@ def counted(df: DataFrame, label: str = "stage") -> tuple[DataFrame, int]:
     return stage(df.observe(seen, F.count(F.lit(1)).alias("n")), label), seen.get["n"]
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of plans that nothing refers to any more deleted now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

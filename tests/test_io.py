@@ -12,7 +12,7 @@ from tamarack.operators.align import align_utterances, forced_alignment
 from tamarack.operators.validate import LANGUAGES, resolve_aliases
 from tamarack.operators import metrics, vocab
 from tamarack.plans import config, flows, pipeline
-from tamarack.plans.staging import broadcast_if_small, counted, fresh, small, stage, sweep, swept
+from tamarack.plans.staging import broadcast_if_small, counted, fresh, release, small, stage, sweep, swept
 from tamarack.sources import archive, audio, fetch, flac, records
 from tamarack.streaming.resume import run_available
 
@@ -291,6 +291,7 @@ def test_staging(spark):
     with swept(spark):
         gone = stage(df, "gone")
         assert gone.count() == 10
+    release(spark)
     assert kept.count() == 10
     with pytest.raises(Exception):
         spark.read.parquet(gone.inputFiles()[0]).count()
