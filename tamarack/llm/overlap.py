@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import edit_distance
 from ..functions.labels import label
-from ..plans.staging import broadcast_if_small, stage
+from ..plans.staging import broadcast_if_small, release, stage
 from .letters import letters_of
 from .pairs import crossed, key_blocks
 
@@ -216,7 +216,8 @@ def near_classes(classes: DataFrame, schemes=SCHEMES, jaccard: float = JACCARD,
     is verified on whole texts: by edit distance, or by ``jaccard`` if ``edits``
     is None. Pairs of at most ``SHORT`` letters are all found if ``edits`` is given.
     """
-    cand = bucket_pairs(classes, schemes, edits)
+    cand = stage(bucket_pairs(classes, schemes, edits), "candidates")
+    release(classes.sparkSession)  # the keys' shuffle files, before texts are shuffled
     pairs = cand.join(classes.where("held").select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
     pairs = pairs.join(classes.where("train").select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
     return pairs.select("a", "b", "x", "y").mapInArrow(_verify(jaccard, edits), "a long, b long")
