@@ -237,6 +237,7 @@ def split_overlaps(df: DataFrame, key: str, split: str, group: str, text: str, *
     rows = stage(rows, "letters")
     classes = rows.groupBy("grp", "text").agg(F.min("key").alias("rep"), F.bool_or("train").alias("train"), F.bool_or(~F.col("train")).alias("held"))
     classes = stage(classes.withColumn("salt", F.xxhash64("grp")), "classes")
+    release(df.sparkSession)
     near = near_classes(classes, **how)
     same = classes.where("train AND held").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     confirmed = stage(near.unionByName(same), "confirmed")
