@@ -119,7 +119,7 @@ def block_keys(text: str, salt: int, edits: float, indexed: bool) -> set[int]:
     return keys
 
 
-def _band_batches(schemes, edits: float | None, indexed: bool):
+def _band_batches(schemes, edits: float | None, indexed: bool, blocks_too: bool):
     alone = 0 if edits is None else int(SHORT * (1 - edits))  # texts up to here only match texts that the blocks find
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,7 @@ def _band_batches(schemes, edits: float | None, indexed: bool):
                 long = np.flatnonzero(length > alone)
                 for i, keys in zip(long.tolist(), band_keys([texts[i] for i in long], salt[long], schemes), strict=True):
                     each[i] = keys
-                for i in np.flatnonzero(length <= SHORT).tolist() if edits is not None else ():
+                for i in np.flatnonzero(length <= SHORT).tolist() if edits is not None and blocks_too else ():
                     blocks = block_keys(texts[i], int(salt[i]), edits, indexed)
                     each[i] = np.concatenate([each[i], np.fromiter(blocks, np.int64, len(blocks))])
                 offsets = np.cumsum([0, *map(len, each)]).astype(np.int32)
@@ -172,13 +172,13 @@ def _verify(jaccard: float, edits: float | None):
     return run
 
 
-def bucket_pairs(classes: DataFrame, schemes, edits: float | None) -> DataFrame:
-    """Candidates (``a`` of train, ``b`` held out): all pairs that share a bucket, each once.
+def bucket_pairs(classes: DataFrame, schemes, edits: float | None, blocks_too: bool = True) -> DataFrame:
+    """Candidates (``a`` of train, ``b`` held out): all pairs that share a bucket of these bands (or of the short texts' blocks), each once.
 
     A bucket that a sample shows to be hot is cut into parts on both sides, which meet in tasks of their own.
     """
     def banded(side: str, rows: DataFrame) -> DataFrame:
-        own = rows.where(side).select("rep", "text", "salt").mapInArrow(_band_batches(schemes, edits, side == "train"), "rep long, length int, keys array<long>")
+        own = rows.where(side).select("rep", "text", "salt").mapInArrow(_band_batches(schemes, edits, side == "train", blocks_too), "rep long, length int, keys array<long>")
         return own.select(F.explode("keys").alias("key"), "rep", "length")
 
     sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0)
@@ -216,8 +216,11 @@ def near_classes(classes: DataFrame, schemes=SCHEMES, jaccard: float = JACCARD,
     is verified on whole texts: by edit distance, or by ``jaccard`` if ``edits``
     is None. Pairs of at most ``SHORT`` letters are all found if ``edits`` is given.
     """
-    cand = stage(bucket_pairs(classes, schemes, edits), "candidates")
-    release(classes.sparkSession)  # the keys' shuffle files, before texts are shuffled
+    cand = None
+    for number in range(0, len(schemes), 2):  # a few bands at a time, each round's keys released before the next are shuffled
+        part = stage(bucket_pairs(classes, schemes[number : number + 2], edits, not number), "candidates")
+        cand = part if cand is None else cand.unionByName(part).distinct()
+        release(classes.sparkSession)
     pairs = cand.join(classes.where("held").select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
     pairs = pairs.join(classes.where("train").select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
     return pairs.select("a", "b", "x", "y").mapInArrow(_verify(jaccard, edits), "a long, b long")
@@ -237,7 +240,6 @@ def split_overlaps(df: DataFrame, key: str, split: str, group: str, text: str, *
     rows = stage(rows, "letters")
     classes = rows.groupBy("grp", "text").agg(F.min("key").alias("rep"), F.bool_or("train").alias("train"), F.bool_or(~F.col("train")).alias("held"))
     classes = stage(classes.withColumn("salt", F.xxhash64("grp")), "classes")
-    release(df.sparkSession)
     near = near_classes(classes, **how)
     same = classes.where("train AND held").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     confirmed = stage(near.unionByName(same), "confirmed")
