@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import label, usable_seconds
-from ..plans.staging import fresh, small, stage
+from ..plans.staging import BROADCAST_ROWS, fresh, stage
 from .grouping import file_name_key
 
 PROBABILITIES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-#: Intervals up to which a pass broadcasts them (about 100 bytes each), and the parts of each group that join them beyond.
+#: Intervals up to which a pass broadcasts them (about 300 bytes each), and the parts of each group that join them beyond.
+#: Joins of more are hinted to be by shuffles: the planner goes by the size of a stage's compressed files, which is far below what a broadcast takes.
 SPANS, PARTS = 100_000, 64
 
 
@@ -92,27 +93,28 @@ def percentiles(
     ties and repeated rows count as often as they occur. Extra columns of
     ``pieces`` are not read.
     """
-    rank, lo, hi, below, cell = (fresh(x, groups) for x in ("rank", "lo", "hi", "below", "cell"))
+    rank, lo, hi, below, cell, at, found = (fresh(x, groups) for x in ("rank", "lo", "hi", "below", "cell", "at", "found"))
     counts = stage(pieces.select(*groups, "ordinal", "n"), "values")
     totals = stage(
         counts.groupBy(*groups).agg(F.sum("n").alias("n"), F.min("ordinal").alias(lo), F.max("ordinal").alias(hi)),
         "totals",
     )
-    place = (F.col("n") - 1) * F.col("percentile")
-    wanted = totals.withColumn("percentile", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-    wanted = wanted.withColumn("low_rank", F.floor(place)).withColumn("share", place - F.floor(place))
-    ranks = F.explode(F.array_distinct(F.array(F.col("low_rank"), F.least(F.col("low_rank") + 1, F.col("n") - 1))))
-    state = wanted.select(*groups, ranks.alias(rank), lo, hi, F.lit(0).cast("long").alias(below)).distinct()
+    places = [(F.col("n") - 1) * F.lit(float(p)) for p in probabilities]
+    lows = [F.floor(x) for x in places]
+    highs = [F.least(x + 1, F.col("n") - 1) for x in lows]
+    ranks = F.explode(F.array_distinct(F.array(*lows, *highs)))
+    state = totals.select(*groups, "n", ranks.alias(rank), lo, hi, F.lit(0).cast("long").alias(below))
     state = stage(state, "intervals")
     while not state.where(F.col(hi) > F.col(lo)).isEmpty():
         spans = state.where(F.col(hi) > F.col(lo)).select(*groups, lo, hi).distinct()
         own, extra = counts, F.lit(True)
-        if small(spans, SPANS):
+        held = spans.limit(SPANS + 1).count()
+        if held <= SPANS:
             spans = F.broadcast(spans)
         else:  # in parts, as one group may hold most rows
             part = fresh("part", groups)
             own = counts.withColumn(part, F.pmod(F.xxhash64("ordinal"), F.lit(PARTS)))
-            spans = spans.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+            spans = spans.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).hint("merge")
             extra = own[part] == spans[part]
         near = F.col(hi).cast("double") - F.col(lo).cast("double") < F.lit(2.0**52)
         width = F.when(near, F.expr(f"({hi} - {lo}) div {1 << halvings} + 1").cast("double")).otherwise(
@@ -130,6 +132,8 @@ def percentiles(
         upto = Window.partitionBy(*groups, lo).orderBy(cell).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cells = cells.withColumn("upto", F.sum("in_cell").over(upto))
         open_ = state.where(F.col(hi) > F.col(lo))
+        few = held <= min(SPANS, BROADCAST_ROWS // (2 * len(probabilities)))  # so many ranks an interval has at most
+        open_ = F.broadcast(open_) if few else open_.hint("merge")
         after = F.col(below) + F.col("upto")
         narrowed = open_.join(
             cells,
@@ -138,25 +142,26 @@ def percentiles(
             & (open_[rank] >= open_[below] + cells["upto"] - cells["in_cell"]),
         ).select(
             *[open_[g] for g in groups],
+            "n",
             rank,
             F.col("first").alias(lo),
             F.col("last").alias(hi),
             (after - F.col("in_cell")).alias(below),
         )
         state = stage(state.where(F.col(hi) <= F.col(lo)).unionByName(narrowed), "intervals")
-    at = state.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col(rank).alias("_rank"), from_ordinal(F.col(lo)).alias("_at"))
-    low, high = at.alias("low"), at.alias("high")
-
-    def on(side: str, want: Column) -> Column:
-        cond = F.col(f"{side}._rank") == want
-        for g in groups:
-            cond = cond & F.col(g).eqNullSafe(F.col(f"{side}._{g}"))
-        return cond
-
-    out = wanted.join(low, on("low", F.col("low_rank")))
-    out = out.join(high, on("high", F.least(F.col("low_rank") + 1, F.col("n") - 1)))
-    value = F.col("low._at") + (F.col("high._at") - F.col("low._at")) * F.col("share")
-    return out.select(*groups, "percentile", "n", value.alias("value"))
+    # Both neighbours of every percentile are picked out of a group's ranks by one aggregation; nothing is joined.
+    state = state.withColumn(at, from_ordinal(F.col(lo)))
+    picked = [
+        F.struct(
+            F.lit(float(p)).alias("percentile"),
+            (place - low).alias("share"),
+            *[F.max(F.when(F.col(rank) == want, F.col(at))).alias(side) for side, want in (("low", low), ("high", high))],
+        )
+        for p, place, low, high in zip(probabilities, places, lows, highs, strict=True)
+    ]
+    out = state.groupBy(*groups, "n").agg(F.array(*picked).alias(found)).withColumn(found, F.explode(found))
+    low, high, share = (F.col(f"{found}.{x}") for x in ("low", "high", "share"))
+    return out.select(*groups, f"{found}.percentile", "n", (low + (high - low) * share).alias("value"))
 
 
 def clip_pieces(manifest: DataFrame, mantissa_bits: int = 52) -> DataFrame:

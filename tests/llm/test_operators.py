@@ -59,6 +59,23 @@ def test_many_groups_join_in_parts(spark, monkeypatch):
     assert percentiles.percentiles(rows, ["g"]).orderBy("g", "percentile").collect() == want
 
 
+def test_many_groups_are_not_sent_to_the_driver(spark, monkeypatch):
+    df = spark.range(600).select((F.col("id") % 5).alias("g"), F.sin("id").alias("v"))
+    rows = percentiles.value_rows(df, {"g": F.col("g")}, F.col("v"))
+    want = percentiles.percentiles(rows, ["g"]).orderBy("g", "percentile").collect()
+    plans, stage = [], percentiles.stage
+
+    def seen(df, *how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, *how)
+
+    monkeypatch.setattr(percentiles, "stage", seen)
+    monkeypatch.setattr(percentiles, "SPANS", 0)  # the small files of a stage tell nothing of its rows
+    out = percentiles.percentiles(rows, ["g"])
+    assert not any("Broadcast" in p for p in [*plans, out._jdf.queryExecution().executedPlan().toString()])
+    assert out.orderBy("g", "percentile").collect() == want
+
+
 def test_pieces_combine(spark):
     df = spark.createDataFrame([("a", d, float((i * 37) % 101)) for i, d in enumerate([1, 2, 3] * 40)], "g string, day int, v double")
 
