@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import edit_distance
@@ -21,6 +22,8 @@ from .pairs import crossed, key_blocks
 #: Shingles that hold their rough place tell unrelated texts apart with few letters, so many edits may fall between them; places from
 #: either end find texts with a part put in front or behind, the first kind those with a part put in elsewhere.
 SCHEMES = ((4, 0, 4, 4), (3, 16, 20, 3), (3, -16, 20, 3))
+#: Bands whose keys are shuffled at once.
+ROUND = 12
 #: The bands where shingles alone decide.
 PLAIN = ((4, 0, 32, 4),)
 #: Letters of a shingle where texts are verified.
@@ -59,18 +62,46 @@ def shingle_hashes(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.n
     return h[keep[: len(h)]], np.concatenate([[0], np.cumsum(padded - n + 1)[:-1]]).astype(np.int64)
 
 
-def band_keys(texts: list[str], salt: np.ndarray, schemes=PLAIN) -> np.ndarray:
-    """One 48-bit bucket key per text and band; ``salt`` keeps groups apart.
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """Two longs per text that hold, in four bits each, how often each of 32 classes of letters occurs, by 16."""
+    sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    cells = np.repeat(np.arange(len(texts)) * 32, sizes) + (codes & np.uint32(31))
+    counts = (np.bincount(cells, minlength=32 * len(texts)) & 15).astype(np.uint64).reshape(-1, 2, 16)
+    return (counts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
+def counts_apart(pairs: list[tuple[str, str]]) -> Column:
+    """By how much the counts of the letters of two texts differ at least, in all; ``pairs``: the columns of ``letter_counts`` of either.
+
+    An edit changes this by at most 2. Eight counts at a time, one in a byte; the bytes are summed by a remainder, which can only be too small.
+    """
+    low, eights = 0x0F0F0F0F0F0F0F0F, 0x0808080808080808
+    each = []
+    for x, y in pairs:
+        for shift in (0, 4):
+            own, other = (f"(shiftrightunsigned({c}, {shift}) & {low}L)" for c in (x, y))
+            apart = f"(({own} + {low + 0x0101010101010101}L - {other}) & {low}L)"
+            back = f"({apart} & {eights}L)"  # from 8 on it is nearer from the other side
+            each.append(f"(({apart} ^ (shiftleft({back}, 1) - shiftright({back}, 3))) + shiftright({back}, 3))")
+    return F.expr(f"({' + '.join(each)}) % 255L")
+
+
+def band_keys(texts: list[str], salt: np.ndarray, schemes=PLAIN, only: range | None = None) -> np.ndarray:
+    """One 48-bit bucket key per text and band (``only`` of these bands, if given); ``salt`` keeps groups apart.
 
     Where a shingle's rough place counts, the stretches of each band begin elsewhere, so edits that move letters
     over the border of a stretch do so in few bands.
     """
     total = sum(bands for _, _, bands, _ in schemes)
     if not texts:
-        return np.zeros((0, total), np.int64)
+        return np.zeros((0, total if only is None else len(only)), np.int64)
     keys = np.zeros((total, len(texts)), np.uint64)
     at = row = 0
     for n, stretch, bands, rows in schemes:
+        if only is not None and not set(range(at, at + bands)) & set(only):
+            at, row = at + bands, row + bands * rows
+            continue
         hashes, starts = shingle_hashes(texts, n)
         counts = np.diff(starts, append=len(hashes))
         place = np.arange(len(hashes)) - np.repeat(starts, counts)
@@ -79,6 +110,9 @@ def band_keys(texts: list[str], salt: np.ndarray, schemes=PLAIN) -> np.ndarray:
         place, width = place.astype(np.uint32), abs(stretch)
         scratch = np.empty_like(hashes)
         for b in range(bands):
+            if only is not None and at not in only:
+                at, row = at + 1, row + rows
+                continue
             own = hashes
             if stretch:
                 own = (hashes ^ ((place + np.uint32(b * width // bands)) // np.uint32(width) * np.uint32(0xC2B2AE35))) * np.uint32(0x27D4EB2F)
@@ -91,6 +125,8 @@ def band_keys(texts: list[str], salt: np.ndarray, schemes=PLAIN) -> np.ndarray:
                 keys[at] ^= keys[at] >> np.uint64(29)
                 row += 1
             at += 1
+    if only is not None:
+        keys = keys[only.start : only.stop]
     keys ^= salt.astype(np.uint64)[None, :]
     keys *= np.uint64(0xBF58476D1CE4E5B9)
     keys >>= np.uint64(16)  # fewer bytes to shuffle; texts that meet by chance are told apart when they are verified
@@ -119,7 +155,7 @@ def block_keys(text: str, salt: int, edits: float, indexed: bool) -> set[int]:
     return keys
 
 
-def _band_batches(schemes, edits: float | None, indexed: bool, blocks_too: bool):
+def _band_batches(schemes, edits: float | None, indexed: bool, blocks_too: bool, only: range | None):
     alone = 0 if edits is None else int(SHORT * (1 - edits))  # texts up to here only match texts that the blocks find
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,14 +166,16 @@ def _band_batches(schemes, edits: float | None, indexed: bool, blocks_too: bool)
                 length = np.array([len(t) for t in texts])
                 each: list = [np.zeros(0, np.int64)] * len(texts)
                 long = np.flatnonzero(length > alone)
-                for i, keys in zip(long.tolist(), band_keys([texts[i] for i in long], salt[long], schemes), strict=True):
+                for i, keys in zip(long.tolist(), band_keys([texts[i] for i in long], salt[long], schemes, only), strict=True):
                     each[i] = keys
                 for i in np.flatnonzero(length <= SHORT).tolist() if edits is not None and blocks_too else ():
                     blocks = block_keys(texts[i], int(salt[i]), edits, indexed)
                     each[i] = np.concatenate([each[i], np.fromiter(blocks, np.int64, len(blocks))])
                 offsets = np.cumsum([0, *map(len, each)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(each)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(length, pa.int32()), lists], names=["rep", "length", "keys"])
+                s, t = letter_counts(texts).T
+                columns = [part.column(0), pa.array(length, pa.int32()), pa.array(s), pa.array(t), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "length", "s", "t", "keys"])
 
     return run
 
@@ -172,14 +210,18 @@ def _verify(jaccard: float, edits: float | None):
     return run
 
 
-def bucket_pairs(classes: DataFrame, schemes, edits: float | None, blocks_too: bool = True) -> DataFrame:
+def bucket_pairs(classes: DataFrame, schemes, edits: float | None, blocks_too: bool = True, only: range | None = None) -> DataFrame:
     """Candidates (``a`` of train, ``b`` held out): all pairs that share a bucket of these bands (or of the short texts' blocks), each once.
 
+    Pairs whose lengths or counts of letters tell that they differ by more than ``edits`` are dropped where they meet, since unrelated
+    texts that share a bucket grow faster than the rows.
     A bucket that a sample shows to be hot is cut into parts on both sides, which meet in tasks of their own.
     """
     def banded(side: str, rows: DataFrame) -> DataFrame:
-        own = rows.where(side).select("rep", "text", "salt").mapInArrow(_band_batches(schemes, edits, side == "train", blocks_too), "rep long, length int, keys array<long>")
-        return own.select(F.explode("keys").alias("key"), "rep", "length")
+        own = rows.where(side).select("rep", "text", "salt").mapInArrow(
+            _band_batches(schemes, edits, side == "train", blocks_too, only), "rep long, length int not null, s long not null, t long not null, keys array<long>"
+        )
+        return own.select(F.explode("keys").alias("key"), "rep", "length", *(["s", "t"] if edits is not None else []))
 
     sample = classes.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLED)) == 0)
     hot = None
@@ -199,11 +241,12 @@ def bucket_pairs(classes: DataFrame, schemes, edits: float | None, blocks_too: b
             return rows.withColumn(theirs, F.explode(parts)).drop("p", "q")
 
         left, right = parted(left, "p", "q", "x", "y"), parted(right, "q", "p", "y", "x")
-    left = left.withColumnsRenamed({"rep": "a", "length": "m"})
-    right = right.withColumnsRenamed({"rep": "b", "length": "n"})
+    left = left.withColumnsRenamed({"rep": "a", "length": "m", "s": "s_a", "t": "t_a"})
+    right = right.withColumnsRenamed({"rep": "b", "length": "n", "s": "s_b", "t": "t_b"})
     cand = left.join(right, on).where("a <> b")
     if edits is not None:
-        cand = cand.where(F.abs(F.col("m") - F.col("n")) <= F.greatest("m", "n") * F.lit(edits) + F.lit(1e-9))
+        most, longer = F.greatest("m", "n") * F.lit(edits) + F.lit(1e-9), F.abs(F.col("m") - F.col("n"))
+        cand = cand.where((longer <= most) & (counts_apart([("s_a", "s_b"), ("t_a", "t_b")]) + longer <= most * 2))
     return cand.select("a", "b").distinct()
 
 
@@ -216,11 +259,15 @@ def near_classes(classes: DataFrame, schemes=SCHEMES, jaccard: float = JACCARD,
     is verified on whole texts: by edit distance, or by ``jaccard`` if ``edits``
     is None. Pairs of at most ``SHORT`` letters are all found if ``edits`` is given.
     """
-    cand = None
-    for number in range(0, len(schemes), 2):  # a few bands at a time, each round's keys released before the next are shuffled
-        part = stage(bucket_pairs(classes, schemes[number : number + 2], edits, not number), "candidates")
-        cand = part if cand is None else cand.unionByName(part).distinct()
-        release(classes.sparkSession)
+    parts = []
+    for number in range(0, len(schemes), 2):
+        own = schemes[number : number + 2]
+        total = sum(bands for _, _, bands, _ in own)
+        for at in range(0, total, ROUND):  # a few bands at a time, each round's keys released before the next are shuffled
+            pairs = bucket_pairs(classes, own, edits, not number and not at, range(at, min(at + ROUND, total)))
+            parts.append(stage(pairs, "candidates"))
+            release(classes.sparkSession)
+    cand = reduce(DataFrame.unionByName, parts).distinct()
     pairs = cand.join(classes.where("held").select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
     pairs = pairs.join(classes.where("train").select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
     return pairs.select("a", "b", "x", "y").mapInArrow(_verify(jaccard, edits), "a long, b long")

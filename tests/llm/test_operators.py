@@ -399,6 +399,33 @@ def test_candidates_up_to_the_limit(size):
         assert same.any(axis=1).mean() >= 0.95
 
 
+def test_counts_of_letters_drop_only_pairs_beyond_the_edits(spark):
+    rng = random.Random(6)
+    texts = [("".join(rng.choice("aaaabcdeũ") for _ in range(rng.randint(1, 150))), "".join(rng.choice("aaaabcdeũ") for _ in range(rng.randint(1, 150)))) for _ in range(200)]
+    texts += [(x, "".join(rng.choice("az") if rng.random() < 0.1 else c for c in x)) for x, _ in texts]
+    both = [overlap.letter_counts([p[k] for p in texts]).tolist() for k in (0, 1)]
+    rows = [(i, *a, *b) for i, (a, b) in enumerate(zip(*both))]
+    df = spark.createDataFrame(rows, "i int, s_a long, t_a long, s_b long, t_b long")
+    got = {r.i: r.apart for r in df.select("i", overlap.counts_apart([("s_a", "s_b"), ("t_a", "t_b")]).alias("apart")).collect()}
+    for i, (x, y) in enumerate(texts):
+        counts = [Counter(ord(c) & 31 for c in t) for t in (x, y)]
+        near = [(counts[0][k] - counts[1][k] + 8) % 16 - 8 for k in range(32)]
+        assert got[i] == sum(map(abs, near))
+        assert got[i] + abs(len(x) - len(y)) <= 2 * overlap.edit_distance(x, y)
+    same = "abcdefghijklmnop" * 5  # both share buckets, no 15 % of edits lead from one to the other
+    classes = spark.createDataFrame([(1, True, False, same + "qrstuvw" * 6, 5), (2, False, True, same + "z" * 42, 5)], "rep long, train boolean, held boolean, text string, salt long")
+    assert overlap.bucket_pairs(classes, overlap.SCHEMES, None).count() == 1
+    assert overlap.bucket_pairs(classes, overlap.SCHEMES, 0.15).count() == 0
+
+
+def test_rounds_hold_every_band():
+    texts, salt = ["one text of some words", "another text", "abc"], np.array([1, 2, 3])
+    for schemes in (overlap.SCHEMES[:2], overlap.SCHEMES[2:]):
+        whole = overlap.band_keys(texts, salt, schemes)
+        cuts = [range(at, min(at + 7, whole.shape[1])) for at in range(0, whole.shape[1], 7)]
+        assert (np.concatenate([overlap.band_keys(texts, salt, schemes, c) for c in cuts], axis=1) == whole).all()
+
+
 def test_hot_buckets_are_joined_in_parts(spark, monkeypatch):
     rng = random.Random(9)
     rows = []
